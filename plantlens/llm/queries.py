@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import hmm, jpeg, mixing, packing
+from plantlens.llm import hmm, jpeg, mixing, packing, sigtree
 from plantlens.llm.common import word_count
 
 
@@ -29,6 +29,10 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.decode_media(jpeg.encode_media(_table(spark, sf_dir, "documents"))).drop("thumbnail")
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
     "op4_hmm": op4_hmm,
+    "op7_signature_trees": op7_signature_trees,
     "op10_jpeg": op10_jpeg,
 }
 
