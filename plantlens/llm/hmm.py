@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.llm.common import fold_remainder, hashes_of, slices, stage_table, words_of
+from plantlens.llm.packed import Layout
 
 #: No more words than this are looked up from a broadcast: those with at least this part of all tokens.
 HEAVY = 1 << 20
@@ -51,25 +52,19 @@ class Model:
         return cls(np.full(k, 1 / k), moves, emits / emits.sum(axis=1, keepdims=True))
 
 
-class _Packed:
-    """Sequences in time-major order, the longest first: step t has the tokens t of those that are long enough."""
+class _Packed(Layout):
+    """Class codes of sequences in time-major order."""
 
     def __init__(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        self.order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[self.order]
-        self.live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-        self.at = np.concatenate([[0], np.cumsum(self.live)])
-        step = np.repeat(np.arange(len(self.live)), self.live)
-        which = np.arange(self.at[-1]) - self.at[step]
-        self.codes = codes[starts[self.order][which] + step]
+        super().__init__(starts, lengths)
+        self.codes = self.pack(codes)
 
     def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward probabilities and the scale of each token; the log scales add up to the log likelihood."""
         seen = model.emits[self.codes]
         scale, ones, a = np.empty(len(seen)), np.ones(seen.shape[1]), None
-        for t, n in enumerate(self.live):
-            s = slice(self.at[t], self.at[t + 1])
-            a = (a[:n] @ model.moves if t else model.start) * seen[s]
+        for s, n in self.steps():
+            a = (a[:n] @ model.moves if s.start else model.start) * seen[s]
             scale[s] = c = a @ ones
             a /= c[:, None]
             seen[s] = a
@@ -80,8 +75,8 @@ class _Packed:
         logs = np.log10(self.forward(model)[1])
         out = np.zeros(len(self.order))
         total = np.zeros(self.live[0])
-        for t, n in enumerate(self.live):
-            total[:n] += logs[self.at[t] : self.at[t + 1]]
+        for s, n in self.steps():
+            total[:n] += logs[s]
         out[self.order] = total
         return out
 
@@ -90,15 +85,13 @@ class _Packed:
         alpha, scale = self.forward(model)
         after = np.empty_like(alpha)  # emission times backward probability over scale
         gamma, back = np.empty_like(alpha), None
-        for t in range(len(self.live) - 1, -1, -1):
-            s, n = slice(self.at[t], self.at[t + 1]), self.live[t]
+        for s, n in reversed(list(self.steps())):
             beta = np.ones((n, alpha.shape[1]))
             if back is not None:
                 beta[: len(back)] = back @ model.moves.T
             gamma[s] = alpha[s] * beta
             after[s] = back = model.emits[self.codes[s]] * beta / scale[s][:, None]
-        before = np.concatenate([np.arange(self.at[t - 1], self.at[t - 1] + self.live[t]) for t in range(1, len(self.live))] or [np.zeros(0, np.int64)])
-        moves = model.moves * (alpha[before].T @ after[self.live[0] :])
+        moves = model.moves * (alpha[self.before()].T @ after[self.live[0] :])
         emits = np.stack([np.bincount(self.codes, weights=g, minlength=len(model.emits)) for g in gamma.T])
         return gamma[: self.live[0]].sum(axis=0), moves, emits
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import hmm, jpeg, mixing, packing, sigtree
+from plantlens.llm import hmm, jpeg, mixing, packing, sigtree, toxicity
 from plantlens.llm.common import word_count
 
 
@@ -29,6 +29,12 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    offsets = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.array_join(offsets, ",").alias("spans"))
+
+
 def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.duplicate_classes(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
     "op4_hmm": op4_hmm,
+    "op5_toxicity": op5_toxicity,
     "op7_signature_trees": op7_signature_trees,
     "op10_jpeg": op10_jpeg,
 }
