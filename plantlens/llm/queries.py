@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import hmm, jpeg, mixing, packing, sigtree, toxicity
+from plantlens.llm import hmm, jpeg, mixing, packing, pii, sigtree, toxicity
 from plantlens.llm.common import word_count
 
 
@@ -39,6 +39,10 @@ def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.decode_media(jpeg.encode_media(_table(spark, sf_dir, "documents"))).drop("thumbnail")
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hmm": op4_hmm,
     "op5_toxicity": op5_toxicity,
     "op7_signature_trees": op7_signature_trees,
+    "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op10_jpeg": op10_jpeg,
 }
 
