@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import hmm, jpeg, mixing, packing, pii, sigtree, toxicity
+from plantlens.llm import hamming, hmm, jpeg, licenses, mixing, packing, pii, sigtree, token_counts, toxicity
 from plantlens.llm.common import word_count
 
 
@@ -21,6 +21,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(sized).select("doc_id", "size", "source_size", "target", "taken", F.size("shards").alias("n_takes"), F.array_join("shards", ",").alias("shards"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_count(F.col("text")))
 
@@ -35,6 +40,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.array_join(offsets, ",").alias("spans"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.sample_edits(F.col("doc_id"), F.col("text")).alias("edits"))
+    return token_counts.apply_edits(token_counts.build_trees(docs)).drop("text", "lengths", "counts")
+
+
 def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.duplicate_classes(_table(spark, sf_dir, "documents"))
 
@@ -43,18 +53,31 @@ def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(codes, codes.where(F.col("id") % 50 == 0), 10)
+
+
 def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.decode_media(jpeg.encode_media(_table(spark, sf_dir, "documents"))).drop("thumbnail")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
     "op4_hmm": op4_hmm,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_signature_trees": op7_signature_trees,
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
+    "op9_multi_index_hashing": op9_multi_index_hashing,
     "op10_jpeg": op10_jpeg,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_multi_index_hashing": """
+        WITH c AS (SELECT vec_id AS id, list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1::UBIGINT ELSE 0::UBIGINT END), lambda a, b: a * 2 + b) AS code FROM embeddings),
+        d AS (SELECT q.id AS query, c.id, bit_count(xor(q.code, c.code))::INTEGER AS distance FROM c AS q, c WHERE q.id % 50 = 0 AND q.id <> c.id)
+        SELECT query, rank, id, distance FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY distance, id))::INTEGER AS rank FROM d) WHERE rank <= 10""",
+}

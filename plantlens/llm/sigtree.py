@@ -147,9 +147,10 @@ def _class_ids(offsets: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return mix(mix(sums[0]) ^ sums[1] * np.uint64(3) ^ np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def _pick(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of docs with (left_semi) or without (left_anti) uid among the keys; a broadcast if its size was checked."""
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "uid", how)
+def _pick(docs: DataFrame, keys: DataFrame, how: str, on: str = "uid") -> DataFrame:
+    """Rows of docs with (left_semi) or without (left_anti) a value among the keys' uid; a broadcast if its size was checked."""
+    keys = keys.select(F.col("uid").alias(on))
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
 def _join_tasks(rows: DataFrame, percent: int) -> DataFrame:
@@ -180,13 +181,8 @@ def _join_tasks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("task", "side", "cid", "label", "shingles").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def duplicate_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """Of each row of docs (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
-
-    A-Z is lower-cased and words are runs without ASCII white space. Null or empty texts, or such without words, have no
-    shingle and are linked with nothing: component_id is their own id. Rows that repeat an id are rows of their own; null
-    ids don't count for the smallest. Shingles and classes go by 64-bit hashes.
-    """
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """As duplicate_classes, with the hash of the row; that is null for rows without a shingle."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), "text")
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +263,34 @@ def duplicate_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
     of_root = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = least.join(of_root, "root").select("cid", "component_id")
     own = sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return sets.where("n > 0").join(of_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(own)
+    return sets.where("n > 0").join(of_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "uid").union(own.select("*", F.lit(None).cast("long").alias("uid")))
+
+
+def duplicate_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """Of each row of docs (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+
+    A-Z is lower-cased and words are runs without ASCII white space. Null or empty texts, or such without words, have no
+    shingle and are linked with nothing: component_id is their own id. Rows that repeat an id are rows of their own; null
+    ids don't count for the smallest. Shingles and classes go by 64-bit hashes.
+    """
+    return _classes(docs, width, percent).drop("uid")
+
+
+def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, or any where the ids are null or repeat.
+
+    Rows without a shingle all stay. Columns stay as they are, whatever their names.
+    """
+    members = stage_table(_classes(docs, width, percent).where("uid is not null").select("doc_id", "component_id", "uid"), "sigtree-members")
+    # without any id, a component's rows can't be told apart from those of another such one, so all stay
+    first = members.where("component_id is not null").groupBy("component_id").agg(F.min_by("uid", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "uid")).alias("kept"))
+    gone = members.join(first, "component_id").where("uid <> kept").select("uid").distinct()
+    twice = members.join(first, "component_id").where("uid = kept").groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid")
+    key = "__sigtree_uid"
+    kept = _pick(docs.withColumn(key, F.xxhash64(docs["doc_id"], docs["text"])), gone, "left_anti", key)
+    if twice.limit(1).count():
+        kept = _pick(kept, twice, "left_anti", key).union(_pick(kept, twice, "left_semi", key).dropDuplicates([key]))
+    return kept.select(docs.columns)
 
 
 def _between_nodes(large: DataFrame, members: DataFrame, prefix: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
