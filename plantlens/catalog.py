@@ -1,7 +1,13 @@
-"""All queries of the engine and their SQL oracles."""
+"""All queries of the engine with the SQL that checks them."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from plantlens.plans import graphs, numeric, relational, text
+from plantlens.registry import Query
+
+FLAGSHIP = "endpoint_status"
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _registry in (text.REGISTRY, relational.REGISTRY, graphs.REGISTRY, numeric.REGISTRY):
+    QUERIES |= _registry.queries
+    ORACLE_SQL |= _registry.sql
