@@ -59,7 +59,7 @@ def tile_check(df: DataFrame, start: str, end: str, keys: Columns, order: Column
 def allocation_jumps(df: DataFrame, value: str, keys: Columns, order: Columns) -> DataFrame:
     """Rows whose value is a new maximum that doesn't follow the last maximum by one, with that one as `expected`."""
     before = F.max(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("expected", before + 1).where((F.col(value) > before) & (F.col(value) != F.col("expected")))
+    return df.withColumn("expected", before + 1).where(F.col(value) > F.col("expected"))
 
 
 def zip_ordinals(left: DataFrame, right: DataFrame, keys: list[str], left_order: Columns, right_order: Columns) -> DataFrame:

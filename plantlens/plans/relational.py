@@ -284,9 +284,9 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_shipdate::DATE - (extract(day FROM l_shipdate)::INT - 1) AS month, bool_and(l_quantity > 0) AS all_positive, bool_or(l_discount > 0.09) AS any_high, sum(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END)::BIGINT AS n_taxed FROM lineitem GROUP BY 1""")
+    SELECT strftime(l_shipdate, '%Y-%m') AS month, bool_and(l_quantity > 0) AS all_positive, bool_or(l_discount > 0.09) AS any_high, sum(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END)::BIGINT AS n_taxed FROM lineitem GROUP BY 1""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = F.trunc(F.col("l_shipdate").cast("date"), "month")
+    month = F.date_format("l_shipdate", "yyyy-MM")
     return table(spark, sf_dir, "lineitem").groupBy(month.alias("month")).agg(F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.bool_or(F.col("l_discount") > 0.09).alias("any_high"), F.count_if(F.col("l_tax") > 0.07).alias("n_taxed"))
 
 

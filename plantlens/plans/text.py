@@ -92,7 +92,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH e AS (SELECT user_id, event_type, event_id, json_extract_string(props, '$.k') AS k FROM events)
-    SELECT user_id, event_type, replace(replace('AREA_$K$.TYPE_$T$', '$K$', max_by(k, event_id)), '$T$', event_type) AS tag, count(*) AS n FROM e GROUP BY ALL""")
+    SELECT user_id, event_type, replace(replace('AREA_$K$.TYPE_$T$', '$K$', max_by(k, event_id)), '$T$', event_type) AS tag, count(*) AS n FROM e GROUP BY user_id, event_type""")
 def template_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("expression", F.concat(F.lit('K "'), F.get_json_object("props", "$.k"), F.lit('" T "'), F.col("event_type"), F.lit('"')))
     last = events.groupBy("user_id", "event_type").agg(F.max_by("expression", "event_id").alias("expression"), F.count("*").alias("n"))

@@ -18,7 +18,8 @@ def work_folder(spark: SparkSession, name: str) -> str:
 def event_stream(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
     """A stream of the files under path with a watermark; timestamps without a zone are taken in the session's zone."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    either = f"{path[:-1]}[{path[-1]}]"  # a pattern may stand for one file as well as for a folder
+    return spark.readStream.schema(schema).parquet(either).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
