@@ -8,9 +8,10 @@ from decimal import Context, Decimal, InvalidOperation
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def add_decimal_text(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact sum of two decimal texts, in plain notation with the larger scale; null where one isn't a number."""
     exact = Context(prec=200)
@@ -43,7 +44,7 @@ def c_format(value: float, digits: int = 6) -> str | None:
     return f"{mantissa}e{exponent[0]}{exponent[1:].zfill(3)}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def format_g(value: pd.Series) -> pd.Series:
     return value.map(c_format).where(value.notna() | value.map(lambda x: isinstance(x, float)), None)
 

@@ -14,11 +14,12 @@ from plantlens.operators.ordering import carry_forward, number_runs
 
 #: Grammars of the listings.
 SECTION = r"([^\\/]*)\.CAD\s+(Outputs|Inputs)"
-DESTINATION = r"(\S+)(?:\s+\(([^)]*)\))?"
-ERROR = r"^Unrslvd\s+(Inp|Out):\s*(.*?)\s*\[([^\]]*)\]\s*In:\s*(.*?)\s*\z"
+ADDRESS = r"\S{4}-\d{2}\.\d{2}"
+DESTINATION = rf"({ADDRESS})(?:\s+(?!{ADDRESS})(\S+))?"
+ERROR = rf"^Unrslvd\s+(Inp|Out):\s*(.*?)\s*({ADDRESS})?\s+In:\s*(.*?)\s*\z"
 EXPECTED = r"No\. of CAD Sheets to Process\s*=\s*(\d+)"
-READING = r"Reading:\s*(.*?)\s*\z"
-BLANK = r"Blank description in file\s+(.*?)\s*\z"
+READING = r"Reading:\s*(?:.*[\\/])?([^\\/.]+)"
+BLANK = r"Blank description in file\s+(?:.*[\\/])?([^\\/.]+)"
 
 
 def first_match(rules: list[tuple[Column, str]], otherwise: str) -> Column:
@@ -47,7 +48,7 @@ def fixed_columns(line: Column) -> Column:
 
 
 def destinations(text: Column) -> Column:
-    """Array of (reference, sheet) from `ref (sheet) ref (sheet) ...`; a missing sheet is null."""
+    """Array of (reference, sheet) from `address sheet address sheet ...`; a missing sheet is null."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(DESTINATION), F.lit(1)).alias("reference"), F.regexp_extract_all(text, F.lit(DESTINATION), F.lit(2)).alias("sheet"))
     return F.transform(pairs, lambda p: F.struct(p["reference"].alias("reference"), F.nullif(p["sheet"], F.lit("")).alias("sheet")))
 
@@ -60,7 +61,7 @@ def parse_cross_reference(lines: DataFrame, key: str = "file") -> DataFrame:
     """
     line = F.col("line")
     header = F.regexp_extract(line, SECTION, 1) != ""
-    noise = header | line.rlike(r"^\s*(-[-\s]*)?\z") | line.rlike(r"(?i)^\s*description\s+source")
+    noise = header | line.rlike(r"^\s*(-[-\s]*)?\z") | line.rlike(r"(?i)^\s*description\s+source\b")
     continued = line.rlike(r"^\s{20,}\S")
     marked = lines.withColumns({"__sheet": F.when(header, F.upper(F.regexp_extract(line, SECTION, 1))), "__way": F.when(header, F.regexp_extract(line, SECTION, 2))})
     for name, column in (("sheet", "__sheet"), ("direction", "__way")):
