@@ -41,7 +41,7 @@ class ToxicitySettings:
 
     folds: int = 3
     held_fold: int = 1
-    sample: int = 1000
+    sample: int = 600
     sample_bytes: int = 65_536
     support: float = 0.002
     threshold: float = 0.7
@@ -180,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxic
     model = Field(lexicon["word"].to_numpy(np.int64), classes.astype(np.int64), prior)
     fits = rows.where(F.octet_length("text") <= settings.sample_bytes)
     order = F.xxhash64(F.lit(11), "doc_id")
-    sample = [fits.where(F.col("toxic") == x).orderBy(order, "doc_id").limit(settings.sample).toPandas() for x in (1, 0)]
+    # ids first, so that no task sends more than them; then the texts of those that were chosen
+    chosen = [fits.where(F.col("toxic") == x).select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(settings.sample).select("doc_id") for x in (1, 0)]
+    sample = [rows.join(F.broadcast(ids.distinct()), "doc_id").where(F.octet_length("text") <= settings.sample_bytes).select("text").toPandas() for ids in chosen]
     if all(len(s) for s in sample):
         weight = np.concatenate([np.full(len(s), n / len(s)) for s, n in zip(sample, (n_toxic, n_clean))])
         toxic = np.concatenate([np.full(len(s), x, bool) for s, x in zip(sample, (True, False))])
