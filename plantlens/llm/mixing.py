@@ -213,7 +213,7 @@ def mix_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> Dat
     """
     key = "__mix_row"
     columns = docs.columns
-    docs = docs.withColumn(key, F.xxhash64(*columns))
+    docs = docs.withColumn(key, F.xxhash64("doc_id", "text", "source"))
     sized = docs.select(F.struct("doc_id", key).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     plan = plan_mix(sized, settings).where("taken > 0 or size = 0").select("doc_id", "whole", "part", "shards").dropDuplicates(["doc_id"])
     copies = plan.withColumn("times", F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0))
