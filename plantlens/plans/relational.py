@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions import evidence, numbers
-from plantlens.operators import aggregates, joins, ordering
+from plantlens.operators import aggregates, comparison, joins, ordering
 from plantlens.registry import Registry, table
 
 REGISTRY = Registry()
@@ -345,3 +345,57 @@ def uncategorized(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spec_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = F.when(F.col("p_size") <= 10, "small").when(F.col("p_size") <= 30, "medium").otherwise("large")
     return table(spark, sf_dir, "part").withColumn("bucket", bucket).groupBy("p_brand", "p_type").pivot("bucket", ["small", "medium", "large"]).count().na.fill(0)
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_brand, p_name || ' ' || p_type AS text FROM part WHERE p_partkey % 3 = 0), f AS (SELECT DISTINCT p_brand, lower(p_type) || ' ' || p_name AS other FROM part WHERE p_partkey % 3 = 1 UNION SELECT DISTINCT p_brand, p_name FROM part WHERE p_partkey % 3 = 1)
+    SELECT p_partkey, text, EXISTS (SELECT 1 FROM f WHERE f.p_brand = p.p_brand AND length(other) >= 3 AND (contains(other, text) OR contains(text, other))) AS recovered FROM p""")
+def fuzzy_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    plotted = part.where("p_partkey % 3 = 0").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    found = part.where("p_partkey % 3 = 1").select("p_brand", F.explode(F.array(F.concat_ws(" ", F.lower("p_type"), "p_name"), F.col("p_name"))).alias("text"))
+    return comparison.recovered_texts(plotted, found, ["p_brand"]).select("p_partkey", "text", "recovered")
+
+
+@query("""
+    SELECT l_partkey, arg_max(l_suppkey, struct_pack(d := l_shipdate, s := l_suppkey)) AS owner FROM lineitem GROUP BY l_partkey""")
+def topmost_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.topmost_owner(table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_shipdate").alias("draw_order"), F.col("l_suppkey").alias("owner")), ["l_partkey"])
+
+
+@query("""
+    WITH c AS (SELECT user_id, event_type AS colour, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS r, lead(n) OVER w AS second, sum(n) OVER (PARTITION BY user_id) AS total FROM c WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, colour))
+    SELECT user_id, colour, round(n / total, 9) AS share, coalesce(second >= 0.8 * n, false) AS dithered FROM r WHERE r = 1""")
+def dominant_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("colour"))
+    return comparison.dominant_colour(samples, ["user_id"]).withColumn("share", F.round("share", 9))
+
+
+@query("""
+    WITH f AS (SELECT conv_id, coalesce(min(turn) FILTER (role = 'assistant'), -1) AS f FROM conversations GROUP BY conv_id)
+    SELECT conv_id, turn, role FROM conversations JOIN f USING (conv_id) WHERE turn BETWEEN greatest(f - 1, 0) AND f + 2""")
+def spec_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = comparison.rows_around(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "assistant", before=1, after=2)
+    return rows.select("conv_id", "turn", "role")
+
+
+@query("""
+    SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, o_orderkey) AS r FROM orders) WHERE r = 1""")
+def dedupe_prefer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.prefer(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "P", ["o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("""
+    SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL""")
+def payload_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH w AS (SELECT o_custkey, (o_orderkey % 7 * 10 + 100)::DOUBLE AS y FROM orders WHERE o_orderkey % 5 = 0), c AS (SELECT DISTINCT o_custkey, y + i * 20 AS anchor FROM w, generate_series(0, 3) g(i)),
+    t AS (SELECT o_custkey, anchor, bool_and(abs(anchor - round((anchor - y) / 20) * 20 - y) < 0.01 AND round((anchor - y) / 20) BETWEEN 0 AND 3) AS ok FROM c JOIN w USING (o_custkey) GROUP BY ALL)
+    SELECT o_custkey, min(anchor) AS anchor FROM t WHERE ok AND anchor - 60 >= 60 - 2 AND anchor <= 160 + 2 GROUP BY o_custkey HAVING count(*) = 1""")
+def unique_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = (F.col("o_orderkey") % 7 * 10 + 100).cast("double")
+    witnesses = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_custkey", y.alias("y"), F.lit(4).alias("slots"), F.lit(20.0).alias("pitch"), F.lit(60.0).alias("low"), F.lit(160.0).alias("high"))
+    return comparison.unique_anchor(witnesses, ["o_custkey"])
