@@ -15,6 +15,9 @@ from plantlens.operators.graph import ensure_checkpoints
 #: Reference slots at the beginning of an object's body, with the role of what they point to.
 SLOTS = (("hdr.dynPropRef", "dynamic"), ("hdr.transformRef", "transform"), ("hdr.slot2Ref", "secondary"))
 
+#: Forms of property values, and words of keys that bind to tags.
+DOTTED, NAVIGATION, TAG_KEY = r"^[^\s.]+\.[A-Za-z_][A-Za-z0-9_]*\z", r"^graphic:\d+\z", "(?i)tag|atom|limit"
+
 
 def _header(body: bytes) -> tuple:
     """Three references, flags, two zero-terminated names, a number, and where the header ends; nulls if it is cut off."""
@@ -80,8 +83,8 @@ def classify_binding(key: Column, value: Column, number: Column, parameters: Col
     """
     expanded = tags.expand_keys(key, parameters)
     keyed, atomic = key.contains("$"), F.coalesce(value.contains("#d"), F.lit(False))
-    dotted = F.coalesce(value.rlike(r"^[^\s.]+\.[A-Za-z_][A-Za-z0-9_]*\z") & key.rlike("(?i)tag|atom|limit"), F.lit(False))
-    graphic = F.coalesce(value.rlike(r"^graphic:\d+\z"), F.lit(False))
+    dotted = F.coalesce(value.rlike(DOTTED) & key.rlike(TAG_KEY), F.lit(False))
+    graphic = F.coalesce(value.rlike(NAVIGATION), F.lit(False))
     kind = F.when(keyed, F.when(atomic, "tag-atom").otherwise("tag")).when(graphic, "navigation").when(dotted, "tag-dot-atom").when(number.isNotNull(), F.when(key.rlike("(?i)color"), "color").otherwise("number")).otherwise("text")
     status = F.when(keyed, F.when(expanded.isNull(), "UNRESOLVED").when(expanded.eqNullSafe(value), "RESOLVED").otherwise("INCONSISTENT")).when(~graphic & dotted, "RESOLVED").otherwise("LITERAL")
     split = lambda at: F.when(keyed, F.try_element_at(F.split(value, "#d"), F.lit(at))).when(~graphic & dotted, F.try_element_at(F.split(value, r"\."), F.lit(at)))
