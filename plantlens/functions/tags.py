@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Grammars of tags and addresses.
 IO_TAG = r"(?i)^(AI|AO|DI|DO)(\d+)?(?:-([A-Za-z0-9]+))?(?:/(.+))?\z"
 LOOP_LABEL = r"(?i)^(\d{3})([A-Z]{1,6})-([A-Z]?)(\d{1,4}[A-Z]?)(?:\.\d+)?(?:_[A-Z]+)?\z"
+DEVICE = r"^(\d{3})([A-Z]+)-?([A-Z]?)(\d{1,4}[A-Z]?)"
 REFERENCE = r"^([A-Z0-9 ]{2})([A-Z0-9 ]{2})-(\d{2})\.(\d{2})"
 #: Kinds of files by extension.
 FILE_KINDS = {
@@ -55,15 +56,35 @@ def provenance(path: Column) -> Column:
     return F.struct(part(up, r"LOOP[ _-]?(\d+)", 1).alias("loop"), part(up, r"(?:CPU|PCU)[ _-]?(\d+)", 1).alias("cpu"), part(up, r"(?:^|[/\\])M(\d+)(?:[/\\]|\z)", 1).alias("module"))
 
 
+def _parts(tag: Column, pattern: str) -> Column:
+    unit, number = F.coalesce(F.upper(part(tag, pattern, 3)), F.lit("")), F.regexp_replace(F.upper(part(tag, pattern, 4)), r"^0+(?=\d{3})", "")
+    whole = F.concat(unit, number)
+    return F.struct(part(tag, pattern, 1).alias("area"), F.upper(part(tag, pattern, 2)).alias("letters"), whole.alias("number"), F.regexp_replace(whole, r"(?<=\d)[A-Z]\z", "").alias("base"))
+
+
 def loop_parts(tag: Column) -> Column:
-    """Struct of area, letters, unit and number of a loop label, zeros trimmed to three digits or more."""
-    number = F.regexp_replace(F.upper(part(tag, LOOP_LABEL, 4)), r"^0+(?=\d{3})", "")
-    return F.struct(part(tag, LOOP_LABEL, 1).alias("area"), F.upper(part(tag, LOOP_LABEL, 2)).alias("letters"), F.upper(part(tag, LOOP_LABEL, 3)).alias("unit"), number.alias("number"))
+    """Struct of area, letters, number and base (number without its last letter) of a loop label.
+
+    Zeros in front are trimmed to three digits or more; all is null where the label doesn't parse.
+    """
+    return _parts(F.trim(tag), LOOP_LABEL)
+
+
+def device_parts(tag: Column) -> Column:
+    """The same of a device tag: upper case counts, the dash may be missing, and a signal suffix may follow."""
+    return _parts(F.trim(tag), DEVICE)
+
+
+def _canonical(p: Column) -> Column:
+    return F.when(p["number"].isNotNull(), F.concat(p["area"], p["letters"], F.lit("-"), p["number"]))
 
 
 def canonical_loop_tag(tag: Column) -> Column:
-    p = loop_parts(tag)
-    return F.when(p["number"].isNotNull(), F.concat(p["area"], p["letters"], F.lit("-"), F.coalesce(p["unit"], F.lit("")), p["number"]))
+    return _canonical(loop_parts(tag))
+
+
+def canonical_device(tag: Column) -> Column:
+    return _canonical(device_parts(tag))
 
 
 def compact(text: Column) -> Column:

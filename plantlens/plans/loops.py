@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from plantlens.functions import tags
 from plantlens.functions.evidence import status_of
+from plantlens.functions.numbers import add_decimal_text
 from plantlens.operators.graph import bfs_hops
 from plantlens.operators.ordering import unique_best
 
 #: The weights of loop-tag choice, times ten, so that ties are exact.
 WEIGHTS = {"number": 40, "base": 20, "digits": 15, "same_sheet": 30, "first_letter": 20, "end_letter": 10, "record": -10, "digital_i": -20, "digital_s": 5, "analog_s": -20, "analog_ic": 5, "analog_c": 2, "area": 10, "own_device": -30, "suffix": -30, "letters": -3, "hop": -3}
-#: For analog blocks the channels of a block and the specs of the first channel's zero and span.
-RANGES = {"AI": (132, 5, 2, 3, 3), "AO": (149, 7, 16, 17, 2)}
+#: For analog types the code of their blocks, its channels, and the zero's spec number as first + step * position.
+RANGES = {"AI": (132, 5, 2, 3), "AO": (149, 7, 16, 2)}
 VIAS = ("wiring", "same-sheet", "loop-number")
 
 
@@ -69,7 +70,7 @@ def loop_candidates(devices: DataFrame, edges: DataFrame, nodes: DataFrame, labe
     wired = seen.join(labels, "node").groupBy("device", "label").agg(F.min("hops").alias("hops")).withColumn("via", F.lit(0))
     far = F.lit(max_hops + 1).alias("hops")
     shared = devices.select("device", F.explode("sheets").alias("sheet")).join(labels.select("label", "sheet").distinct(), "sheet").select("device", "label", far, F.lit(1).alias("via")).distinct()
-    own, part = tags.loop_parts(F.col("device")), tags.loop_parts(F.col("label"))
+    own, part = tags.device_parts(F.col("device")), tags.loop_parts(F.col("label"))
     by_number = devices.select("device", own["area"].alias("area"), own["number"].alias("number")).join(labels.select("label", part["area"].alias("area"), part["number"].alias("number")).distinct(), ["area", "number"])
     numbered = by_number.select("device", "label", far, F.lit(2).alias("via"))
     first = wired.select("device", "label", "hops", "via").union(shared).union(numbered).groupBy("device", "label").agg(F.min(F.struct("via", "hops")).alias("k"))
@@ -81,17 +82,16 @@ def choose_loop_tags(candidates: DataFrame, devices: DataFrame, labels: DataFram
 
     devices: device, io_type, sheets. Scores are in tenths.
     """
-    own = devices.select(F.col("device").alias("other"), "io_type").withColumn("other_tag", tags.canonical_loop_tag(F.col("other")))
+    own = devices.select(F.col("device").alias("other"), "io_type").withColumn("other_tag", tags.canonical_device(F.col("other")))
     own_tags = own.groupBy("other_tag").agg(F.collect_set("io_type").alias("types"))
     on = labels.groupBy("label").agg(F.collect_set("sheet").alias("label_sheets"))
     rows = candidates.join(devices, "device").join(on, "label").withColumn("tag", tags.canonical_loop_tag(F.col("label"))).join(own_tags, F.col("tag") == F.col("other_tag"), "left")
-    d, p = tags.loop_parts(F.col("device")), tags.loop_parts(F.col("label"))
-    digital, digits = F.col("io_type").isin("DI", "DO"), lambda c: F.regexp_replace(c, "[^0-9]", "")
+    d, p = tags.device_parts(F.col("device")), tags.loop_parts(F.col("label"))
+    digital, digits = F.col("io_type").isin("DI", "DO"), lambda c: F.regexp_replace(c, r"^\D", "")
     last, first = (lambda c: F.substring(c, -1, 1)), (lambda c: F.substring(c, 1, 1))
     when = lambda test, name: F.when(F.coalesce(test, F.lit(False)), WEIGHTS[name]).otherwise(0)
-    base = lambda c: F.regexp_replace(c, "[A-Z]$", "")
-    number = F.when(d["number"] == p["number"], WEIGHTS["number"]).when(base(d["number"]) == base(p["number"]), WEIGHTS["base"]).when(digits(d["number"]) == digits(p["number"]), WEIGHTS["digits"]).otherwise(0)
-    own_tag = tags.canonical_loop_tag(F.col("device"))
+    number = F.when(d["number"] == p["number"], WEIGHTS["number"]).when(d["base"] == p["base"], WEIGHTS["base"]).when(digits(d["base"]) == digits(p["base"]), WEIGHTS["digits"]).otherwise(0)
+    own_tag = tags.canonical_device(F.col("device"))
     score = (
         number + when(F.arrays_overlap("sheets", "label_sheets"), "same_sheet") + when((first(d["letters"]) == first(p["letters"])) & (first(d["letters"]) != "X"), "first_letter")
         + when(last(d["letters"]).isin("H", "L") & (last(d["letters"]) == last(p["letters"])), "end_letter") + when(last(p["letters"]) == "R", "record")
@@ -142,24 +142,42 @@ def stack_sides(devices: DataFrame, keys: list[str], side: str, device: str, a:
     return beside.select(*keys, *names).union(above).union(below)
 
 
-def analog_ranges(points: DataFrame, blocks: DataFrame, specs: DataFrame) -> DataFrame:
-    """Zero and span of analog points: the block by rank of its address, the specs by the channel's place in the block.
+def analog_ranges(points: DataFrame, blocks: DataFrame, specs: DataFrame, wires: DataFrame) -> DataFrame:
+    """Range of analog points: low is the zero, high the zero plus the span, exactly.
 
     points: point, io_type, module, slave, channel; blocks: module, slave, fc, block; specs: module, block, number, value
-    (decimal text). An address that several blocks have is left out.
+    (decimal text); wires: point, module, block, pin. A block's rank is its place in address order among those of its code
+    and slave. A point that is wired to one block takes that one, and its channel has to belong to that rank and, for
+    inputs, to the pin `Rn`; a point that isn't wired takes the block of its channel's rank. Blocks whose address comes
+    twice don't count. The zero is EXTRACTED if wire and channel agree, else DERIVED; the sum is DERIVED.
     """
-    alone = Window.partitionBy("module", "block")
-    ranked = blocks.withColumn("__n", F.count("*").over(alone)).where("__n = 1").drop("__n").withColumn("rank", F.row_number().over(Window.partitionBy("module", "slave", "fc").orderBy("block")) - 1)
+    number = lambda c: F.regexp_replace(F.regexp_extract(c, r"\d+", 0), r"^0+(?=\d)", "")
     kind = lambda k: F.coalesce(*[F.when(F.col("io_type") == t, F.lit(v[k])) for t, v in RANGES.items()])
-    channel = F.col("channel").cast("int")
-    wanted = points.where(F.col("io_type").isin(*RANGES)).withColumns({"fc": kind(0), "rank": F.floor((channel - 1) / kind(1)).cast("int")})
-    placed = wanted.withColumn("k", channel - F.col("rank") * kind(1) - 1).join(ranked, ["module", "slave", "fc", "rank"], "left")
-    place = placed.withColumns({"zero_spec": kind(2) + kind(4) * F.col("k"), "span_spec": kind(3) + kind(4) * F.col("k")})
+    once = blocks.withColumn("__n", F.count("*").over(Window.partitionBy("module", "block"))).where("__n = 1").drop("__n")
+    ranked = once.withColumn("slave", number("slave")).withColumn("rank", (F.row_number().over(Window.partitionBy("module", "slave", "fc").orderBy("block")) - 1).cast("int"))
+    rows = points.where(F.col("io_type").isin(*RANGES)).withColumns({"fc": kind(0), "per": kind(1), "slave": number("slave"), "channel": F.expr("try_cast(channel AS int)")})
+    rows = rows.withColumn("chan_rank", F.floor((F.col("channel") - 1) / F.col("per")).cast("int"))
+
+    drawn = wires.groupBy("point").agg(F.count("*").alias("n_wires"), F.min(F.struct("block", "pin")).alias("w"))
+    by_wire = rows.join(drawn, "point").join(ranked.select("module", F.col("fc").alias("wired_fc"), F.col("block").alias("at"), "rank"), (rows["module"] == ranked["module"]) & (F.col("w.block") == F.col("at")), "left").drop(ranked["module"])
+    pin = F.when(F.col("io_type") == "AI", F.expr("try_cast(nullif(regexp_extract(w.pin, '^R([0-9]+)$', 1), '') AS int)"))
+    pin = F.when(pin.between(1, F.col("per")), pin)
+    placed = F.col("channel") - F.col("rank") * F.col("per")
+    both = F.col("channel").isNotNull() & F.col("rank").isNotNull()
+    agree = (F.col("chan_rank") == F.col("rank")) & F.coalesce(pin == placed, F.lit(True))
+    position = F.when(F.col("n_wires") > 1, None).when(both, F.when(agree, placed)).otherwise(pin)
+    wired = by_wire.select("point", "module", "fc", "io_type", F.col("at").alias("block"), position.alias("position"), F.when(both, "EXTRACTED").otherwise("DERIVED").alias("zero_status"))
+    loose = rows.join(drawn.select("point"), "point", "left_anti")
+    by_rank = loose.join(ranked.withColumnRenamed("rank", "chan_rank"), ["module", "slave", "fc", "chan_rank"], "left")
+    unwired = by_rank.select("point", "module", "fc", "io_type", "block", F.when(F.col("block").isNotNull(), F.col("channel") - F.col("chan_rank") * F.col("per")).alias("position"), F.lit("DERIVED").alias("zero_status"))
+
+    place = wired.union(unwired).withColumn("zero_spec", kind(2) + kind(3) * F.col("position")).withColumn("span_spec", F.col("zero_spec") + 1)
     value = specs.groupBy("module", "block", "number").agg(F.when(F.count_distinct("value") == 1, F.min("value")).alias("value"))
     for name in ("zero", "span"):
         place = place.join(value.select("module", "block", F.col("number").alias(f"{name}_spec"), F.col("value").alias(name)), ["module", "block", f"{name}_spec"], "left")
-    status = F.when(F.col("zero").isNotNull() & F.col("span").isNotNull(), "DERIVED").otherwise("UNRESOLVED")
-    return place.withColumn("status", status).select("point", "module", "block", "zero_spec", "span_spec", "zero", "span", "status")
+    known = F.col("zero").isNotNull() & F.col("span").isNotNull()
+    high = F.when(known, add_decimal_text("zero", "span"))
+    return place.select("point", "block", "position", F.when(known, F.col("zero")).alias("low"), F.when(known, F.col("zero_status")).otherwise("UNRESOLVED").alias("low_status"), high.alias("high")).withColumn("high_status", F.when(F.col("high").isNotNull(), "DERIVED").otherwise("UNRESOLVED"))
 
 
 def io_sheet(points: DataFrame) -> DataFrame:

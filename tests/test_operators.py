@@ -26,6 +26,8 @@ def test_names_and_addresses(spark):
     assert one(spark, tags.base_name(F.lit("D:\\a\\b\\3070500A.cad"))) == "3070500A"
     assert one(spark, tags.canonical_loop_tag(F.lit("310tic-a0012_PV"))) == "310TIC-A012"
     assert one(spark, tags.canonical_loop_tag(F.lit("310TIC-00123.1"))) is None and one(spark, tags.canonical_loop_tag(F.lit("310TIC-0123"))) == "310TIC-123"
+    assert one(spark, tags.canonical_device(F.lit(" 131XS-M0102Brf "))) == "131XS-M102B"
+    assert one(spark, tags.device_parts(F.lit("131XS-M0102Brf"))).asDict() == {"area": "131", "letters": "XS", "number": "M102B", "base": "M102"} and one(spark, tags.canonical_device(F.lit("131xs-1"))) is None
     assert one(spark, tags.parse_reference(F.lit("BA00-14.26"))).asDict() == {"prefix": "BA", "sheet": "00", "row": "14", "column": "26"}
     assert one(spark, tags.parse_reference(F.lit("nope"))).prefix is None
     assert one(spark, tags.output_address(F.lit("120+3"))) == 123 and one(spark, tags.output_address(F.lit("x"))) is None
@@ -117,11 +119,16 @@ def test_loop_list_is_independent_of_order(spark):
 
 
 def test_ranges_and_addresses(spark):
-    points = spark.createDataFrame([("p", "AI", "M", "02", "7"), ("q", "AO", "M", "02", "1"), ("r", "AI", "M", "03", "1")], "point string, io_type string, module string, slave string, channel string")
-    blocks = spark.createDataFrame([("M", "02", 132, 500), ("M", "02", 132, 400), ("M", "02", 149, 600)], "module string, slave string, fc int, block int")
-    spec = spark.createDataFrame([("M", 500, 5, "0"), ("M", 500, 6, "100"), ("M", 600, 16, "1"), ("M", 600, 17, "9")], "module string, block int, number int, value string")
-    got = {r.point: (r.block, r.zero, r.span, r.status) for r in loops.analog_ranges(points, blocks, spec).collect()}
-    assert got == {"p": (500, "0", "100", "DERIVED"), "q": (600, "1", "9", "DERIVED"), "r": (None, None, None, "UNRESOLVED")}
+    rows = [("p", "AI", "M", "02", "7"), ("q", "AO", "M", "2", "1"), ("r", "AI", "M", "03", "1"), ("w", "AI", "M", "02", "6"), ("x", "AI", "M", "02", "1"), ("y", "AI", "M", "02", None), ("z", "AI", "M", "02", "7")]
+    points = spark.createDataFrame(rows, "point string, io_type string, module string, slave string, channel string")
+    blocks = spark.createDataFrame([("M", "2", 132, 500), ("M", "2", 132, 400), ("M", "2", 149, 600), ("M", "2", 132, 450), ("M", "9", 132, 450)], "module string, slave string, fc int, block int")
+    spec = [("M", 500, 8, "0.5"), ("M", 500, 9, "100"), ("M", 600, 18, "1"), ("M", 600, 19, "9"), ("M", 500, 5, "-1"), ("M", 500, 6, "2.25"), ("M", 400, 5, "7"), ("M", 400, 6, "x")]
+    wires = spark.createDataFrame([("w", "M", 500, "R1"), ("x", "M", 500, "R1"), ("y", "M", 400, "R1"), ("z", "M", 500, "R1")], "point string, module string, block int, pin string")
+    got = {r.point: (r.block, r.position, r.low, r.low_status, r.high, r.high_status) for r in loops.analog_ranges(points, blocks, spark.createDataFrame(spec, "module string, block int, number int, value string"), wires).collect()}
+    assert got == {
+        "p": (500, 2, "0.5", "DERIVED", "100.5", "DERIVED"), "q": (600, 1, "1", "DERIVED", "10", "DERIVED"), "r": (None, None, None, "UNRESOLVED", None, "UNRESOLVED"),
+        "w": (500, 1, "-1", "EXTRACTED", "1.25", "DERIVED"), "x": (500, None, None, "UNRESOLVED", None, "UNRESOLVED"), "y": (400, 1, "7", "DERIVED", None, "UNRESOLVED"), "z": (500, None, None, "UNRESOLVED", None, "UNRESOLVED"),
+    }
     owners = spark.createDataFrame([("M", 100, [0, 1, 2]), ("M", 102, [0]), ("M", 200, [0]), ("M", 200, [0])], "module string, address int, offsets array<int>")
     values = spark.createDataFrame([("M", a) for a in (100, 101, 102, 103, 200, 15)], "module string, address int")
     assert {r.address: (r.status, r.target) for r in specs.resolve_addresses(values, owners, ["module"]).collect()} == {
