@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 IO_TAG = r"(?i)^(AI|AO|DI|DO)(\d+)?(?:-([A-Za-z0-9]+))?(?:/(.+))?\z"
 LOOP_LABEL = r"(?i)^(\d{3})([A-Z]{1,6})-([A-Z]?)(\d{1,4}[A-Z]?)(?:\.\d+)?(?:_[A-Z]+)?\z"
 DEVICE = r"^(\d{3})([A-Z]+)-?([A-Z]?)(\d{1,4}[A-Z]?)"
-REFERENCE = r"^([A-Z0-9 ]{2})([A-Z0-9 ]{2})-(\d{2})\.(\d{2})"
-#: Kinds of files by extension.
-FILE_KINDS = {
-    "cad": "CAD", "lbr": "LBR", "ref": "REF", "out": "OUT", "xrf": "XRF", "err": "ERR", "bnd": "BND", "mhd": "MHD",
-    "cfg": "CFG", "m1": "M1", "zip": "ZIP", "pdf": "PDF", "xlsx": "XLSX", "vfy": "VFY", "txt": "TXT",
-}
+REFERENCE = r"(?i)^([A-Z0-9 ]{2})([A-Z0-9 ]{2})-([0-9 ]{2})\.([0-9 ]{2})\z"
+LOCAL_ADDRESS, REMOTE = r"(?i)^block address of", r"(?i)\b(module|node|loop|pcu|remote)\b"
+#: Extensions that are kinds of their own; all others are OTHER.
+FILE_KINDS = ("CAD", "M1", "OUT", "REF", "XRF", "ERR", "CFG", "VFY", "LST", "LOG", "MHD", "MDC", "BND", "GES", "BAT")
 
 
 def part(text: Column, pattern: str, group: int) -> Column:
@@ -28,7 +26,7 @@ def parse_io_tag(raw: Column) -> Column:
 
 
 def is_physical_io(raw: Column) -> Column:
-    return F.coalesce(raw.rlike(r"(?i)^(AI|AO|DI|DO)\d"), F.lit(False))
+    return F.coalesce(F.trim(raw).rlike(r"(?i)^(AI|AO|DI|DO)\d"), F.lit(False))
 
 
 def io_bucket(*candidates: Column) -> Column:
@@ -37,8 +35,8 @@ def io_bucket(*candidates: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    """Upper-case file name without folders and extension."""
-    return F.upper(F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)\z", 1), r"\.[^.]*\z", ""))
+    """Upper-case file name without folders and the extension of sheets."""
+    return F.upper(F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)\z", 1), r"(?i)\.CAD\z", ""))
 
 
 def extension(path: Column) -> Column:
@@ -46,14 +44,14 @@ def extension(path: Column) -> Column:
 
 
 def file_kind(ext: Column) -> Column:
-    kinds = F.create_map(*[F.lit(x) for pair in FILE_KINDS.items() for x in pair])
-    return F.coalesce(F.try_element_at(kinds, F.coalesce(F.lower(ext), F.lit(""))), F.lit("OTHER"))
+    up = F.upper(ext)
+    return F.when(up.isin(*FILE_KINDS), up).otherwise("OTHER")
 
 
 def provenance(path: Column) -> Column:
-    """Struct of loop, cpu and module from the folders of a path."""
+    """Struct of loop, cpu and module from folders like L3, P7 and M5."""
     up = F.upper(path)
-    return F.struct(part(up, r"LOOP[ _-]?(\d+)", 1).alias("loop"), part(up, r"(?:CPU|PCU)[ _-]?(\d+)", 1).alias("cpu"), part(up, r"(?:^|[/\\])M(\d+)(?:[/\\]|\z)", 1).alias("module"))
+    return F.struct(*[part(up, rf"(?:^|[/\\])({letter}\d+)(?:[/\\]|\z)", 1).alias(name) for letter, name in (("L", "loop"), ("P", "cpu"), ("M", "module"))])
 
 
 def _parts(tag: Column, pattern: str) -> Column:
@@ -100,7 +98,7 @@ def squeeze(text: Column) -> Column:
 def parse_reference(raw: Column) -> Column:
     """Struct of prefix, sheet, row and column of a 10-character address `PPSS-RR.CC`, null where it doesn't parse."""
     padded = F.rpad(raw, 10, " ")
-    return F.struct(*[part(padded, REFERENCE, k).alias(n) for k, n in enumerate(("prefix", "sheet", "row", "column"), 1)])
+    return F.struct(*[F.trim(part(padded, REFERENCE, k)).alias(n) for k, n in enumerate(("prefix", "sheet", "row", "column"), 1)])
 
 
 def sheet_parts(name: Column) -> Column:
@@ -122,7 +120,7 @@ def differs_from_default(value: Column, default: Column) -> Column:
 
 def is_local_block_address(description: Column) -> Column:
     """Descriptions of block addresses in the module itself, not of remote ones."""
-    return F.coalesce(description.rlike(r"(?i)block address") & ~description.rlike(r"(?i)(remote|other module|external)"), F.lit(False))
+    return F.coalesce(description.rlike(LOCAL_ADDRESS) & ~description.rlike(REMOTE), F.lit(False))
 
 
 def expand_keys(template: Column, values: Column) -> Column:

@@ -30,6 +30,7 @@ def test_names_and_addresses(spark):
     assert one(spark, tags.device_parts(F.lit("131XS-M0102Brf"))).asDict() == {"area": "131", "letters": "XS", "number": "M102B", "base": "M102"} and one(spark, tags.canonical_device(F.lit("131xs-1"))) is None
     assert one(spark, tags.parse_reference(F.lit("BA00-14.26"))).asDict() == {"prefix": "BA", "sheet": "00", "row": "14", "column": "26"}
     assert one(spark, tags.parse_reference(F.lit("nope"))).prefix is None
+    assert one(spark, tags.is_local_block_address(F.lit("Block address of input"))) is True and one(spark, tags.is_local_block_address(F.lit("Block address of module input"))) is False
     assert one(spark, tags.output_address(F.lit("120+3"))) == 123 and one(spark, tags.output_address(F.lit("x"))) is None
     assert one(spark, tags.expand_keys(F.lit("A$N$B"), F.create_map(F.lit("N"), F.lit("7")))) == "A7B" and one(spark, tags.expand_keys(F.lit("A$M$B"), F.create_map(F.lit("N"), F.lit("7")))) is None
     assert one(spark, tags.instance_parameters(F.lit('A "1" B "2" A "3"'))) == {"A": "3", "B": "2"}

@@ -141,14 +141,14 @@ def test_archives(spark):
                 z.writestr(n, n.encode() * 3)
         return out.getvalue()
 
-    rows = binary.read_archives(raw(spark, pack("M9/LOOP 3/a.cad", "b.OUT"))).orderBy("path").collect()
-    assert [(r.path, r.length) for r in rows] == [("M9/LOOP 3/a.cad", 45), ("b.OUT", 15)]
+    rows = binary.read_archives(raw(spark, pack("M9/L3/P2/a.cad", "b.OUT"))).orderBy("path").collect()
+    assert [(r.path, r.length) for r in rows] == [("M9/L3/P2/a.cad", 42), ("b.OUT", 15)]
     for bad in ("../x", "/x", "C:/x"):
         with pytest.raises(Exception, match="unsafe"):
             binary.read_archives(raw(spark, pack(bad))).collect()
-    kinds = files.inventory(binary.read_archives(raw(spark, pack("M9/LOOP 3/a.cad", "b.OUT", "c"))))
+    kinds = files.inventory(binary.read_archives(raw(spark, pack("M9/L3/P2/a.cad", "b.OUT", "c"))))
     assert {r.kind: r.n_files for r in files.by_kind(kinds).collect()} == {"CAD": 1, "OUT": 1, "OTHER": 1}
-    assert kinds.where("kind = 'CAD'").first().module == "9" and kinds.where("kind = 'CAD'").first()["loop"] == "3"
+    assert kinds.where("kind = 'CAD'").first().module == "M9" and kinds.where("kind = 'CAD'").first()["loop"] == "L3"
 
 
 def test_runs_and_dumps(spark):
