@@ -63,30 +63,38 @@ def apply_wiring(specs: DataFrame, wires: DataFrame) -> DataFrame:
     return joined.select(*specs.columns, F.when(single, F.col("wired")).when(F.col("n").isNull(), F.col("value")).alias("effective"), status.alias("status"))
 
 
-def resolve_references(connectors: DataFrame, prefixes: DataFrame, sheets: DataFrame) -> DataFrame:
+def resolve_references(connectors: DataFrame, prefixes: DataFrame, sheets: DataFrame, registry: DataFrame, confirmed: DataFrame) -> DataFrame:
     """Partners of connectors (id, sheet, kind, tag, address, zone) by the addresses that they carry.
 
-    prefixes: prefix, sheet_prefix; sheets: sheet. Opposite kinds on the target sheet with the same tag: one in the zone is
-    EXPLICIT, one elsewhere DERIVED, several AMBIGUOUS with all candidates kept, none UNRESOLVED.
+    prefixes: prefix, sheet_prefix; sheets: sheet; registry: tag; confirmed: id of connectors whose address a listing has.
+    A blank address is a BOUNDARY_SIGNAL if the tag is registered. Another prefix is RESOLVED_EXTERNAL, EXPLICIT if it is
+    confirmed, else DERIVED. On the target sheet, among the opposite kind: one with the tag in the zone is EXPLICIT, one
+    with the tag elsewhere DERIVED; several, or only others in the zone, are AMBIGUOUS with all of them kept; else the
+    reference is UNRESOLVED. Sheets go by their first seven characters, tags without regard to case and spacing.
     """
-    norm = tags.squeeze(F.col("tag"))
     ref = tags.parse_reference(F.col("address"))
-    rows = connectors.withColumns({"__tag": norm, "__p": ref["prefix"], "__s": ref["sheet"], "__z": F.concat_ws(".", ref["row"], ref["column"])})
-    known = rows.join(prefixes, rows["__p"] == prefixes["prefix"], "left").withColumn("target_sheet", F.concat("sheet_prefix", "__s"))
-    present = sheets.select(F.col("sheet").alias("target_sheet"), F.lit(True).alias("__there")).distinct()
-    other = rows.select(F.col("id").alias("partner_id"), F.col("sheet").alias("target_sheet"), F.col("kind").alias("__kind"), F.col("__tag").alias("__partner_tag"), F.col("zone").alias("__partner_zone"))
-    pairs = known.join(other, "target_sheet", "left").withColumn("__fits", F.col("kind") != F.col("__kind"))
-    same, zone = F.col("__fits") & (F.col("__tag") == F.col("__partner_tag")), F.col("__fits") & (F.col("__z") == F.col("__partner_zone"))
-    found = pairs.groupBy("id", "sheet", "target_sheet", "__p", "sheet_prefix").agg(
-        F.count_if(same & zone).alias("n_exact"), F.count_if(same).alias("n_tag"), F.count_if(zone).alias("n_zone"), F.min(F.when(same & zone, F.col("partner_id"))).alias("__e"), F.min(F.when(same, F.col("partner_id"))).alias("__t"),
-        F.array_sort(F.collect_set(F.when(same | zone, F.col("partner_id")))).alias("candidates"),
-    ).join(present, "target_sheet", "left")
+    stem = lambda c: F.substring(c, 1, 7)
+    rows = connectors.withColumns({"__tag": tags.squeeze(F.col("tag")), "__p": ref["prefix"], "__s": ref["sheet"], "__z": F.concat_ws(".", ref["row"], ref["column"])})
+    known = rows.join(prefixes, rows["__p"] == prefixes["prefix"], "left").withColumn("__target", F.concat("sheet_prefix", "__s"))
+    present = sheets.groupBy(stem("sheet").alias("__target")).agg(F.min("sheet").alias("target_sheet"))
+    other = rows.select(F.col("id").alias("partner_id"), stem("sheet").alias("__target"), F.col("kind").alias("__kind"), F.col("__tag").alias("__partner_tag"), F.col("zone").alias("__partner_zone"))
+    pairs = known.join(other, "__target", "left")
+    fits = F.col("kind") != F.col("__kind")
+    same, zone = fits & (F.col("__tag") == F.col("__partner_tag")), fits & (F.col("__z") == F.col("__partner_zone"))
+    ids = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("partner_id"))))
+    found = pairs.groupBy("id", "sheet", "address", "__tag", "__p", "sheet_prefix", "__target").agg(ids(same & zone).alias("exact"), ids(same).alias("by_tag"), ids(zone).alias("by_zone"))
+    found = found.join(present, "__target", "left").join(registry.select(tags.squeeze(F.col("tag")).alias("__tag"), F.lit(True).alias("__known")).distinct(), "__tag", "left").join(confirmed.select("id", F.lit(True).alias("__sure")).distinct(), "id", "left")
+    inside = F.when(stem("sheet") == F.col("__target"), "RESOLVED_INTERNAL").otherwise("RESOLVED_CROSS_SHEET")
+    blank, n = F.coalesce(F.trim("address"), F.lit("")) == "", lambda c: F.size(c)
+    several = (n("exact") > 1) | ((n("exact") == 0) & ((n("by_tag") > 1) | ((n("by_tag") == 0) & (n("by_zone") > 0))))
     status = (
-        F.when(F.col("__p").isNull(), "UNRESOLVED").when(F.col("sheet_prefix").isNull(), "RESOLVED_EXTERNAL").when(F.col("__there").isNull(), "UNRESOLVED").when(F.col("n_exact") == 1, "EXPLICIT")
-        .when(F.col("n_exact") > 1, "AMBIGUOUS").when(F.col("n_tag") == 1, "DERIVED").when((F.col("n_tag") > 1) | (F.col("n_zone") > 0), "AMBIGUOUS").otherwise("UNRESOLVED")
+        F.when(blank, F.when(F.col("__known"), "BOUNDARY_SIGNAL").otherwise("UNRESOLVED")).when(F.col("__p").isNull(), "UNRESOLVED").when(F.col("sheet_prefix").isNull(), "RESOLVED_EXTERNAL")
+        .when(F.col("target_sheet").isNull(), "UNRESOLVED").when(several, "AMBIGUOUS").when((n("exact") == 1) | (n("by_tag") == 1), inside).otherwise("UNRESOLVED")
     )
-    partner = F.when(status == "EXPLICIT", F.col("__e")).when(status == "DERIVED", F.col("__t"))
-    return found.select("id", "sheet", "target_sheet", status.alias("status"), partner.alias("partner"), "candidates", (F.col("target_sheet") == F.col("sheet")).alias("internal"))
+    relation = F.when(status == "BOUNDARY_SIGNAL", "DERIVED").when(status == "RESOLVED_EXTERNAL", F.when(F.col("__sure"), "EXPLICIT").otherwise("DERIVED")).when(status.startswith("RESOLVED"), F.when(n("exact") == 1, "EXPLICIT").otherwise("DERIVED")).otherwise("UNRESOLVED")
+    partner = F.when(status.isin("RESOLVED_INTERNAL", "RESOLVED_CROSS_SHEET"), F.coalesce(F.try_element_at("exact", F.lit(1)), F.try_element_at("by_tag", F.lit(1))))
+    candidates = F.when(status == "AMBIGUOUS", F.when(n("exact") > 0, F.col("exact")).when(n("by_tag") > 0, F.col("by_tag")).otherwise(F.col("by_zone"))).otherwise(F.array_compact(F.array(partner)))
+    return found.select("id", "sheet", "target_sheet", status.alias("status"), relation.alias("relation"), partner.alias("partner"), candidates.alias("candidates"))
 
 
 def block_summary(blocks: DataFrame) -> DataFrame:

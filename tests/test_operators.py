@@ -138,11 +138,16 @@ def test_ranges_and_addresses(spark):
 
 
 def test_references_and_wiring(spark):
-    c = [(1, "30705Z2", "IREF", "T A", "BAZ3-08.07", "01.01"), (2, "30705Z3", "OREF", "t  a", None, "08.07"), (3, "30705Z2", "IREF", "B", "BAZ3-01.01", "01.02"), (4, "30705Z2", "IREF", "C", "QQ00-01.01", "01.03"), (5, "30705Z2", "IREF", "D", "bad", "01.04"), (6, "30705Z2", "IREF", "T A", "BAZ3-09.09", "01.05")]
+    c = [(1, "30705Z2A", "IREF", "T A", "BAZ3-08.07", "01.01"), (2, "30705Z3A", "OREF", "t  a", None, "08.07"), (3, "30705Z2A", "IREF", "B", "BAZ3-01.01", "01.02"), (4, "30705Z2A", "IREF", "C", "QQ00-01.01", "01.03"), (5, "30705Z2A", "IREF", "D", "bad", "01.04")]
+    c += [(6, "30705Z2A", "IREF", "T A", "BAZ3-09.09", "01.05"), (7, "30705Z2A", "IREF", "E", "BAZ3-08.07", "01.06"), (8, "30705Z2A", "IREF", "REG", "", "01.07"), (9, "30705Z2A", "IREF", "F", "BAZ9-01.01", "01.08"), (10, "30705Z2A", "IREF", "C2", "QQ00-01.01", "01.09")]
     connectors = spark.createDataFrame(c, "id int, sheet string, kind string, tag string, address string, zone string")
-    prefixes, sheets = spark.createDataFrame([("BA", "30705")], "prefix string, sheet_prefix string"), spark.createDataFrame([("30705Z2",), ("30705Z3",)], "sheet string")
-    got = {r.id: (r.status, r.partner) for r in specs.resolve_references(connectors, prefixes, sheets).collect()}
-    assert got == {1: ("EXPLICIT", 2), 2: ("UNRESOLVED", None), 3: ("UNRESOLVED", None), 4: ("RESOLVED_EXTERNAL", None), 5: ("UNRESOLVED", None), 6: ("DERIVED", 2)}
+    prefixes, sheets = spark.createDataFrame([("BA", "30705")], "prefix string, sheet_prefix string"), spark.createDataFrame([("30705Z2A",), ("30705Z3A",)], "sheet string")
+    got = specs.resolve_references(connectors, prefixes, sheets, spark.createDataFrame([("reg",)], "tag string"), spark.createDataFrame([(10,)], "id int"))
+    assert {r.id: (r.status, r.relation, r.partner) for r in got.collect()} == {
+        1: ("RESOLVED_CROSS_SHEET", "EXPLICIT", 2), 2: ("UNRESOLVED", "UNRESOLVED", None), 3: ("UNRESOLVED", "UNRESOLVED", None), 4: ("RESOLVED_EXTERNAL", "DERIVED", None), 5: ("UNRESOLVED", "UNRESOLVED", None),
+        6: ("RESOLVED_CROSS_SHEET", "DERIVED", 2), 7: ("AMBIGUOUS", "UNRESOLVED", None), 8: ("BOUNDARY_SIGNAL", "DERIVED", None), 9: ("UNRESOLVED", "UNRESOLVED", None), 10: ("RESOLVED_EXTERNAL", "EXPLICIT", None),
+    }
+    assert {r.id: r.candidates for r in got.collect()}[7] == [2]
     stored = spark.createDataFrame([(1, "10"), (2, "20"), (3, "30"), (4, "40")], "spec int, value string")
     wires = spark.createDataFrame([(1, "10", "INFERRED"), (2, "21", "DERIVED"), (3, "31", "EXPLICIT"), (3, "32", "EXPLICIT")], "spec int, address string, status string")
     assert {r.spec: (r.effective, r.status) for r in specs.apply_wiring(stored, wires).collect()} == {1: ("10", "EXPLICIT"), 2: ("21", "DERIVED"), 3: (None, "UNRESOLVED"), 4: ("40", "STORED")}
