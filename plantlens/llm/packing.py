@@ -44,12 +44,14 @@ def optimal_boundaries(longest: np.ndarray, n: np.ndarray, buckets: int) -> list
     longest, docs = longest.astype(np.float64), np.concatenate([[0], np.cumsum(n)]).astype(np.float64)
     best, cuts = longest * docs[1:], []
     for _ in range(min(buckets, len(longest)) - 1):
-        # the last bucket starts after cell i and ends with cell j: its documents times the length of cell j
-        cost = np.concatenate([[0.0], best[:-1]])[:, None] + longest[None, :] * (docs[None, 1:] - docs[:-1, None])
-        cost[np.tril_indices(len(longest), -1)] = np.inf
-        cut = cost.argmin(axis=0)
+        # the last bucket starts after cell i - 1 and ends with cell j: its documents times the length of cell j
+        before, now, cut = np.concatenate([[0.0], best[:-1]]), best.copy(), np.zeros(len(longest), np.int64)
+        for j in range(len(longest)):
+            cost = before[: j + 1] + longest[j] * (docs[j + 1] - docs[: j + 1])
+            cut[j] = cost.argmin()
+            now[j] = min(best[j], cost[cut[j]])
         cuts.append(cut)
-        best = np.minimum(best, cost[cut, np.arange(len(longest))])
+        best = now
     end, out = len(longest) - 1, []
     for cut in reversed(cuts):
         out.append(int(longest[end]))

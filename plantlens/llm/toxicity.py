@@ -41,8 +41,8 @@ class ToxicitySettings:
 
     folds: int = 3
     held_fold: int = 1
-    sample: int = 600
-    sample_bytes: int = 65_536
+    sample: int = 400
+    sample_bytes: int = 32_768
     support: float = 0.002
     threshold: float = 0.7
     steps: int = 80
