@@ -30,6 +30,10 @@ OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 #: Up to this many rows are broadcast to join texts; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Matches of a text whose lengths are added up together.
+CHUNK = 128
+#: Code points of a cell, in which mentions meet the base spans that they overlap.
+CELL = 256
 
 
 @dataclass(frozen=True)
@@ -41,17 +45,39 @@ class PiiSettings:
     rounds: int = 3
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _cut(array: Column) -> Column:
+    """Consecutive pieces of an array, of CHUNK elements at most."""
+    firsts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(firsts, lambda first: F.slice(array, first, CHUNK))
+
+
 def _places(text: Column, regex: str) -> Column:
-    """Matches in their order: (gap, match, start), gap being the text since the match before."""
-    found, gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(g.alias("gap"), m.alias("match")))
-    none = F.array().cast("array<struct<gap:string,match:string,start:int>>")
+    """Matches in their order: (gap, match, start), gap being the text since the match before.
+
+    Starts are added up in two levels, as appending to one array costs the square of the number of matches.
+    """
+    pairs = F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    pairs = F.filter(pairs, lambda p: p.match.isNotNull())
+    length = lambda p: F.length(p.gap) + F.length(p.match)
+
+    def chunk_start(acc, chunk):
+        return F.struct((acc.at + F.aggregate(chunk, F.lit(0), lambda n, p: n + length(p))).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
 
-    def step(acc, p):
+    def place(acc, p):
         start = acc.at + F.length(p.gap)
         return F.struct((start + F.length(p.match)).alias("at"), F.concat(acc.out, F.array(F.struct(p.gap.alias("gap"), p.match.alias("match"), start.alias("start")))).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step).out
+    def placed(chunks):
+        starts = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), chunk_start).out
+        none = F.array().cast("array<struct<gap:string,match:string,start:int>>")
+        return F.flatten(F.zip_with(chunks, starts, lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), place).out))
+
+    return _let(_let(pairs, _cut), placed)
 
 
 def _luhn(digits: Column) -> Column:
@@ -67,7 +93,7 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return match.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
     if kind == "card":
-        return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
+        return _let(digits, lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False))
     return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
 
@@ -114,14 +140,18 @@ def find_spans(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFr
     text = F.coalesce("text", F.lit(""))
     scanned = stage_table(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), base_spans(text).alias("base"), _mentions(text).alias("mentions")), "pii-scan")
 
-    within = F.filter("base", lambda s: (s.start < F.col("m.end")) & (s.end > F.col("m.start")))
-    mentions = scanned.where(F.size("mentions") > 0).select("uid", "base", F.explode("mentions").alias("m"))
-    mentions = mentions.select("uid", "m.start", "m.end", F.xxhash64("m.core").alias("instance"), F.try_element_at(within, F.lit(1))["kind"].alias("kind"), "m.left1", "m.left2", _shape(F.col("m.core")).alias("shape"))
     patterns = F.array(
-        F.when(F.col("left1") != "", F.xxhash64(F.lit(1), "left1", "shape")),
-        F.when(F.col("left2") != "", F.xxhash64(F.lit(2), "left2")),
+        F.when(F.col("m.left1") != "", F.xxhash64(F.lit(1), "m.left1", _shape(F.col("m.core")))),
+        F.when(F.col("m.left2") != "", F.xxhash64(F.lit(2), "m.left2")),
     )
-    mentions = stage_table(mentions.select("uid", "start", "end", "instance", "kind", F.array_compact(patterns).alias("patterns")), "pii-mentions")
+    # repeated rows have equal mentions; one of each goes on
+    mentions = scanned.select("uid", F.explode("mentions").alias("m")).select("uid", "m.start", "m.end", F.xxhash64("m.core").alias("instance"), F.array_compact(patterns).alias("patterns")).distinct()
+    mentions = stage_table(mentions, "pii-mentions")
+    cell = lambda start, end: F.explode(F.sequence(F.floor(start / CELL), F.floor((end - 1) / CELL))).alias("cell")
+    spans = scanned.select("uid", F.explode("base").alias("s")).select("uid", F.col("s.start").alias("from"), "s.rank", F.col("s.end").alias("to"), F.col("s.kind").alias("kind"), cell(F.col("s.start"), F.col("s.end"))).distinct()
+    met = mentions.select("uid", "start", "end", cell(F.col("start"), F.col("end"))).join(spans, ["uid", "cell"]).where("from < end and to > start")
+    kinds = met.groupBy("uid", "start", "end").agg(F.min_by("kind", F.struct("from", "rank")).alias("kind"))
+    mentions = stage_table(mentions.join(kinds, ["uid", "start", "end"], "left"), "pii-kinds")
 
     seeds = mentions.groupBy("instance").agg(F.max("kind").alias("kind"))
     edges = mentions.select(F.explode("patterns").alias("pattern"), "instance").distinct()
@@ -163,14 +193,26 @@ def pii_report(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFr
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by its kind in angle brackets."""
+    """The text with each span, or run of overlapping spans, replaced by its kind in angle brackets.
+
+    The text is cut into regions of CHUNK spans first, so that not every span is looked up from the text's start.
+    """
+
+    def region(acc, chunk):
+        stop = F.greatest(acc.at, F.array_max(F.transform(chunk, lambda s: s.end)))
+
+        def shown(r):
+            def step(now, s):
+                piece = F.concat(now.out, F.substr(r.text, now.at - r.at + 1, s.start - now.at), F.lit("<"), F.upper(s.kind), F.lit(">"))
+                return F.struct(F.greatest(now.at, s.end).alias("at"), F.when(s.start >= now.at, piece).otherwise(now.out).alias("out"))
+
+            return F.aggregate(chunk, F.struct(r.at.alias("at"), F.lit("").alias("out")), step)
 
-    def step(acc, s):
-        shown = F.when(s.start >= acc.at, F.concat(acc.out, F.substr(text, acc.at + 1, s.start - acc.at), F.lit("<"), F.upper(s.kind), F.lit(">"))).otherwise(acc.out)
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), shown.alias("out"))
+        inner = _let(F.struct(acc.at.alias("at"), F.substr(text, acc.at + 1, stop - acc.at).alias("text")), shown)
+        return _let(inner, lambda i: F.struct(i.at.alias("at"), F.concat(acc.out, i.out).alias("out")))
 
-    masked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) > 0, F.concat(masked.out, F.substr(text, masked.at + 1, F.length(text)))).otherwise(text)
+    masked = F.aggregate(_let(spans, _cut), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), region)
+    return F.when(F.size(spans) > 0, _let(masked, lambda m: F.concat(m.out, F.substr(text, m.at + 1, F.length(text))))).otherwise(text)
 
 
 def mask_documents(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFrame:

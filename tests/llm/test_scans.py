@@ -53,6 +53,19 @@ def test_masking_keeps_columns(spark, docs):
     assert pii.mask_documents(docs).columns == docs.columns
 
 
+def test_texts_with_many_spans(spark):
+    parts = [f"w{i} user{i}@mail.example.com x {i % 300}.2.3.4, +1 (555) 123-{i % 9000 + 1000} é{i}" for i in range(1500)]
+    rows = spark.createDataFrame([(1, " ".join(parts), 1.0)] * 3, "doc_id long, text string, spans double")
+    want = spans(rows.first().text)
+    for r in pii.pii_report(rows).collect():
+        assert {f"{k}:{s}:{e}" for s, _, e, k in want} <= set(r.spans.split(","))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in want).encode()).hexdigest()
+    ip = lambda i: "<IP>" if i % 300 < 256 else f"{i % 300}.2.3.4"
+    assert {r.text for r in pii.mask_documents(rows).collect()} == {" ".join(f"w{i} <EMAIL> x {ip(i)}, <PHONE> é{i}" for i in range(1500))}
+    overlapping = spark.createDataFrame([("0123456789" * 40, [(i, 0, i + 15, "card") for i in range(5, 300)])], f"text string, spans array<{pii.SPAN}>")
+    assert overlapping.select(pii.mask(F.col("text"), F.col("spans")).alias("t")).first().t == "01234<CARD>" + ("0123456789" * 40)[314:]
+
+
 def test_license_scan(spark, docs, corpus, no_docs):
     texts = [
         "x " * 70 + "Released under the MIT\nLicense. Apache-license; GNU general   public license v3", "Licensed under CC BY-NC 4.0.", "released under the license", None, "", "É MIT license é", "mitlicense mit.license",
