@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantlens.llm.common import WORD, fold_remainder, hashes_of, slices, words_of
+from plantlens.llm.common import WORD, fold_remainder, hashes_of, shared_folder, slices, words_of
 from plantlens.llm.packed import Layout
 
 #: Up to this many labels are broadcast to join the documents; more are joined by a shuffle.
@@ -146,9 +146,10 @@ class Field:
 
 def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> Field:
     """Learns from the labelled rows of docs outside the held-out fold. Without labels of both kinds it knows a prior only."""
+    shared_folder(docs.sparkSession)
     learn = labels.where("toxic in (0, 1)").where(fold_remainder(F.col("doc_id"), settings.folds) != settings.held_fold)
     learn = learn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # a document that is ever marked is toxic
-    rows = docs.select("doc_id", "text").join(F.broadcast(learn) if learn.count() <= BROADCAST_LABELS else learn, "doc_id")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").join(F.broadcast(learn) if learn.count() <= BROADCAST_LABELS else learn, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In how many texts of either label each word is, by its hash; the null word counts the texts."""
@@ -180,9 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxic
     model = Field(lexicon["word"].to_numpy(np.int64), classes.astype(np.int64), prior)
     fits = rows.where(F.octet_length("text") <= settings.sample_bytes)
     order = F.xxhash64(F.lit(11), "doc_id")
-    # ids first, so that no task sends more than them; then the texts of those that were chosen
-    chosen = [fits.where(F.col("toxic") == x).select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(settings.sample).select("doc_id") for x in (1, 0)]
-    sample = [rows.join(F.broadcast(ids.distinct()), "doc_id").where(F.octet_length("text") <= settings.sample_bytes).select("text").toPandas() for ids in chosen]
+    # hashes first, so that no task sends more than them; then the texts of those that were chosen, repeated rows once
+    chosen = [fits.where(F.col("toxic") == x).select(order.alias("order"), "uid").distinct().orderBy("order", "uid").limit(settings.sample).select("uid") for x in (1, 0)]
+    sample = [fits.join(F.broadcast(uids), "uid").dropDuplicates(["uid"]).select("uid", "text").toPandas().sort_values("uid") for uids in chosen]
     if all(len(s) for s in sample):
         weight = np.concatenate([np.full(len(s), n / len(s)) for s, n in zip(sample, (n_toxic, n_clean))])
         toxic = np.concatenate([np.full(len(s), x, bool) for s, x in zip(sample, (True, False))])
