@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rounds whose results stay apart before they are written together.
+PARTS = 16
+
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Uses spark.checkpoint.dir; sets a folder of its own only where none is set."""
@@ -19,17 +23,24 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def bfs_hops(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """(node, hops) of the nodes within max_hops of any source, over undirected edges (a, b)."""
-    ensure_checkpoints(edges.sparkSession)
-    step, seen = both_ways(edges).checkpoint(), sources.select("node").distinct().withColumn("hops", F.lit(0))
+def _spread(step: DataFrame, roots: DataFrame, name: str, limit: int | None) -> DataFrame:
+    """(node, name) with the least number of steps (a, b) from any root; ends when no new node is met, or at the limit."""
+    seen = roots.select("node").distinct().withColumn(name, F.lit(0))
     front = seen
-    for hop in range(1, max_hops + 1):
-        front = front.join(step, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
-        seen = seen.union(front)
+    for n in count(1) if limit is None else range(1, limit + 1):
+        front = front.join(step, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn(name, F.lit(n)).checkpoint()
+        if front.isEmpty():
+            break
+        seen = seen.union(front) if n % PARTS else seen.union(front).checkpoint()
     return seen
 
 
+def bfs_hops(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(node, hops) of the nodes that undirected edges (a, b) join to any source, within max_hops if it is given."""
+    ensure_checkpoints(edges.sparkSession)
+    return _spread(both_ways(edges).checkpoint(), sources, "hops", max_hops)
+
+
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) with the least node of each component, by alternating large-star and small-star steps."""
     ensure_checkpoints(edges.sparkSession)
@@ -45,49 +56,56 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
-def longest_path_layers(edges: DataFrame, cap: int = 40) -> DataFrame:
-    """(node, layer): the most edges of a path that ends in the node, relaxed until nothing changes or the cap is met."""
+def longest_path_layers(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """(node, layer): the most edges of a path that ends in the node. A cycle, or a layer beyond the cap, is an error.
+
+    Each round takes away the nodes that no edge leads to any more.
+    """
     ensure_checkpoints(edges.sparkSession)
-    edges = edges.select("a", "b").distinct().checkpoint()
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    now, total = nodes.withColumn("layer", F.lit(0)).checkpoint(), 0
-    for _ in range(cap):
-        pushed = edges.join(now, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg((F.max("layer") + 1).alias("pushed"))
-        now = now.join(pushed, "node", "left").select("node", F.greatest("layer", F.coalesce("pushed", F.lit(0))).alias("layer")).checkpoint()
-        new = now.agg(F.sum("layer")).first()[0]
-        if new == total:
+    left = edges.select("a", "b").distinct().checkpoint()
+    waiting, done = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().checkpoint(), None
+    for layer in count():
+        ready = waiting.join(left.select(F.col("b").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(layer)).checkpoint()
+        if ready.isEmpty():
             break
-        total = new
-    return now
+        if cap is not None and layer > cap:
+            raise RuntimeError(f"paths longer than {cap} edges")
+        done = ready if done is None else done.union(ready) if layer % PARTS else done.union(ready).checkpoint()
+        waiting = waiting.join(ready, "node", "left_anti").checkpoint()
+        left = left.join(ready.select(F.col("node").alias("a")), "a", "left_anti").checkpoint()
+    if not waiting.isEmpty():
+        raise RuntimeError("edges have a cycle")
+    return ready if done is None else done
+
 
+def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node) on a cycle or between cycles: what stays when nodes without an edge in or without one out are taken away.
 
-def cycle_nodes(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node) on a cycle or between cycles: what stays when nodes without an edge in or without one out are taken away."""
+    If max_rounds is given and edges still go in the last one, that is an error.
+    """
     ensure_checkpoints(edges.sparkSession)
     now = edges.select("a", "b").distinct().checkpoint()
     n = now.count()
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         now = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b").checkpoint()
         left = now.count()
         if left == n:
             break
         n = left
+    else:
+        raise RuntimeError(f"cycles not settled after {max_rounds} rounds")
     return now.select(F.col("a").alias("node")).union(now.select("b")).distinct()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_hops: int = 8) -> DataFrame:
-    """(node, depth) of what directed edges lead to from the roots, with the least depth."""
+def reachable(edges: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(node, depth) of what directed edges lead to from the roots, with the least depth; within max_hops if it is given."""
     ensure_checkpoints(edges.sparkSession)
-    edges = edges.select("a", "b").distinct().checkpoint()
-    seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for depth in range(1, max_hops + 1):
-        front = front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        seen = seen.union(front)
-    return seen
+    return _spread(edges.select("a", "b").distinct().checkpoint(), roots, "depth", max_hops)
 
 
 def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:

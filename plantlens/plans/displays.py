@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,17 +102,17 @@ def template_report(instances: DataFrame) -> DataFrame:
     return instances.groupBy("template").agg(F.count("*").alias("n_instances"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
 
 
-def flatten(roots: DataFrame, children: DataFrame, max_depth: int = 8) -> DataFrame:
+def flatten(roots: DataFrame, children: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every placement of every object below the roots: (path, id, depth, trail, m), m the composed transform.
 
     roots: path, id, m; children: path, id, child, cm (transform of the child in its parent). An object that would stand
-    below itself is left out; deeper placements than max_depth too.
+    below itself is left out, so that an end is certain; deeper placements than max_depth too, if it is given.
     """
     ensure_checkpoints(roots.sparkSession)
     below = children.select("path", "id", "child", "cm").checkpoint()
     front = roots.select("path", "id", F.lit(0).alias("depth"), F.array("id").alias("trail"), "m")
     seen = front
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.join(below, ["path", "id"]).where(~F.array_contains("trail", F.col("child")))
         front = step.select("path", F.col("child").alias("id"), F.lit(depth).alias("depth"), F.array_append("trail", F.col("child")).alias("trail"), numbers.compose(F.col("m"), F.col("cm")).alias("m")).checkpoint()
         if not front.limit(1).count():

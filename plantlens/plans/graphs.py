@@ -39,7 +39,7 @@ def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bfs_hops_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = whole_supply_edges(spark, sf_dir)
-    return graph.bfs_hops(edges, edges.where("b > -4").select(F.col("b").alias("node")), 6)
+    return graph.bfs_hops(edges, edges.where("b > -4").select(F.col("b").alias("node")))
 
 
 @query(f"""

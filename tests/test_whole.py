@@ -6,6 +6,8 @@ import pandas as pd
 import pytest
 
 from plantlens import catalog
+from plantlens.operators import graph
+from plantlens.plans import displays
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +45,7 @@ def test_supply_graph(spark, data):
     got = run(spark, "components_whole", data)
     assert len(got) == len(nodes) and {r.node: r.component for r in got} == {n: min(reached(both, [n])) for n in nodes}
     got = run(spark, "bfs_hops_whole", data)
-    want = {n: h for n, h in reached(both, [b for _, b in edges if b > -4]).items() if h <= 6}
+    want = reached(both, [b for _, b in edges if b > -4])
     assert len(got) == len(want) and {r.node: r.hops for r in got} == want
 
 
@@ -60,3 +62,28 @@ def test_cycle_nodes(spark, data):
     on = {n for n in nodes if n in after[n]}
     want = on | {n for c in on for n in after[c] if after[n] & on}
     assert want and {r.node for r in run(spark, "cycle_nodes_whole", data)} == want
+
+
+def test_iterations_end_where_nothing_changes(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    root = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.depth for r in graph.reachable(chain, root).collect()} == {i: i for i in range(13)}
+    assert {r.node: r.hops for r in graph.bfs_hops(chain, root).collect()} == {i: i for i in range(13)}
+    assert {r.node: r.depth for r in graph.reachable(chain, root, 3).collect()} == {i: i for i in range(4)}
+    assert {r.node: r.layer for r in graph.longest_path_layers(chain).collect()} == {i: i for i in range(13)}
+    assert graph.cycle_nodes(chain).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.cycle_nodes(chain, max_rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.longest_path_layers(chain, cap=5)
+    with pytest.raises(RuntimeError):
+        graph.longest_path_layers(chain.union(spark.createDataFrame([(12, 4)], "a long, b long")))
+
+
+def test_flatten_has_no_depth_limit(spark):
+    m = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
+    one = (1.0, 0.0, 0.0, 1.0, 1.0, 0.0)
+    roots = spark.createDataFrame([("f", 0, one)], f"path string, id int, m {m}")
+    children = spark.createDataFrame([("f", i, i + 1, one) for i in range(11)], f"path string, id int, child int, cm {m}")
+    assert {r.id: r.depth for r in displays.flatten(roots, children).collect()} == {i: i for i in range(12)}
+    assert displays.flatten(roots, children, 8).count() == 9
