@@ -147,13 +147,24 @@ def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.bag_intersection(tokens(table(spark, sf_dir, "documents").where("lang = 'en'")), tokens(table(spark, sf_dir, "benchmark")), ["token"])
 
 
+def _profile(texts: DataFrame) -> DataFrame:
+    """(place, class, n): characters of each class at each place, counted before the shuffle."""
+    chars = texts.where(F.length("text") > 0).select(F.posexplode(F.split("text", "")).alias("p", "ch")).where(F.col("ch") != "")
+    kind = F.when(F.col("ch").rlike("[A-Za-z]"), "letter").when(F.col("ch").rlike("[0-9]"), "digit").when(F.col("ch").isin(" ", "\t", "\n"), "space").otherwise("other")
+    return chars.groupBy((F.col("p") + 1).cast("long").alias("place"), kind.alias("class")).agg(F.count("*").alias("n"))
+
+
 @query("""
     WITH c AS (SELECT unnest(generate_series(1, least(length(text), 64))) AS place, text FROM documents), k AS (SELECT place, substr(text, place, 1) AS ch FROM c)
     SELECT place, CASE WHEN regexp_matches(ch, '[A-Za-z]') THEN 'letter' WHEN regexp_matches(ch, '[0-9]') THEN 'digit' WHEN ch IN (' ', chr(9), chr(10)) THEN 'space' ELSE 'other' END AS class, count(*) AS n FROM k GROUP BY ALL""")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.posexplode(F.split(F.substring("text", 1, 64), "")).alias("p", "ch")).where(F.col("ch") != "")
-    kind = F.when(F.col("ch").rlike("[A-Za-z]"), "letter").when(F.col("ch").rlike("[0-9]"), "digit").when(F.col("ch").isin(" ", "\t", "\n"), "space").otherwise("other")
-    return chars.groupBy((F.col("p") + 1).cast("long").alias("place"), kind.alias("class")).agg(F.count("*").alias("n"))
+    return _profile(table(spark, sf_dir, "documents").select(F.substring("text", 1, 64).alias("text")))
+
+
+@query()
+def column_profile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile over whole texts; column_profile keeps the first 64 characters that its SQL takes."""
+    return _profile(table(spark, sf_dir, "documents"))
 
 
 @query("""

@@ -1,6 +1,7 @@
 """Queries over all rows, against brute force on small tables with rows that the cuts of the SQL would drop."""
 
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -17,6 +18,7 @@ def data(tmp_path_factory):
         "customer": pd.DataFrame({"c_custkey": range(30)}),
         "orders": pd.DataFrame([(k, rng.randrange(25)) for k in range(60)], columns=["o_orderkey", "o_custkey"]),
         "lineitem": pd.DataFrame([(rng.randrange(40), rng.randrange(25), rng.choice([1.0, 50.0]), rng.choice([0.0, 0.05])) for _ in range(45)], columns=["l_partkey", "l_suppkey", "l_quantity", "l_discount"]),
+        "documents": pd.DataFrame({"text": ["ab 1" * 40, "é9\t" * 30 + "🙂z", "", None, "x"]}),
     }
     for name, rows in tables.items():
         rows.to_parquet(folder / f"{name}.parquet")
@@ -87,3 +89,9 @@ def test_flatten_has_no_depth_limit(spark):
     children = spark.createDataFrame([("f", i, i + 1, one) for i in range(11)], f"path string, id int, child int, cm {m}")
     assert {r.id: r.depth for r in displays.flatten(roots, children).collect()} == {i: i for i in range(12)}
     assert displays.flatten(roots, children, 8).count() == 9
+
+
+def test_column_profile(spark, data):
+    kind = lambda c: "letter" if c.isascii() and c.isalpha() else "digit" if c in "0123456789" else "space" if c in " \t\n" else "other"
+    want = Counter((i, kind(c)) for t in data[1]["documents"].text if t for i, c in enumerate(t, 1))
+    assert {(r.place, r["class"]): r.n for r in run(spark, "column_profile_whole", data)} == want
