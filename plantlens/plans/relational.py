@@ -1,4 +1,7 @@
-"""Queries of joins, windows, aggregates and validation."""
+"""Queries of joins, windows, aggregates and validation.
+
+Where the SQL of a query holds only a cut of the rows, the query keeps to it, and one named _whole, without SQL, takes all.
+"""
 
 from __future__ import annotations
 
@@ -108,10 +111,20 @@ def segment_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM low l LEFT JOIN own e USING (module, address)""")
 def address_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An address is its owner's, or an output of the nearest lower owner, or a fixed one."""
+    return _resolved(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").where("p_partkey % 7 = 0"))
+
+
+@query()
+def address_resolve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part owns its address."""
+    return _resolved(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def _resolved(lines: DataFrame, owners: DataFrame) -> DataFrame:
     from plantlens.plans.specs import resolve_addresses
 
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_partkey") / 1000).alias("module"), (F.col("l_partkey") + F.col("l_linenumber")).alias("address"))
-    owners = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.floor(F.col("p_partkey") / 1000).alias("module"), F.col("p_partkey").alias("address"), F.sequence(F.lit(0), F.lit(3)).alias("offsets"))
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_partkey") / 1000).alias("module"), (F.col("l_partkey") + F.col("l_linenumber")).alias("address"))
+    owners = owners.select(F.floor(F.col("p_partkey") / 1000).alias("module"), F.col("p_partkey").alias("address"), F.sequence(F.lit(0), F.lit(3)).alias("offsets"))
     return resolve_addresses(lines, owners, ["module"], fixed_up_to=29)
 
 
@@ -151,9 +164,19 @@ def partner_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT p_partkey, label, abs(y - ly) + 0.1 * abs(x - lx) AS score FROM q JOIN l USING (p_type) WHERE abs(x - lx) <= 5 AND abs(y - ly) <= 40)
     SELECT p_partkey, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 6), label) AS r FROM m) WHERE r = 1""")
 def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    labels = parts.where("p_partkey % 10 = 0").select("p_type", F.col("p_partkey").alias("label"), F.col("x").alias("right_x"), F.col("y").alias("right_y"))
-    close = joins.near(parts, labels, ["p_type"], "y", 40.0).where("abs(x - right_x) <= 5")
+    return _nearest(table(spark, sf_dir, "part"), table(spark, sf_dir, "part").where("p_partkey % 10 = 0"))
+
+
+@query()
+def nearest_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a label, but not its own."""
+    return _nearest(table(spark, sf_dir, "part"), table(spark, sf_dir, "part"), "p_partkey <> label")
+
+
+def _nearest(parts: DataFrame, labels: DataFrame, condition: str = "true") -> DataFrame:
+    places = lambda df: df.select("p_partkey", "p_type", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    labels = places(labels).select("p_type", F.col("p_partkey").alias("label"), F.col("x").alias("right_x"), F.col("y").alias("right_y"))
+    close = joins.near(places(parts), labels, ["p_type"], "y", 40.0).where("abs(x - right_x) <= 5").where(condition)
     score = F.round(F.abs(F.col("y") - F.col("right_y")) + 0.1 * F.abs(F.col("x") - F.col("right_x")), 6)
     best = close.withColumn("score", score).groupBy("p_partkey").agg(F.min(F.struct("score", "label")).alias("b"))
     return best.select("p_partkey", "b.label", "b.score")
@@ -352,8 +375,19 @@ def spec_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, text, EXISTS (SELECT 1 FROM f WHERE f.p_brand = p.p_brand AND length(other) >= 3 AND (contains(other, text) OR contains(text, other))) AS recovered FROM p""")
 def fuzzy_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    plotted = part.where("p_partkey % 3 = 0").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    found = part.where("p_partkey % 3 = 1").select("p_brand", F.explode(F.array(F.concat_ws(" ", F.lower("p_type"), "p_name"), F.col("p_name"))).alias("text"))
+    return _recovered(part.where("p_partkey % 3 = 0"), part.where("p_partkey % 3 = 1"))
+
+
+@query()
+def fuzzy_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts up to size 25 are looked for among the larger ones: each part is on one of the two sides."""
+    part = table(spark, sf_dir, "part")
+    return _recovered(part.where("p_size <= 25"), part.where("p_size > 25 or p_size is null"))
+
+
+def _recovered(plotted: DataFrame, found: DataFrame) -> DataFrame:
+    plotted = plotted.select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    found = found.select("p_brand", F.explode(F.array(F.concat_ws(" ", F.lower("p_type"), "p_name"), F.col("p_name"))).alias("text"))
     return comparison.recovered_texts(plotted, found, ["p_brand"]).select("p_partkey", "text", "recovered")
 
 
@@ -396,6 +430,15 @@ def payload_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     t AS (SELECT o_custkey, anchor, bool_and(abs(anchor - round((anchor - y) / 20) * 20 - y) < 0.01 AND round((anchor - y) / 20) BETWEEN 0 AND 3) AS ok FROM c JOIN w USING (o_custkey) GROUP BY ALL)
     SELECT o_custkey, min(anchor) AS anchor FROM t WHERE ok AND anchor - 60 >= 60 - 2 AND anchor <= 160 + 2 GROUP BY o_custkey HAVING count(*) = 1""")
 def unique_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchors(table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"))
+
+
+@query()
+def unique_anchor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchors(table(spark, sf_dir, "orders"))
+
+
+def _anchors(orders: DataFrame) -> DataFrame:
     y = (F.col("o_orderkey") % 7 * 10 + 100).cast("double")
-    witnesses = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_custkey", y.alias("y"), F.lit(4).alias("slots"), F.lit(20.0).alias("pitch"), F.lit(60.0).alias("low"), F.lit(160.0).alias("high"))
+    witnesses = orders.select("o_custkey", y.alias("y"), F.lit(4).alias("slots"), F.lit(20.0).alias("pitch"), F.lit(60.0).alias("low"), F.lit(160.0).alias("high"))
     return comparison.unique_anchor(witnesses, ["o_custkey"])
