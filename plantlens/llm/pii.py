@@ -112,8 +112,12 @@ def base_spans(text: Column) -> Column:
 def _mentions(text: Column) -> Column:
     """Words with a digit or an at sign, without punctuation around them: (start, end, core, left1, left2)."""
 
-    def one(p):
-        near = F.lower(F.substring(p.gap, -80, 80))
+    tail = lambda value: F.substring(F.coalesce(value, F.lit("")), -80, 80)
+
+    def one(places, p, i):
+        # the words to the left may be mentions themselves; a gap between two begins and ends with white space
+        before, second = F.get(places, i - 1), F.get(places, i - 2)
+        near = F.lower(tail(F.concat(tail(second.match), tail(before.gap), tail(before.match), tail(p.gap))))
         lead = F.length(F.regexp_extract(p.match, r"^[^0-9A-Za-z+@]*", 0))
         core = F.regexp_replace(F.regexp_replace(p.match, r"^[^0-9A-Za-z+@]+", ""), r"[^0-9A-Za-z]+$", "")
         return F.struct(
@@ -121,7 +125,7 @@ def _mentions(text: Column) -> Column:
             F.regexp_extract(near, r"([^\s]+)\s*$", 1).alias("left1"), F.regexp_extract(near, r"([^\s]+\s+[^\s]+)\s*$", 1).alias("left2"),
         )
 
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(_places(text, MENTION), one), lambda m: F.length(m.core) > 0))
+    return F.when(text.rlike("[0-9@]"), F.filter(_let(_places(text, MENTION), lambda places: F.transform(places, lambda p, i: one(places, p, i))), lambda m: F.length(m.core) > 0))
 
 
 def _shape(core: Column) -> Column:

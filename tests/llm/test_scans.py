@@ -151,3 +151,15 @@ def test_edits_as_rows(docs, corpus, no_docs):
     rows = edited(docs).collect()
     assert len(rows) == len(corpus) and all(r.tokens_after == count([r.text])[0] for r in rows)
     assert edited(no_docs).count() == 0
+
+
+def test_left_words_may_be_mentions(spark):
+    texts = ["members A-101, A-102,\n A-103", "7 line2 X9912345", "a " * 60 + "b c3 d4"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(pii._mentions(F.col("text")).alias("m"))
+    got = {r.m[-1].core: [(m.left1, " ".join(m.left2.split())) for m in r.m] for r in frame.collect()}
+    assert got["A-103"] == [("members", ""), ("a-101,", "members a-101,"), ("a-102,", "a-101, a-102,")]
+    assert got["X9912345"] == [("", ""), ("7", ""), ("line2", "7 line2")]
+    assert got["d4"][-1] == ("c3", "b c3")
+    rows = [(i, f"call line2 name{chr(97 + i)}@host.org") for i in range(8)] + [(9, "call line2 X9912345")]
+    spans = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[9] == "email:11:19"
