@@ -181,26 +181,35 @@ def _join_tasks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("task", "side", "cid", "label", "shingles").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
+def _frequent(found: DataFrame) -> DataFrame:
+    """(cid) of the shingles that a share FREQUENT of all documents has, by the counts of the slices where they are frequent.
+
+    There are at most 1 / FREQUENT of them for each shingle that an average document has, however many slices there are.
+    """
+    rows = found.where("uid is not null").count()
+    return found.where("uid is null").groupBy("cid").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT * rows).select("cid")
+
+
 def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """As duplicate_classes, with the hash of the row; that is null for rows without a shingle."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), "text")
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and one without uid for each frequent shingle of the slice."""
+        """A row for each document, and one without uid, with the count, for each frequent shingle of the slice."""
         for batch in batches:
             for part in slices(batch):
                 offsets, hashed = shingle_sets(part.column("text"), width)
                 shingle, many = np.unique(hashed, return_counts=True)
-                often = shingle[many >= max(8, FREQUENT * part.num_rows)].view(np.int64)
+                high = many >= max(8, FREQUENT * part.num_rows)
+                often = shingle[high].view(np.int64)
                 ids = pa.concat_arrays([part.column("doc_id"), pa.nulls(len(often), pa.int64())])
                 uids = pa.concat_arrays([part.column("uid"), pa.nulls(len(often), pa.int64())])
-                n = np.concatenate([np.diff(offsets), np.zeros(len(often), np.int64)])
+                n = np.concatenate([np.diff(offsets), many[high]])
                 yield pa.RecordBatch.from_arrays([ids, uids, pa.array(n), pa.array(np.concatenate([_class_ids(offsets, hashed), often]))], ["doc_id", "uid", "n", "cid"])
 
     found = stage_table(base.mapInArrow(summaries, "doc_id long, uid long, n long, cid long"), "sigtree-sets")
     sets = found.where("uid is not null")
-    # at most 1 / FREQUENT shingles for each one that an average document has
-    frequent = np.sort(found.where("uid is null").select("cid").distinct().toPandas()["cid"].to_numpy(np.int64))
+    frequent = np.sort(_frequent(found).toPandas()["cid"].to_numpy(np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     classes = sets.where("n > 0").groupBy("cid").agg(F.min("uid").alias("rep"))
     copies = sets.where("n > 0").join(classes, "cid").where("uid <> rep").select("uid").distinct()

@@ -103,3 +103,14 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {a: find(a) for a, b in edges for a in (a, b) if any(x != y and a in (x, y) for x, y in edges)}
+
+
+def test_shingles_frequent_in_one_slice_only_stay_out(spark, monkeypatch):
+    sent, frequent = [], sigtree._frequent
+    monkeypatch.setattr(sigtree, "_frequent", lambda found: sent.append([frequent(found).count(), found.where("uid is null").select("cid").distinct().count()]) or frequent(found))
+    # 200 groups of 8 copies side by side, one slice for each 100 groups; each text has the same first words
+    rows = [(8 * g + i, "one two three four " + " ".join(f"w{g}x{k}" for k in range(6))) for g in range(200) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r.component_id for r in sigtree.duplicate_classes(docs).collect()}
+    assert got == {d: d // 8 * 8 for d, _ in rows}
+    assert sent[0][0] == 1 < 200 < sent[0][1]
