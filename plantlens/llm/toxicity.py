@@ -1,10 +1,11 @@
-"""Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
-
-Counts over all labelled training rows say how much each word leans to toxic documents. Words of strong leaning label
-the tokens of toxic training documents; a field with two states (clean, toxic) is then fitted to a bounded sample of the
-training rows. Its features are the classes of leaning of a word and of its neighbours, so that it can tag words of weak
-leaning in toxic surroundings. Forward-backward marginals give the offending spans; their maximum and sum, through a
-logistic curve fitted to the labels, give the document's score.
+"""Toxic spans by a linear-chain conditional random field, and document scores from its forward recursion.
+
+The field has two states, clean and toxic. A token's features are hashed: the word, its beginnings of three to five
+characters, its last three, and the words before and after it. Only documents are labelled, so the field is trained on
+bags of tokens: a clean document is one whose tokens are all clean, a toxic one has a toxic token somewhere. The
+probability that all tokens are clean is exact (one path over the sum of all), and so are the gradients of both kinds.
+Fitting takes a bounded sample of the labelled training rows: its features are a table, each round sums the gradients of
+its rows with Spark, and the driver holds weights only. Forward-backward marginals give the offending spans.
 """
 
 from __future__ import annotations
@@ -21,187 +22,275 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantlens.llm.common import WORD, fold_remainder, hashes_of, shared_folder, slices, words_of
-from plantlens.llm.packed import Layout
+from plantlens.llm.common import WORD, fold_remainder, hashes_of, slices, stage_table, words_of
 
 #: Up to this many labels are broadcast to join the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Classes of leaning: 0 for words without any, then log odds of at least these; the last also needs PRECISION.
-LEANINGS = (1.0, 2.0, 3.0)
-PRECISION = 0.9
+#: Hashed features, and one weight more for all tokens.
+FEATURES = 1 << 20
 SPANS = "array<struct<start:int,end:int,p:double>>"
+#: Features of a word by itself; two more are those of its neighbours.
+OWN = 5
 
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """The field is fitted to at most `sample` rows of each label with at most `sample_bytes` bytes; counts take all rows.
+    """The field is fitted to at most `sample` rows of each label, chosen by a hash of the id whatever their length.
 
-    A word needs `support` of the toxic training documents (3 at least) to have a leaning.
+    noise is the part of toxic labels that no token explains; rest is the strength of the pull towards zero weights.
     """
 
     folds: int = 3
     held_fold: int = 1
-    sample: int = 400
-    sample_bytes: int = 32_768
-    support: float = 0.002
+    sample: int = 2000
     threshold: float = 0.7
-    steps: int = 80
+    rounds: int = 20
+    noise: float = 0.001
+    rest: float = 0.02
+    parts: int = 12
+
+
+def _scan(m: np.ndarray) -> np.ndarray:
+    """Products of the first 1, 2, .. of n 2x2 matrices (4, n), row by row, each scaled to a sum of one.
+
+    Blocks are multiplied side by side, and the blocks' products by the same function again.
+    """
+
+    def times(a, b):
+        return np.stack([a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]])
+
+    n = m.shape[1]
+    width = min(n, max(8, int(np.sqrt(n))))
+    blocks = -(-n // width)
+    padded = np.empty((4, blocks * width))
+    padded[:, :n], padded[:, n:] = m, np.array([1.0, 0.0, 0.0, 1.0])[:, None]
+    steps = np.ascontiguousarray(padded.reshape(4, blocks, width).transpose(2, 0, 1))
+    for t in range(width):
+        now = times(steps[t - 1], steps[t]) if t else steps[0]
+        steps[t] = now / now.sum(axis=0)
+    if blocks > 1:
+        whole = _scan(steps[-1])
+        for t in range(width):
+            now = times(whole[:, :-1], steps[t][:, 1:])
+            steps[t][:, 1:] = now / now.sum(axis=0)
+    return steps.transpose(1, 2, 0).reshape(4, -1)[:, :n]
+
+
+def word_features(words: pa.Array) -> np.ndarray:
+    """(words, OWN + 2) hashed features; punctuation around a word doesn't count."""
+    core = pc.utf8_trim(words, string.punctuation)
+    parts = [core, *(pc.utf8_slice_codeunits(core, 0, k) for k in (3, 4, 5)), pc.utf8_slice_codeunits(core, -3, None), core, core]
+    salted = lambda k, h: (h ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)
+    coded = [p.dictionary_encode() for p in parts]
+    return np.stack([salted(k, hashes_of(c.dictionary)).astype(np.int32)[c.indices.to_numpy(zero_copy_only=False)] for k, c in enumerate(coded)], axis=1) if len(words) else np.zeros((0, OWN + 2), np.int32)
 
 
 @dataclass
 class Field:
-    """words and classes: the lexicon, sorted by hash; weights: bias, then those of the word, the one before and the one after."""
+    """weights of FEATURES hashed features and of all tokens; moves between the states; curve of the documents."""
 
-    words: np.ndarray
-    classes: np.ndarray
     prior: float
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 + 3 * (len(LEANINGS) + 2)))
+    weights: np.ndarray = field(default_factory=lambda: np.concatenate([np.zeros(FEATURES), [-6.0]]).astype(np.float32))
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     curve: np.ndarray | None = None
 
-    def token_classes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Row and class of leaning of each word; punctuation around a word doesn't count."""
-        rows, codes, words = words_of(texts)
-        hashed = hashes_of(pc.utf8_trim(words, string.punctuation)).view(np.int64)
-        if not len(self.words):
-            return rows, np.zeros(len(rows), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
-        return rows, np.where(self.words[at] == hashed, self.classes[at], 0)[codes]
-
-    def unary(self, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Score of the toxic state of each token, and the features that add up to it."""
-        k = len(LEANINGS) + 2  # the last class stands for the text's border
-        inner = rows[1:] == rows[:-1]
-        before, after = np.full(len(rows), k - 1), np.full(len(rows), k - 1)
-        before[1:][inner], after[:-1][inner] = classes[:-1][inner], classes[1:][inner]
-        features = [1 + classes, 1 + k + before, 1 + 2 * k + after]
-        return self.weights[0] + sum(self.weights[f] for f in features), features
-
-    def marginals(self, layout: Layout, unary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of the toxic state of each token, and expected moves between the states."""
-        score = layout.pack(unary)
-        seen = np.exp(np.stack([-np.logaddexp(0, score), -np.logaddexp(0, -score)], axis=1))
-        moves, ones = np.exp(self.moves), np.ones(2)
-        alpha, after, gamma, scale, a, back = np.empty_like(seen), np.empty_like(seen), np.empty_like(seen), np.empty(len(seen)), None, None
-        for t, (s, n) in enumerate(layout.steps()):
-            a = (a[:n] @ moves) * seen[s] if t else seen[s].copy()
-            scale[s] = c = a @ ones
-            a /= c[:, None]
-            alpha[s] = a
-        for s, n in reversed(list(layout.steps())):
-            beta = np.ones((n, 2))
-            if back is not None:
-                beta[: len(back)] = back @ moves.T
-            gamma[s] = alpha[s] * beta
-            after[s] = back = seen[s] * beta / scale[s][:, None]
-        expected = moves * (alpha[layout.before()].T @ after[layout.live[0] :])
-        return layout.unpack(gamma[:, 1]), expected
-
-    def fit(self, texts: pa.Array, toxic: np.ndarray, weight: np.ndarray, steps: int) -> None:
-        """Fits the field to tokens labelled by strong words in toxic texts, then the curve to the labels of the texts."""
-        rows, classes = self.token_classes(texts)
-        truth = (classes == len(LEANINGS)) & toxic[rows]
-        lengths = np.bincount(rows, minlength=len(texts))
-        layout = Layout(np.cumsum(lengths) - lengths, lengths)
-        inner = rows[1:] == rows[:-1]
-        seen_moves = np.bincount(truth[:-1][inner] * 2 + truth[1:][inner], minlength=4).reshape(2, 2).astype(float)
-        moment = [np.zeros(len(self.weights) + 4), np.zeros(len(self.weights) + 4)]
-        for step in range(1, steps + 1):
-            unary, features = self.unary(rows, classes)
-            p, expected = self.marginals(layout, unary)
-            rest = truth - p
-            slope = np.zeros(len(self.weights))
-            slope[0] = rest.sum()
-            for f in features:
-                slope += np.bincount(f, weights=rest, minlength=len(slope))
-            slope = np.concatenate([slope, (seen_moves - expected).ravel()]) / max(1.0, truth.sum()) - 0.002 * np.concatenate([self.weights, self.moves.ravel()])
-            moment[0] = 0.9 * moment[0] + 0.1 * slope
-            moment[1] = 0.99 * moment[1] + 0.01 * slope**2
-            move = 0.3 * (moment[0] / (1 - 0.9**step)) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-8)
-            self.weights = self.weights + move[: len(self.weights)]
-            self.moves = self.moves + move[len(self.weights) :].reshape(2, 2)
-        x, curve = self.document_features(rows, self.marginals(layout, self.unary(rows, classes)[0])[0], len(texts)), np.zeros(3)
-        for _ in range(30):  # Newton's method
-            p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-            hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 1e-3, 1e-3]) * weight.sum()
-            curve = curve + np.linalg.solve(hessian, x.T @ (weight * (toxic - p)) - np.array([1e-6, 1e-3, 1e-3]) * weight.sum() * curve)
-        self.curve = curve
+    def unary(self, rows: np.ndarray, codes: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """Score of the toxic state of each token; codes are places in the table of the words' features."""
+        of_word = self.weights[features]
+        inner, before, after = rows[1:] == rows[:-1], of_word[:, OWN], of_word[:, OWN + 1]
+        score = self.weights[FEATURES] + of_word[:, :OWN].sum(axis=1)[codes]
+        score[1:] += before[codes[:-1]] * inner
+        score[:-1] += after[codes[1:]] * inner
+        return score
+
+    def forward(self, rows: np.ndarray, unary: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Steps (4, tokens), first tokens, forward probabilities (2, tokens), and log probability that all of a text is clean.
+
+        All texts are one row of matrices; that of a text's first token forgets what came before it.
+        """
+        first = np.ones(len(rows), bool)
+        first[1:] = rows[1:] != rows[:-1]
+        clean = -np.logaddexp(0, unary)
+        seen = np.stack([np.exp(clean), np.exp(clean + unary)])
+        step = np.where(first, 1.0, np.exp(self.moves).reshape(4, 1)) * seen[[0, 1, 0, 1]]
+        alpha = _scan(step)[:2]  # the first token of all forgets its start, so any row will do
+        alpha = alpha / alpha.sum(axis=0)
+        before = np.concatenate([[[1.0], [0.0]], alpha[:, :-1]], axis=1)
+        scale = before[0] * (step[0] + step[1]) + before[1] * (step[2] + step[3])
+        path = clean - np.log(scale) + np.where(first, 0.0, self.moves[0, 0])
+        return step, first, alpha, np.minimum(np.bincount(rows, weights=path, minlength=texts), 0.0)
 
     @staticmethod
-    def document_features(rows: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
-        most = np.zeros(n)
-        np.maximum.at(most, rows, p)
-        return np.stack([np.ones(n), most, np.log1p(np.bincount(rows, weights=p, minlength=n))], axis=1)
+    def backward(step: np.ndarray) -> np.ndarray:
+        """Backward probabilities (2, tokens), scaled."""
+        beta = np.full((2, step.shape[1]), 0.5)
+        if step.shape[1] > 1:
+            back = _scan(step[[0, 2, 1, 3]][:, :0:-1])  # transposed, from the last
+            beta[:, :-1] = np.stack([back[0] + back[2], back[1] + back[3]])[:, ::-1]
+        return beta / beta.sum(axis=0)
+
+    def marginals(self, rows: np.ndarray, unary: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Toxic probability of each token, log probability that all of a text is clean, and expected moves of each text."""
+        step, first, alpha, all_clean = self.forward(rows, unary, texts)
+        beta = self.backward(step)
+        gamma = alpha * beta
+        before = np.concatenate([[[1.0], [0.0]], alpha[:, :-1]], axis=1)
+        pairs = before[[0, 0, 1, 1]] * step * beta[[0, 1, 0, 1]]
+        pairs = np.where(first, 0.0, pairs / pairs.sum(axis=0))
+        return gamma[1] / gamma.sum(axis=0), all_clean, np.stack([np.bincount(rows, weights=p, minlength=texts) for p in pairs], axis=1)
+
+    def gradient(self, rows: np.ndarray, codes: np.ndarray, features: np.ndarray, toxic: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slopes of the log likelihood of the texts' labels by weights and by moves, and the evidence of each text."""
+        p, all_clean, moves = self.marginals(rows, self.unary(rows, codes, features), len(toxic))
+        none, some = np.exp(all_clean), -np.expm1(all_clean)
+        pull = np.where(toxic, (1 - noise) * none / (noise + (1 - noise) * some), -1.0)
+        token = p * pull[rows]
+        inner = rows[1:] == rows[:-1]
+        n = len(features)
+        own = np.bincount(codes, weights=token, minlength=n)
+        before = np.bincount(codes[:-1], weights=token[1:] * inner, minlength=n)
+        after = np.bincount(codes[1:], weights=token[:-1] * inner, minlength=n)
+        each = np.stack([own] * OWN + [before, after], axis=1)
+        slope = np.bincount(features.ravel(), weights=each.ravel(), minlength=FEATURES + 1)
+        slope[FEATURES] = token.sum()
+        still = np.zeros_like(moves)
+        still[:, 0] = np.bincount(rows[1:][inner], minlength=len(toxic))
+        return slope, (pull[:, None] * (moves - still)).sum(axis=0), evidence(all_clean)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Score of each text; row and probability of each of its tokens."""
+        """Score of each text; row and probability of the tokens of texts that have a toxic one at even odds."""
+        rows, p, all_clean = np.zeros(0, np.int64), np.zeros(0), np.zeros(len(texts))
         if self.curve is None:
-            return np.full(len(texts), self.prior), np.zeros(0, np.int64), np.zeros(0)
-        rows, classes = self.token_classes(texts)
-        lengths = np.bincount(rows, minlength=len(texts))
-        p = self.marginals(Layout(np.cumsum(lengths) - lengths, lengths), self.unary(rows, classes)[0])[0] if len(rows) else np.zeros(0)
-        x = self.document_features(rows, p, len(texts))
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30))), rows, p
+            return np.full(len(texts), self.prior), rows, p
+        rows, codes, words = words_of(texts)
+        if len(rows):
+            step, _, alpha, all_clean = self.forward(rows, self.unary(rows, codes, word_features(words)), len(texts))
+            open_ = np.flatnonzero((all_clean < np.log(0.5))[rows])
+            gamma = alpha[:, open_] * self.backward(step[:, open_])
+            rows, p = rows[open_], gamma[1] / gamma.sum(axis=0)
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * evidence(all_clean), -30, 30))), rows, p
+
+
+def evidence(all_clean: np.ndarray) -> np.ndarray:
+    """Log odds that a text has a toxic token, within bounds."""
+    return np.clip(np.log(np.maximum(-np.expm1(all_clean), 1e-12)) - all_clean, -12, 12)
+
+
+def _sample_features(rows: DataFrame) -> DataFrame:
+    """(toxic, text) to (toxic, codes, features): places of the words in the text's own table of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, codes, words = words_of(batch.column("text").slice(k, 1))
+                lists = [pa.array([x], pa.list_(pa.int32())) for x in (codes.astype(np.int32), word_features(words).ravel())]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(k, 1), *lists], ["toxic", "codes", "features"])
+
+    return rows.select("toxic", "text").mapInArrow(run, "toxic int, codes array<int>, features array<int>")
+
+
+def _bags(batch: pa.RecordBatch, tokens: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """rows, codes, features and labels of some texts with about so many tokens."""
+    ends = np.cumsum(batch.column("codes").value_lengths().to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + tokens, side="right")))
+        part = batch.slice(start, end - start)
+        n, m = (part.column(c).value_lengths().to_numpy(zero_copy_only=False) for c in ("codes", "features"))
+        rows, base = np.repeat(np.arange(len(n)), n), np.cumsum(m // (OWN + 2)) - m // (OWN + 2)
+        codes = part.column("codes").flatten().to_numpy(zero_copy_only=False) + base[rows]
+        yield rows, codes, part.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, OWN + 2), part.column("toxic").to_numpy(zero_copy_only=False) == 1
+        start = end
+
+
+def fit(sample: DataFrame, settings: ToxicitySettings, model: Field) -> Field:
+    """Adam's steps over the gradients of all rows of sample (toxic, codes, features)."""
+    spark = sample.sparkSession
+    moment, size = np.zeros(FEATURES + 5), np.zeros(FEATURES + 5)
+    for step in range(1, settings.rounds + 1):
+        sent = spark.sparkContext.broadcast(model)
+
+        def slopes(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(FEATURES + 5)
+            for batch in batches:
+                for rows, codes, features, toxic in _bags(batch):
+                    if len(rows):
+                        weights, moves, _ = sent.value.gradient(rows, codes, features, toxic, settings.noise)
+                        total += np.concatenate([weights, moves])
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "slope"])
+
+        got = sample.mapInArrow(slopes, "at int, slope double").groupBy("at").agg(F.sum("slope").alias("slope")).toArrow()  # bounded: FEATURES + 5
+        slope = np.zeros(FEATURES + 5)
+        slope[got.column("at").to_numpy()] = got.column("slope").to_numpy()
+        slope -= settings.rest * np.concatenate([model.weights[:-1], [0.0], model.moves.ravel()])
+        moment, size = 0.8 * moment + 0.2 * slope, 0.95 * size + 0.05 * slope**2
+        # features with small slopes, those of a few texts only, move less than others
+        move = 0.3 * (moment / (1 - 0.8**step)) / (np.sqrt(size / (1 - 0.95**step)) + 0.5)
+        move[FEATURES] *= 0.3
+        model = Field(model.prior, (model.weights + move[: FEATURES + 1]).astype(np.float32), model.moves + move[FEATURES + 1 :].reshape(2, 2))
+        sent.unpersist()
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> Field:
     """Learns from the labelled rows of docs outside the held-out fold. Without labels of both kinds it knows a prior only."""
-    shared_folder(docs.sparkSession)
     learn = labels.where("toxic in (0, 1)").where(fold_remainder(F.col("doc_id"), settings.folds) != settings.held_fold)
-    learn = learn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # a document that is ever marked is toxic
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text").join(F.broadcast(learn) if learn.count() <= BROADCAST_LABELS else learn, "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In how many texts of either label each word is, by its hash; the null word counts the texts."""
-        for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(toxic.sum())]), pa.array([int((~toxic).sum())])], ["word", "toxic", "clean"])
-            for part in slices(batch):
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False) == 1
-                row, codes, words = words_of(part.column("text"))
-                if not len(words):
-                    continue
-                cores = pc.utf8_trim(words, string.punctuation).dictionary_encode()
-                once = np.unique(row * len(words) + cores.indices.to_numpy(zero_copy_only=False)[codes])
-                row, code, n = once // len(words), once % len(words), len(cores.dictionary)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(cores.dictionary).view(np.int64)), *(pa.array(np.bincount(code[toxic[row] == x], minlength=n)) for x in (True, False))], ["word", "toxic", "clean"])
-
-    counts = rows.mapInArrow(count, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.where("word is null or toxic >= 3").checkpoint()
-    n_toxic, n_clean = counts.where("word is null").select(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    learn = learn.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))  # a document that is ever marked is toxic
+    side = F.broadcast(learn) if learn.count() <= BROADCAST_LABELS else learn
+    ids = stage_table(docs.select("doc_id").join(side, "doc_id").groupBy("doc_id", "toxic").agg(F.count("*").alias("n")), "toxicity-ids")
+    held = {r.toxic: r.n for r in ids.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    n_toxic, n_clean = held.get(1, 0), held.get(0, 0)
     prior = (n_toxic + 1) / (n_toxic + n_clean + 2)
     if not n_toxic or not n_clean:
-        return Field(np.zeros(0, np.int64), np.zeros(0, np.int64), prior)
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    # each word has settings.support of the toxic texts, so there are at most 1 / support for each that a text has
-    lexicon = counts.where(F.col("word").isNotNull() & (F.col("toxic") >= max(3.0, settings.support * n_toxic))).withColumn("odds", odds).where(F.col("odds") >= LEANINGS[0])
-    lexicon = lexicon.toPandas().sort_values("word")
-    strong = (lexicon["odds"] >= LEANINGS[-1]) & (lexicon["toxic"] >= PRECISION * (lexicon["toxic"] + lexicon["clean"]))
-    classes = np.where(strong, len(LEANINGS), np.minimum(np.searchsorted(LEANINGS, lexicon["odds"].to_numpy(), side="right"), len(LEANINGS) - 1))
-    model = Field(lexicon["word"].to_numpy(np.int64), classes.astype(np.int64), prior)
-    fits = rows.where(F.octet_length("text") <= settings.sample_bytes)
+        return Field(prior)
     order = F.xxhash64(F.lit(11), "doc_id")
-    # hashes first, so that no task sends more than them; then the texts of those that were chosen, repeated rows once
-    chosen = [fits.where(F.col("toxic") == x).select(order.alias("order"), "uid").distinct().orderBy("order", "uid").limit(settings.sample).select("uid") for x in (1, 0)]
-    sample = [fits.join(F.broadcast(uids), "uid").dropDuplicates(["uid"]).select("uid", "text").toPandas().sort_values("uid") for uids in chosen]
-    if all(len(s) for s in sample):
-        weight = np.concatenate([np.full(len(s), n / len(s)) for s, n in zip(sample, (n_toxic, n_clean))])
-        toxic = np.concatenate([np.full(len(s), x, bool) for s, x in zip(sample, (True, False))])
-        model.fit(pa.array([t for s in sample for t in s["text"]], pa.string()), toxic, weight / weight.sum() * len(weight), settings.steps)
+    chosen = [ids.where(F.col("toxic") == x).orderBy(order, "doc_id").limit(settings.sample).select("doc_id", "toxic") for x in (1, 0)]
+    # repeated rows come once
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = stage_table(_sample_features(texts.repartition(settings.parts, "doc_id")), "toxicity-sample")
+    model = fit(sample, settings, Field(prior))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, codes, features, toxic in _bags(batch):
+                found = evidence(np.zeros(len(toxic)))
+                if len(rows):
+                    found = sent.value.gradient(rows, codes, features, toxic, settings.noise)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(toxic.astype(np.int32)), pa.array(found)], ["toxic", "evidence"])
+
+    found = sample.mapInArrow(weigh, "toxic int, evidence double").toPandas()  # bounded: 2 x sample
+    toxic = found["toxic"].to_numpy() == 1
+    if toxic.any() and not toxic.all():
+        weight = np.where(toxic, n_toxic / toxic.sum(), n_clean / (~toxic).sum())
+        model.curve = _logistic(found["evidence"].to_numpy(), toxic, weight / weight.sum() * len(weight))
     return model
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Newton's method for the curve of the labels over the evidence."""
+    x, curve, pull = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2), np.diag([1e-6, 1e-3]) * weight.sum()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + pull
+        curve = curve + np.linalg.solve(hessian, x.T @ (weight * (y - p)) - pull @ curve)
+    return curve
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> DataFrame:
     """Of each row of docs (doc_id, text): doc_id, held_out, score, predicted and spans.
 
     spans are the offsets in code points of words that are toxic with a probability of at least one half. A null or empty
-    text, and one without words, scores as a text without any toxic word. Repeated rows come as often as in docs.
+    text, and one without words, scores as a text without any toxic word. Repeated rows come as often as in docs, equal
+    texts have equal scores, and columns other than doc_id and text may have any name. No rows give no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, max_bytes=6 << 20):
+            for part in slices(batch):
                 score, rows, p = sent.value.score(part.column("text"))
                 spans, first = [[] for _ in range(part.num_rows)], np.searchsorted(rows, np.arange(part.num_rows))
                 for r in np.unique(rows[p >= 0.5]).tolist():
@@ -222,7 +311,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, max_bytes=6 << 20):
+            for part in slices(batch):
                 yield part.filter(pa.array(sent.value.score(part.column("text"))[0] < settings.threshold))
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
