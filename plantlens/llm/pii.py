@@ -1,10 +1,12 @@
 """Personal data: validated formats as seeds, and bootstrapped contextual extraction of further identifiers.
 
-One pass over the texts finds the spans of four base kinds and all mentions, i.e. words with a digit or an at sign, with
-the words to their left. A pattern is the word to the left with the shape of the mention, or the two words to the left.
-Mentions that are base spans seed the instances; then patterns and instances score each other over their graph: a pattern
-by how many of its instances are believed, an instance by the patterns that extract it. Patterns of high confidence
-yield new spans. Only DataFrame functions are used; after the one pass all tables are narrow.
+One pass over the texts finds the spans of four base kinds and all mentions with the words on both sides of them. A
+mention is a word with a digit or an at sign, or a run of words of digits and phone punctuation; of key=value only the
+value is one. Seeds are the mentions that are base spans, and those of a fifth kind, secret: access keys and long
+hexadecimal tokens of public formats. The lexical patterns of a mention are its words to the left and right, its shape,
+and how it begins and ends. Patterns and instances score each other over their graph in rounds: a pattern by how many of
+its instances are believed to be of one kind, an instance by the best of the patterns that extract it. Mentions that have a base kind's
+form but fail its validation are never believed. Patterns of high confidence yield new spans. Only DataFrame functions are used; after the one pass all tables are narrow.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import shared_folder, stage_table
+from plantlens.llm.common import fresh, row_key, shared_folder, stage_table
 
 #: The kinds in their order, with the format of each. A match begins where a run begins or a match ended.
 KINDS = ("email", "ip", "card", "phone")
@@ -24,8 +26,14 @@ FORMATS = {
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words with a digit or an at sign.
-MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Runs of words of digits and phone punctuation, or words with a digit or an at sign.
+MENTION = r"(?<![^\x20\x09-\x0D])(?:[+(]*+[0-9][0-9().+-]*+(?:\x20[+(]*+[0-9][0-9().+-]*+)++(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+#: Public formats of access keys, and hexadecimal tokens of 128 bits and more.
+SECRET = "secret"
+SECRETS = r"^(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,})$"
+FOUND = (*KINDS, SECRET)
+#: Mentions of these forms that aren't base spans failed the validation: they are counter-examples of their patterns.
+REFUSED = r"^(?:[0-9]++(?:\.[0-9]++){3}|[0-9](?:[\x20-]?[0-9]){11,}+|\+[0-9][\x20().0-9-]+[0-9])$"
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 #: Up to this many rows are broadcast to join texts; more are joined by a shuffle.
@@ -38,11 +46,17 @@ CELL = 256
 
 @dataclass(frozen=True)
 class PiiSettings:
-    """A pattern needs `support` different believed instances and the confidence; rounds of mutual scoring."""
+    """A pattern needs `support` different seeds of its kind and the confidence; rounds of mutual scoring.
+
+    An instance takes belief from patterns of at least `passing` only, so that doubtful ones don't raise each other. hidden:
+    the part of the seeds, by a hash, that counts as unknown, to measure how many of them the patterns find again.
+    """
 
     support: int = 5
     confidence: float = 0.8
+    passing: float = 0.5
     rounds: int = 3
+    hidden: float = 0.0
 
 
 def _let(value: Column, body) -> Column:
@@ -57,20 +71,19 @@ def _cut(array: Column) -> Column:
 
 
 def _places(text: Column, regex: str) -> Column:
-    """Matches in their order: (gap, match, start), gap being the text since the match before.
+    """Matches in their order: (gap, match, start), gap being the text since the match before; at the end a gap without match.
 
     Starts are added up in two levels, as appending to one array costs the square of the number of matches.
     """
     pairs = F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    pairs = F.filter(pairs, lambda p: p.match.isNotNull())
-    length = lambda p: F.length(p.gap) + F.length(p.match)
+    length = lambda p: F.length(p.gap) + F.coalesce(F.length(p.match), F.lit(0))
 
     def chunk_start(acc, chunk):
         return F.struct((acc.at + F.aggregate(chunk, F.lit(0), lambda n, p: n + length(p))).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
 
     def place(acc, p):
         start = acc.at + F.length(p.gap)
-        return F.struct((start + F.length(p.match)).alias("at"), F.concat(acc.out, F.array(F.struct(p.gap.alias("gap"), p.match.alias("match"), start.alias("start")))).alias("out"))
+        return F.struct((acc.at + length(p)).alias("at"), F.concat(acc.out, F.array(F.struct(p.gap.alias("gap"), p.match.alias("match"), start.alias("start")))).alias("out"))
 
     def placed(chunks):
         starts = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), chunk_start).out
@@ -102,7 +115,7 @@ def base_spans(text: Column) -> Column:
     may = {"email": text.contains("@"), "ip": text.rlike(FORMATS["ip"]), "card": text.rlike(FORMATS["card"]), "phone": text.contains("+")}
 
     def spans(rank: int, kind: str) -> Column:
-        valid = F.filter(_places(text, FORMATS[kind]), lambda p: _valid(kind, p.match))
+        valid = F.filter(_places(text, FORMATS[kind]), lambda p: p.match.isNotNull() & _valid(kind, p.match))
         made = F.transform(valid, lambda p: F.struct(p.start.alias("start"), F.lit(rank).alias("rank"), (p.start + F.length(p.match)).alias("end"), F.lit(kind).alias("kind")))
         return F.when(may[kind], made).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -110,77 +123,110 @@ def base_spans(text: Column) -> Column:
 
 
 def _mentions(text: Column) -> Column:
-    """Words with a digit or an at sign, without punctuation around them: (start, end, core, left1, left2)."""
-
-    tail = lambda value: F.substring(F.coalesce(value, F.lit("")), -80, 80)
+    """Mentions without punctuation around them or a key before them: (start, end, core, left1, left2, right1)."""
+    flat = lambda value: F.lower(F.translate(F.coalesce(value, F.lit("")), "\t\n\x0b\f\r", "     "))
 
     def one(places, p, i):
-        # the words to the left may be mentions themselves; a gap between two begins and ends with white space
-        before, second = F.get(places, i - 1), F.get(places, i - 2)
-        near = F.lower(tail(F.concat(tail(second.match), tail(before.gap), tail(before.match), tail(p.gap))))
-        lead = F.length(F.regexp_extract(p.match, r"^[^0-9A-Za-z+@]*", 0))
-        core = F.regexp_replace(F.regexp_replace(p.match, r"^[^0-9A-Za-z+@]+", ""), r"[^0-9A-Za-z]+$", "")
-        return F.struct(
-            (p.start + lead).alias("start"), (p.start + lead + F.length(core)).alias("end"), core.alias("core"),
-            F.regexp_extract(near, r"([^\s]+)\s*$", 1).alias("left1"), F.regexp_extract(near, r"([^\s]+\s+[^\s]+)\s*$", 1).alias("left2"),
-        )
+        # the words beside it may be mentions themselves; a gap between two begins and ends with white space
+        before, second, after = F.get(places, i - 1), F.get(places, i - 2), F.get(places, i + 1)
+        lead = F.length(F.regexp_extract(p.match, r"^(?:[A-Za-z_.-]++[=:]++)?+[^0-9A-Za-z+@(]*+", 0))
+        core = F.regexp_replace(F.substr(p.match, lead + 1, F.length(p.match)), r"[^0-9A-Za-z]+$", "")
+        near = F.rtrim(F.concat(flat(second.match), flat(before.gap), flat(before.match), flat(p.gap), flat(F.substr(p.match, F.lit(1), lead))))
+        beyond = F.ltrim(F.concat(flat(F.substr(p.match, lead + F.length(core) + 1, F.length(p.match))), flat(after.gap), flat(after.match)))
+
+        def made(x):
+            rest = F.rtrim(F.substr(x.near, F.lit(1), F.length(x.near) - F.length(F.substring_index(x.near, " ", -1))))
+            return F.struct(
+                (p.start + x.lead).alias("start"), (p.start + x.lead + F.length(x.core)).alias("end"), x.core.alias("core"),
+                F.substring_index(x.near, " ", -1).alias("left1"),
+                F.when(rest != "", F.concat_ws(" ", F.substring_index(rest, " ", -1), F.substring_index(x.near, " ", -1))).otherwise("").alias("left2"),
+                F.substring_index(x.beyond, " ", 1).alias("right1"),
+            )
+
+        return _let(F.struct(lead.alias("lead"), core.alias("core"), near.alias("near"), beyond.alias("beyond")), made)
 
-    return F.when(text.rlike("[0-9@]"), F.filter(_let(_places(text, MENTION), lambda places: F.transform(places, lambda p, i: one(places, p, i))), lambda m: F.length(m.core) > 0))
+    def all_of(places):
+        mentioned = F.filter(F.transform(places, lambda p, i: F.when(p.match.isNotNull(), one(places, p, i))), lambda m: m.isNotNull())
+        return F.filter(mentioned, lambda m: F.length(m.core) > 0)
+
+    return F.when(text.rlike("[0-9@]"), _let(_places(text, MENTION), all_of))
 
 
 def _shape(core: Column) -> Column:
-    """Digits as 9 each and letters as one a; what mixes digits and letters is an x."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(core, r"[A-Za-z]+[0-9][0-9A-Za-z]*|[0-9]+[A-Za-z][0-9A-Za-z]*", "x"), "[A-Za-wyz]+", "a"), "[0-9]", "9")
+    """Digits as 9 each and letters as one a; mixed runs are an x. Hexadecimal and upper-case codes have their length."""
+    mixed = r"[A-Za-z]+[0-9][0-9A-Za-z]*|[0-9]+[A-Za-z][0-9A-Za-z]*"
+    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(core, mixed, "x"), "[A-Za-wyz]+", "a"), "[0-9]", "9")
+    return F.when(core.rlike("^(?=[0-9]*[a-f])[0-9a-f]+$"), F.concat(F.lit("h"), F.length(core))).when(core.rlike("^(?=[0-9]*[A-Z])[0-9A-Z]+$"), F.concat(F.lit("u"), F.length(core))).otherwise(words)
+
+
+def _patterns(m: Column) -> Column:
+    """Hashes of the lexical patterns of a mention."""
+
+    def of(shape):
+        coarse = F.regexp_replace(shape, "9+", "9")
+        begins, ends = F.lower(F.substring(m["core"], 1, 4)), F.lower(F.substring(m["core"], -8, 8))
+        when = lambda k, good, *parts: F.when(good, F.xxhash64(F.lit(k), *parts))
+        left1, left2, right1 = m["left1"], m["left2"], m["right1"]
+        return F.array_compact(F.array(
+            when(1, left1 != "", left1, shape), when(2, left2 != "", left2), when(3, right1 != "", right1, shape), when(4, (left1 != "") & (right1 != ""), left1, right1),
+            when(5, F.length(m["core"]) >= 6, shape), when(6, (F.length(m["core"]) >= 8) & begins.rlike("[^0-9]"), begins, coarse), when(7, (F.length(m["core"]) >= 8) & ends.rlike("[^0-9]"), ends, coarse),
+        ))
+
+    return _let(_shape(m["core"]), of)
 
 
 def find_spans(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFrame:
-    """Of each row of docs (doc_id, text): doc_id, uid, base (spans of the base kinds) and found (further spans).
+    """Of each row of docs (doc_id, text): doc_id, uid and vid (its key), base (spans of the base kinds) and found (further spans).
 
     Spans are (start, rank, end, kind) in code points, end exclusive; base ones never change, and a further span doesn't
-    overlap one. It has the kind that most believed instances of its pattern have. Null or empty text has no span.
-    Repeated rows come as often as in docs.
+    overlap one. A further span is a seed of the fifth kind, or has the kind of its most trusted pattern. Null or empty
+    text has no span, nor has an empty table. Repeated rows come as often as in docs, and count as one for the patterns;
+    equal trusts go to the first kind. Columns other than doc_id and text aren't read, so they may have any name.
     """
     shared_folder(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    scanned = stage_table(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), base_spans(text).alias("base"), _mentions(text).alias("mentions")), "pii-scan")
+    text, key = F.coalesce("text", F.lit("")), ["uid", "vid"]
+    scanned = stage_table(docs.select("doc_id", *row_key("doc_id", "text"), base_spans(text).alias("base"), _mentions(text).alias("mentions")), "pii-scan")
 
-    patterns = F.array(
-        F.when(F.col("m.left1") != "", F.xxhash64(F.lit(1), "m.left1", _shape(F.col("m.core")))),
-        F.when(F.col("m.left2") != "", F.xxhash64(F.lit(2), "m.left2")),
-    )
     # repeated rows have equal mentions; one of each goes on
-    mentions = scanned.select("uid", F.explode("mentions").alias("m")).select("uid", "m.start", "m.end", F.xxhash64("m.core").alias("instance"), F.array_compact(patterns).alias("patterns")).distinct()
+    secret = F.when(F.col("m.core").rlike(SECRETS), SECRET)
+    mentions = scanned.select(*key, F.explode("mentions").alias("m"))
+    refused = F.col("m.core").rlike(REFUSED)
+    mentions = mentions.select(*key, "m.start", "m.end", F.xxhash64("m.core").alias("instance"), secret.alias("secret"), refused.alias("refused"), _patterns(F.col("m")).alias("patterns")).distinct()
     mentions = stage_table(mentions, "pii-mentions")
     cell = lambda start, end: F.explode(F.sequence(F.floor(start / CELL), F.floor((end - 1) / CELL))).alias("cell")
-    spans = scanned.select("uid", F.explode("base").alias("s")).select("uid", F.col("s.start").alias("from"), "s.rank", F.col("s.end").alias("to"), F.col("s.kind").alias("kind"), cell(F.col("s.start"), F.col("s.end"))).distinct()
-    met = mentions.select("uid", "start", "end", cell(F.col("start"), F.col("end"))).join(spans, ["uid", "cell"]).where("from < end and to > start")
-    kinds = met.groupBy("uid", "start", "end").agg(F.min_by("kind", F.struct("from", "rank")).alias("kind"))
-    mentions = stage_table(mentions.join(kinds, ["uid", "start", "end"], "left"), "pii-kinds")
+    spans = scanned.select(*key, F.explode("base").alias("s")).select(*key, F.col("s.start").alias("from"), "s.rank", F.col("s.end").alias("to"), F.col("s.kind").alias("kind"), cell(F.col("s.start"), F.col("s.end"))).distinct()
+    met = mentions.select(*key, "start", "end", cell(F.col("start"), F.col("end"))).join(spans, [*key, "cell"]).where("from < end and to > start")
+    kinds = met.groupBy(*key, "start", "end").agg(F.min_by("kind", F.struct("from", "rank")).alias("base"))
+    mentions = stage_table(mentions.join(kinds, [*key, "start", "end"], "left").withColumn("kind", F.coalesce("base", "secret")), "pii-kinds")
 
-    seeds = mentions.groupBy("instance").agg(F.max("kind").alias("kind"))
+    shown = F.pmod(F.xxhash64(F.lit(3), "instance"), F.lit(1000)) >= int(1000 * settings.hidden)
+    seeds = mentions.groupBy("instance").agg(F.max(F.when(shown, F.col("kind"))).alias("kind"), F.min(F.col("refused") & F.col("kind").isNull()).alias("never"))
     edges = mentions.select(F.explode("patterns").alias("pattern"), "instance").distinct()
     # patterns without `support` instances can't be believed in any round
     enough = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= settings.support)
-    edges = edges.join(enough.select("pattern"), "pattern").join(seeds, "instance").checkpoint()
-    belief = edges.select("instance", F.col("kind").isNotNull().cast("double").alias("belief"), "kind").distinct().checkpoint()
+    edges = edges.join(enough.select("pattern"), "pattern").join(seeds.withColumnRenamed("kind", "seed"), "instance").checkpoint()
+    belief = edges.select("instance", "seed").distinct().select("instance", F.col("seed").alias("kind"), F.col("seed").isNotNull().cast("double").alias("belief")).checkpoint()
     trusted = None
     for _ in range(settings.rounds):
-        seen = edges.select("pattern", "instance").join(belief, "instance")
-        scored = seen.groupBy("pattern").agg(
-            F.count("*").alias("n"), F.sum("belief").alias("believed"), F.count_if(F.col("kind").isNotNull()).alias("seeds"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
-        )
-        most = F.greatest(*[F.col(k) for k in KINDS])
-        kind = F.coalesce(*[F.when(F.col(k) == most, k) for k in KINDS])
-        trusted = scored.withColumn("trust", F.col("believed") / (F.col("n") + 0.5)).where((F.col("seeds") >= settings.support) & (F.col("trust") >= settings.confidence))
-        trusted = trusted.select("pattern", "trust", kind.alias("of")).checkpoint()
-        raised = edges.join(trusted, "pattern").groupBy("instance").agg(F.max("trust").alias("trust"))
-        belief = belief.join(raised, "instance", "left").select("instance", F.greatest("belief", F.coalesce("trust", F.lit(0.0))).alias("belief"), "kind").checkpoint()
-
-    open_ = mentions.where("kind is null").select("uid", "start", "end", F.explode("patterns").alias("pattern"))
-    rank = F.coalesce(*[F.when(F.col("of") == k, r) for r, k in enumerate(KINDS)])
-    hits = open_.join(trusted, "pattern").groupBy("uid", "start", "end").agg(F.max_by("of", F.struct("trust", "of")).alias("of"))
-    found = hits.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", rank.cast("int").alias("rank"), "end", F.col("of").alias("kind")))).alias("found"))
-    return scanned.select("doc_id", "uid", "base").join(found, "uid", "left").withColumn("found", F.coalesce("found", F.array().cast(f"array<{SPAN}>")))
+        scored = edges.join(belief, "instance").groupBy("pattern").agg(
+            F.count("*").alias("n"),
+            *[F.sum(F.when(F.col("kind") == k, F.col("belief")).otherwise(0.0)).alias(f"of_{k}") for k in FOUND], *[F.count_if(F.col("seed") == k).alias(f"seeds_{k}") for k in FOUND],
+        )
+        most = F.greatest(*[F.col(f"of_{k}") for k in FOUND])
+        best = lambda made: F.coalesce(*[F.when(F.col(f"of_{k}") == most, made(k)) for k in FOUND])  # noqa: B023, E731
+        scored = scored.select("pattern", (most / (F.col("n") + 0.5)).alias("trust"), best(F.lit).alias("of"), best(lambda k: F.col(f"seeds_{k}")).alias("seeds"))
+        trusted = scored.where((F.col("seeds") >= settings.support) & (F.col("trust") >= settings.passing)).drop("seeds").checkpoint()
+        raised = edges.where("seed is null and not never").join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("trust", "of")).alias("best"))
+        belief = belief.join(raised, "instance", "left").select("instance", F.coalesce("best.of", "kind").alias("kind"), F.coalesce("best.trust", "belief").alias("belief")).checkpoint()
+
+    sure = trusted.where(F.col("trust") >= settings.confidence)
+    unknown = F.col("kind").isNull() & ~F.col("refused") | F.col("kind").isNotNull() & ~shown
+    open_ = mentions.where(unknown).select(*key, "start", "end", F.explode("patterns").alias("pattern"))
+    rank = F.coalesce(*[F.when(F.col("of") == k, r) for r, k in enumerate(FOUND)]).cast("int")
+    hits = open_.join(sure, "pattern").groupBy(*key, "start", "end").agg(F.max_by("of", F.struct("trust", -rank)).alias("of"))
+    hits = hits.union(mentions.where("base is null and secret is not null").where(shown).select(*key, "start", "end", F.col("secret")))
+    found = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "end", F.col("of").alias("kind")))).alias("found"))
+    return scanned.select("doc_id", *key, "base").join(found, key, "left").withColumn("found", F.coalesce("found", F.array().cast(f"array<{SPAN}>")))
 
 
 def spans_text(spans: Column) -> Column:
@@ -222,7 +268,9 @@ def mask(text: Column, spans: Column) -> Column:
 def mask_documents(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFrame:
     """docs with all spans in text masked; all other columns stay as they are, whatever their names. Null text stays null."""
     spans = find_spans(docs, settings).where(F.size("base") + F.size("found") > 0)
-    spans = spans.groupBy("uid").agg(F.first(F.array_sort(F.concat("base", "found"))).alias("__pii_spans")).withColumnRenamed("uid", "__pii_uid").checkpoint()
+    uid, vid, held = (fresh(name, docs.columns) for name in ("pii_uid", "pii_vid", "pii_spans"))
+    spans = spans.groupBy("uid", "vid").agg(F.first(F.array_sort(F.concat("base", "found"))).alias(held)).withColumnsRenamed({"uid": uid, "vid": vid}).checkpoint()
     side = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-    joined = docs.join(side, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__pii_uid"), "left")
-    return joined.select(*[mask(docs["text"], F.coalesce("__pii_spans", F.array().cast(f"array<{SPAN}>"))).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    keyed = docs.withColumns(dict(zip((uid, vid), row_key("doc_id", "text"))))
+    joined = keyed.join(side, [uid, vid], "left")
+    return joined.select(*[mask(joined["text"], F.coalesce(held, F.array().cast(f"array<{SPAN}>"))).alias("text") if c == "text" else joined[c] for c in docs.columns])
