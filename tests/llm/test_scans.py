@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -81,6 +82,44 @@ def test_license_scan(spark, docs, corpus, no_docs):
     assert licenses.scan_licenses(docs).count() == len(corpus) and licenses.scan_licenses(no_docs).count() == 0
 
 
+def naive_licenses(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    places = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    labels, best = {x for _, x in places}, 0.0
+    for label, template in licenses.TEMPLATES:
+        t = re.findall(r"[a-z0-9]+", template.lower())
+        width = 1 << max(4, 2 * len(t) - 1).bit_length()
+        for start in range(0, max(1, len(words)), width // 2):
+            share = len(set(t) & set(words[start : start + width])) / len(set(t))
+            if share >= licenses.CONTAINMENT:
+                labels.add(label)
+                best = max(best, share)
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), tuple(sorted({x for _, x in places})), tuple(sorted(labels)), round(1.0 if places else best, 9)
+
+
+def test_licenses_match_a_naive_scan(spark, docs, corpus):
+    rng = random.Random(8)
+    rows = [(r[0], r[1]) for r in corpus]
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(licenses.TEMPLATES)[1].split()
+            parts += ["word"] * rng.randint(0, 300) + [w for w in t if rng.random() > rng.choice((0, 0.03, 0.3))] + rng.choice((["MIT", "License."], ["general", "public-license"], ["é"]))
+        rows.append((1000 + i, " ".join(parts)))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, tuple(r.base_labels), tuple(r.labels), round(r.score, 9))
+    assert Counter(map(key, got)) == Counter((i, *naive_licenses(t)) for i, t in rows)
+
+
+def test_license_scan_is_linear(spark):
+    began = time.perf_counter()
+    words = [b"license"] * 1_000_000
+    assert licenses.phrase_places(words) == [] and licenses.phrase_places([b"mit", b"license"] * 400_000)[-1] == (799_998, "mit")
+    assert len(licenses.blocks_of(np.stack([np.arange(1_000_000), np.zeros(1_000_000, int)], axis=1), 64, {0}, {0})) == 31_250
+    assert time.perf_counter() - began < 5
+
+
 def test_jpeg_round_trip(spark, docs, corpus, no_docs):
     got = jpeg.decode_media(jpeg.encode_media(docs)).collect()
     want = Counter()
@@ -153,6 +192,23 @@ def test_edits_as_rows(docs, corpus, no_docs):
     assert edited(no_docs).count() == 0
 
 
+def test_hidden_seeds_are_found_again(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    one = {
+        0: lambda: f"{word()}.{rng.randint(10, 99)}@mail.example.com", 1: lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}",
+        2: lambda: f"token = \"{rng.getrandbits(160):040x}\"", 3: lambda: "key AKIA" + "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(16)),
+    }
+    rows = [(i, f"{word()} {word()} {one[i % 4]()} {word()} 12 {word()}") for i in range(400)] + [(900, 'my token = "ABCD12"'), (901, "10.0.0.1 and 999.1.1.300 but 4111111111111112")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, part = pii.PiiSettings(), pii.PiiSettings(hidden=0.33)
+    ends = lambda s: Counter((r.doc_id, x.start, x.end) for r in pii.find_spans(docs, s).collect() for x in [*r.base, *r.found])
+    every = ends(whole)
+    assert (900, 12, 18) in every and (901, 13, 24) not in every and (901, 29, 45) not in every and {i for i, *_ in every} >= set(range(400))
+    hidden = [r for r in pii.find_spans(docs, part).collect() if r.doc_id < 400]
+    assert sum(bool(x.kind) for r in hidden for x in r.found) >= 230  # 200 secrets, and a third of 200 base spans by patterns only
+
+
 def test_left_words_may_be_mentions(spark):
     texts = ["members A-101, A-102,\n A-103", "7 line2 X9912345", "a " * 60 + "b c3 d4"]
     frame = spark.createDataFrame([(t,) for t in texts], "text string").select(pii._mentions(F.col("text")).alias("m"))
