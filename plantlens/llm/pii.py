@@ -131,7 +131,7 @@ def _mentions(text: Column) -> Column:
         before, second, after = F.get(places, i - 1), F.get(places, i - 2), F.get(places, i + 1)
         lead = F.length(F.regexp_extract(p.match, r"^(?:[A-Za-z_.-]++[=:]++)?+[^0-9A-Za-z+@(]*+", 0))
         core = F.regexp_replace(F.substr(p.match, lead + 1, F.length(p.match)), r"[^0-9A-Za-z]+$", "")
-        near = F.rtrim(F.concat(flat(second.match), flat(before.gap), flat(before.match), flat(p.gap), flat(F.substr(p.match, F.lit(1), lead))))
+        near = F.rtrim(F.concat(flat(second.match), flat(before.gap), flat(before.match), flat(p.gap), flat(F.regexp_extract(p.match, r"^[A-Za-z_.-]++[=:]++", 0))))
         beyond = F.ltrim(F.concat(flat(F.substr(p.match, lead + F.length(core) + 1, F.length(p.match))), flat(after.gap), flat(after.match)))
 
         def made(x):
