@@ -28,12 +28,13 @@ HEAVY = 1 << 20
 
 @dataclass(frozen=True)
 class LmSettings:
-    """classes: a power of two. Training cuts texts into pieces of at most `piece` tokens, which all count; scoring never cuts."""
+    """classes: a power of two. Texts of more than `piece` tokens go through memory in pieces, and the forward and backward
+    vectors are carried over their borders, so that results don't depend on it."""
 
     states: int = 6
     classes: int = 8192
     rounds: int = 4
-    piece: int = 1024
+    piece: int = 1 << 17
     seed: int = 5
 
 
@@ -59,12 +60,15 @@ class _Packed(Layout):
         super().__init__(starts, lengths)
         self.codes = self.pack(codes)
 
-    def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward probabilities and the scale of each token; the log scales add up to the log likelihood."""
+    def forward(self, model: Model, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward probabilities and the scale of each token; the log scales add up to the log likelihood.
+
+        first: probabilities of the states of the first tokens, those of the start unless given.
+        """
         seen = model.emits[self.codes]
         scale, ones, a = np.empty(len(seen)), np.ones(seen.shape[1]), None
         for s, n in self.steps():
-            a = (a[:n] @ model.moves if s.start else model.start) * seen[s]
+            a = (a[:n] @ model.moves if s.start else model.start if first is None else first) * seen[s]
             scale[s] = c = a @ ones
             a /= c[:, None]
             seen[s] = a
@@ -80,11 +84,15 @@ class _Packed(Layout):
         out[self.order] = total
         return out
 
-    def expected_counts(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of starts, moves and emissions, by the backward recursion over the scaled forward probabilities."""
-        alpha, scale = self.forward(model)
+    def expected_counts(self, model: Model, first: np.ndarray | None = None, beyond: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of starts, moves and emissions, by the backward recursion over the scaled forward probabilities.
+
+        beyond: what the recursion brings from the text's next piece, for a single sequence; the last value is what it
+        brings to the piece before.
+        """
+        alpha, scale = self.forward(model, first)
         after = np.empty_like(alpha)  # emission times backward probability over scale
-        gamma, back = np.empty_like(alpha), None
+        gamma, back = np.empty_like(alpha), beyond
         for s, n in reversed(list(self.steps())):
             beta = np.ones((n, alpha.shape[1]))
             if back is not None:
@@ -92,24 +100,52 @@ class _Packed(Layout):
             gamma[s] = alpha[s] * beta
             after[s] = back = model.emits[self.codes[s]] * beta / scale[s][:, None]
         moves = model.moves * (alpha[self.before()].T @ after[self.live[0] :])
+        if beyond is not None:
+            moves += model.moves * np.outer(alpha[-1], beyond)
         emits = np.stack([np.bincount(self.codes, weights=g, minlength=len(model.emits)) for g in gamma.T])
-        return gamma[: self.live[0]].sum(axis=0), moves, emits
+        return gamma[: self.live[0]].sum(axis=0), moves, emits, back
+
+
+def _pieces(codes: np.ndarray, piece: int) -> list[_Packed]:
+    return [_Packed(codes, np.array([k]), np.array([min(piece, len(codes) - k)])) for k in range(0, len(codes), piece)]
+
+
+def long_likelihood(codes: np.ndarray, model: Model, piece: int) -> float:
+    """log10 likelihood of one long sequence, piece by piece."""
+    first, total = None, 0.0
+    for pack in _pieces(codes, piece):
+        alpha, scale = pack.forward(model, first)
+        total += float(np.log10(scale).sum())
+        first = alpha[-1:] @ model.moves
+    return total
+
+
+def long_counts(codes: np.ndarray, model: Model, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of one long sequence: forward for the states at the borders, then piece by piece from the last."""
+    packs, firsts = _pieces(codes, piece), [None]
+    for pack in packs[:-1]:
+        firsts.append(pack.forward(model, firsts[-1])[0][-1:] @ model.moves)
+    moves, emits, beyond, start = np.zeros_like(model.moves), np.zeros(model.emits.T.shape), None, None
+    for pack, first in zip(reversed(packs), reversed(firsts)):
+        start, m, e, beyond = pack.expected_counts(model, first, beyond)
+        moves, emits = moves + m, emits + e
+    return start, moves, emits
 
 
-def _packs(column: pa.ListArray, tokens: int, piece: int | None) -> Iterator[tuple[slice, _Packed]]:
-    """Packed sequences of about so many tokens at a time; piece: texts are cut into pieces of so many."""
+def _packs(column: pa.ListArray, tokens: int, piece: int) -> Iterator[tuple[np.ndarray, _Packed | np.ndarray]]:
+    """Rows with their packed sequences, of about so many tokens and similar lengths at a time; longer ones by themselves."""
     codes = column.flatten().to_numpy(zero_copy_only=False)
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, first = np.cumsum(lengths), 0
-    while first < len(lengths):
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] - lengths[first] + tokens, side="right")))
-        starts, size = ends[first:last] - lengths[first:last], lengths[first:last]
-        if piece:
-            n = -(-size // piece)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            starts, size = np.repeat(starts, n) + inner * piece, np.minimum(piece, np.repeat(size, n) - inner * piece)
-        yield slice(first, last), _Packed(codes, starts, size)
+    starts, order = np.cumsum(lengths) - lengths, np.argsort(lengths, kind="stable")
+    fits = order[lengths[order] <= piece]
+    ends, first = np.cumsum(lengths[fits]), 0
+    while first < len(fits):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + tokens, side="right")))
+        rows = fits[first:last]
+        yield rows, _Packed(codes, starts[rows], lengths[rows])
         first = last
+    for row in order[lengths[order] > piece]:
+        yield np.array([row]), codes[starts[row] : starts[row] + lengths[row]]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -154,7 +190,8 @@ def baum_welch(sequences: DataFrame, share: np.ndarray, settings: LmSettings) ->
             total = [np.zeros(k), np.zeros((k, k)), np.zeros((k, len(share)))]
             for batch in batches:
                 for _, pack in _packs(batch.column("codes"), 400_000, settings.piece):
-                    for t, x in zip(total, pack.expected_counts(model)):
+                    found = pack.expected_counts(model) if isinstance(pack, _Packed) else long_counts(pack, model, settings.piece)
+                    for t, x in zip(total, found):
                         t += x
             flat = np.concatenate([t.ravel() for t in total])
             cells = np.flatnonzero(flat)
@@ -175,6 +212,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, settings: L
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed word frequencies) and score (hidden
     Markov model), both log10 probabilities. A null text counts as empty: it is the end token alone. Repeated rows are
     scored as often as they come. An empty table gives an empty result; with no training text all words are unknown.
+    doc_id is a number; columns other than doc_id and text aren't read, so they may have any name.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), (fold_remainder(F.col("doc_id"), folds) == held_fold).alias("held_out"), "text")
     classes = settings.classes
@@ -198,8 +236,8 @@ def score_texts(docs: DataFrame, folds: int = 5, held_fold: int = 1, settings: L
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for rows, pack in _packs(batch.column("codes"), 400_000, None):
-                score[rows] = pack.log10_likelihood(sent.value)
+            for rows, pack in _packs(batch.column("codes"), 400_000, settings.piece):
+                score[rows] = pack.log10_likelihood(sent.value) if isinstance(pack, _Packed) else long_likelihood(pack, sent.value, settings.piece)
             n = batch.column("codes").value_lengths().cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "uid", "held_out")), n, pa.array(score)], ["doc_id", "uid", "held_out", "n_tokens", "classes_score"])
 
