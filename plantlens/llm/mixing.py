@@ -16,8 +16,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plantlens.llm.common import shared_folder, word_count
+from plantlens.llm.common import fresh, row_key, shared_folder, word_count
 
 #: Up to this many sources the table of sources is broadcast, otherwise it is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
@@ -208,16 +209,19 @@ def plan_mix(sized: DataFrame, settings: MixSettings = MixSettings()) -> DataFra
 def mix_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
     """The mix itself: rows of docs as often as they are taken, in shards, each shard in a random order of its own.
 
-    A row that is taken in part comes whole, as documents aren't cut here. Columns of docs (doc_id, text and source among
-    them) stay as they are; extra columns may have any name.
+    A row that is taken in part comes whole, as documents aren't cut here. Repeated rows are planned one by one; as they are
+    equal, the takes of all of them are takes of one. All columns stay as they are, whatever their names.
     """
-    key = "__mix_row"
     columns = docs.columns
-    docs = docs.withColumn(key, F.xxhash64("doc_id", "text", "source"))
-    sized = docs.select(F.struct("doc_id", key).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    plan = plan_mix(sized, settings).where("taken > 0 or size = 0").select("doc_id", "whole", "part", "shards").dropDuplicates(["doc_id"])
-    copies = plan.withColumn("times", F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0))
-    copies = copies.select(F.col("doc_id").alias("__mix_id"), F.slice("shards", 1, F.greatest("times", F.lit(1))).alias("__mix_shards"))
-    mixed = docs.join(copies, F.struct("doc_id", key) == F.col("__mix_id"))
-    mixed = mixed.select(*columns, key, F.posexplode("__mix_shards").alias("__mix_copy", "__mix_shard"))
-    return mixed.repartition("__mix_shard").sortWithinPartitions("__mix_shard", F.xxhash64(F.lit(settings.seed), key, "__mix_copy")).select(*columns)
+    uid, vid, shard, copy = (fresh(name, columns) for name in ("mix_uid", "mix_vid", "mix_shard", "mix_copy"))
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    keyed = docs.withColumns(dict(zip((uid, vid), row_key(*plain))))
+    sized = keyed.select(F.struct("doc_id", uid, vid).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    plan = plan_mix(sized, settings).where("taken > 0 or size = 0")
+    times = F.greatest(F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0), F.lit(1))
+    takes = plan.select(f"doc_id.{uid}", f"doc_id.{vid}", F.posexplode(F.slice("shards", F.lit(1), times)).alias(copy, shard))
+    twice = keyed.groupBy(uid, vid).agg(F.count("*").alias("n")).where("n > 1").select(uid, vid).checkpoint()
+    if twice.limit(1).count():
+        keyed = keyed.join(twice, [uid, vid], "left_anti").union(keyed.join(twice, [uid, vid], "left_semi").dropDuplicates([uid, vid]))
+    mixed = keyed.join(takes, [uid, vid])
+    return mixed.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(settings.seed), uid, vid, copy)).select(*columns)

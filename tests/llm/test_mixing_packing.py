@@ -69,6 +69,50 @@ def test_mixed_rows_keep_columns(docs, no_docs):
     assert mixing.mix_documents(no_docs).count() == 0 and mixing.plan_mix(sized(no_docs)).count() == 0
 
 
+def test_repeated_rows_are_taken_as_planned(spark):
+    """30 equal rows of a source whose target is less than all of them, and others of a source with room."""
+    rows = [(7, "one two three four", "a", {"k": 1})] * 30 + [(i, "w " * (i % 5 + 1), "b", None) for i in range(100, 160)] + [(i, "x y", "c", None) for i in range(200, 240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_uid map<string,int>")
+    settings = mixing.MixSettings(weights=(1, 5, 1), block_words=8, shard_words=50)
+    plan = mixing.plan_mix(sized(docs), settings).collect()
+    want, seen = sum(len(r.shards[: r.whole + (r.part > 0)]) for r in plan if r.doc_id == 7), set()
+    assert 0 < want < 30
+    for n in (1, 3, 7):
+        mixed = [(r.doc_id, r.text) for r in mixing.mix_documents(docs.repartition(n), settings).collect()]
+        assert abs(sum(i == 7 for i, _ in mixed) - want) <= 1
+        taken, target = sum(len(t.split()) for i, t in mixed if i >= 200), next(r.target for r in plan if r.doc_id >= 200)
+        assert abs(taken - target) <= 2
+        seen.add(tuple(sorted(mixed)))
+    assert len(seen) == 1
+
+
+def test_taken_words_of_each_source(docs):
+    rows = sized(docs)
+    sizes = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    target = wanted(sizes)
+    source = {r.doc_id: r.source for r in rows.collect()}
+    taken, targets = dict.fromkeys(target, 0), {}
+    for r in mixing.plan_mix(rows, mixing.MixSettings(block_words=50, shard_words=400)).collect():
+        taken[source[r.doc_id]] += r.taken
+        targets[source[r.doc_id]] = r.target
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 1 and (s not in targets or abs(targets[s] - t) < 1e-6), s
+
+
+def test_many_lengths_are_optimal():
+    """Against programming over all pairs, with more lengths than 1,024 and long ones."""
+    rng = np.random.default_rng(3)
+    lengths = np.unique(np.concatenate([rng.integers(1, 3000, 1500), rng.integers(3000, 2_000_000, 300)]))
+    n = rng.integers(1, 1000, len(lengths))
+    docs = np.concatenate([[0], np.cumsum(n)]).astype(float)
+    best = lengths * docs[1:]
+    for _ in range(4):
+        before = np.concatenate([[0.0], best[:-1]])
+        best = np.array([min(before[: j + 1] + lengths[j] * (docs[j + 1] - docs[: j + 1])) for j in range(len(lengths))])
+    bounds = np.array(packing.optimal_boundaries(lengths, n, 5))
+    assert len(bounds) == 5 and bounds[-1] == lengths[-1] and (bounds[np.searchsorted(bounds, lengths)] * n).sum() == best[-1]
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(1)
     for _ in range(20):

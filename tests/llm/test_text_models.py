@@ -51,10 +51,21 @@ def test_forward_is_exact():
                 p *= model.moves[states[t - 1], states[t]] * model.emits[codes[s + t], states[t]]
             total += p
         assert abs(got[k] - math.log10(total)) < 1e-9
-    start, moves, emits = pack.expected_counts(model)
+    start, moves, emits, _ = pack.expected_counts(model)
     assert abs(start.sum() - 2) < 1e-9 and abs(moves.sum() - 7) < 1e-9 and abs(emits.sum() - 9) < 1e-9
 
 
+def test_pieces_give_what_the_whole_gives():
+    rng = np.random.default_rng(1)
+    model = hmm.Model.first(np.full(5, 0.2), hmm.LmSettings(states=3))
+    codes = rng.integers(0, 5, 57)
+    whole = hmm._Packed(codes, np.array([0]), np.array([57]))
+    for piece in (1, 7, 56, 57, 100):
+        assert abs(hmm.long_likelihood(codes, model, piece) - whole.log10_likelihood(model)[0]) < 1e-9
+        for a, b in zip(hmm.long_counts(codes, model, piece), whole.expected_counts(model)):
+            assert np.allclose(a, b)
+
+
 def test_training_raises_the_likelihood(spark):
     rows = [(i, " ".join(("red green blue" if i % 2 else "uno dos tres").split() * 10)) for i in range(200)]
     got = hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), settings=hmm.LmSettings(states=2, classes=64, rounds=8))
@@ -93,17 +104,60 @@ def test_toxic_spans(spark, no_docs):
 
 
 def test_marginals_by_brute_force():
-    field = toxicity.Field(np.array([1]), np.array([1]), 0.1)
+    field = toxicity.Field(0.1)
     rng = np.random.default_rng(4)
     field.moves = rng.normal(size=(2, 2))
-    unary = rng.normal(size=4)
-    p, expected = field.marginals(toxicity.Layout(np.array([0]), np.array([4])), unary)
-    weight = {}
-    for path in range(16):
-        y = [(path >> t) & 1 for t in range(4)]
-        weight[path] = math.exp(sum(u * a for u, a in zip(unary, y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:])))
-    z = sum(weight.values())
-    for t in range(4):
-        assert abs(p[t] - sum(w for k, w in weight.items() if (k >> t) & 1) / z) < 1e-9
-    assert abs(expected.sum() - 3) < 1e-9
+    lengths, rows = [4, 1, 5], np.repeat(np.arange(3), [4, 1, 5])
+    unary = rng.normal(size=10)
+    p, all_clean, moves = field.marginals(rows, unary, 3)
+    first = 0
+    for r, n in enumerate(lengths):
+        weight = {}
+        for path in range(2**n):
+            y = [(path >> t) & 1 for t in range(n)]
+            weight[path] = math.exp(sum(u * a for u, a in zip(unary[first:], y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:])))
+        z = sum(weight.values())
+        for t in range(n):
+            assert abs(p[first + t] - sum(w for k, w in weight.items() if (k >> t) & 1) / z) < 1e-9
+        assert abs(all_clean[r] - math.log(weight[0] / z)) < 1e-9 and abs(moves[r].sum() - (n - 1)) < 1e-9
+        first += n
     assert field.score(pa.array(["a", None]))[0].tolist() == [0.1, 0.1]
+
+
+def test_slopes_are_those_of_the_likelihood():
+    field, rng = toxicity.Field(0.1), np.random.default_rng(5)
+    field.moves = rng.normal(size=(2, 2))
+    field.weights = field.weights.astype(float)
+    rows, codes, features = np.array([0, 0, 0, 1, 1, 2]), np.array([0, 1, 2, 2, 0, 1]), rng.integers(0, 40, (3, toxicity.OWN + 2))
+    field.weights[:40], field.weights[-1], toxic = rng.normal(size=40), -1.0, np.array([True, False, True])
+
+    def likelihood(f):
+        clean = f.marginals(rows, f.unary(rows, codes, features), 3)[1]
+        return np.where(toxic, np.log(0.1 + 0.9 * -np.expm1(clean)), clean).sum()
+
+    slope, moves, _ = field.gradient(rows, codes, features, toxic, 0.1)
+    for at in [0, 7, 23, 39, toxicity.FEATURES]:
+        up = toxicity.Field(0.1, field.weights.copy(), field.moves)
+        up.weights[at] += 1e-6
+        assert abs((likelihood(up) - likelihood(field)) / 1e-6 - slope[at]) < 1e-4
+    for k in range(4):
+        up = toxicity.Field(0.1, field.weights, field.moves.copy())
+        up.moves[k // 2, k % 2] += 1e-6
+        assert abs((likelihood(up) - likelihood(field)) / 1e-6 - moves[k]) < 1e-4
+
+
+def test_stems_carry_over_to_unseen_words(spark):
+    """Toxic words with endings that no training text has."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    plain, rows = [word() for _ in range(200)], []
+    for i in range(900):
+        t = list(rng.choice(plain, 40))
+        if i % 3 == 0:
+            t[int(rng.integers(40))] = "zorko" + word()
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    got = [r for r in toxicity.score_documents(docs, marks).collect() if r.held_out]
+    hit = [r.predicted for r in got if r.doc_id % 3 == 0]
+    assert sum(hit) >= 0.95 * len(hit) and not any(r.predicted for r in got if r.doc_id % 3)
