@@ -12,15 +12,16 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("least"))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) of longs to (node, root) for each node of an edge; root is the least node of its component.
 
     Each step hangs the neighbours of a node on the least of them, until every component is a star. Minima are
-    aggregated before the shuffle, so that a node with many neighbours is no burden to one task.
+    aggregated before the shuffle, so that a node with many neighbours is no burden to one task. Steps go on until nothing
+    changes; no node's least neighbour ever grows, so they end.
     """
     edges = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _nearest(both).select("a", F.least("a", "least").alias("least"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()

@@ -8,9 +8,10 @@ shingles, directly or through others, form a block.
 
 Inside a block a signature tree does the join: its nodes hold OR-combined bitmaps of the shingles and ranges of the set
 sizes, and a dual traversal drops pairs of nodes whose largest possible overlap is too small; what remains is compared
-exactly. A small block is one task. A large one is cut into nodes by size and least shingle; each node is joined with
-itself first, and then with the nodes that it shares a prefix shingle with, except where both are already in one
-component. Links inside a component that is known already aren't looked for, so groups of copies stay cheap.
+exactly. A small block is one task. A large one is cut into nodes by size and least shingle, and by the set's hash where
+many sets have the same least shingle; a node is bounded in sets and in shingles. Each node is joined with itself first,
+then with the next one of its block, and at last with the nodes that it shares a prefix shingle with, except where both are
+already in one component. Links inside a component that is known already aren't looked for, so groups of copies stay cheap.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import slices, stage_table
+from plantlens.llm.common import fresh, slices, stage_table
 from plantlens.llm.components import components
 from plantlens.llm.shingles import mix, shingle_sets
 
-#: Documents in a node of a block that is too large for one task.
-NODE = 1024
+#: Documents, and about so many shingles, in a node of a block that is too large for one task.
+NODE, NODE_SHINGLES = 1024, 1 << 23
 #: Children of a tree node, and the most bits of a bitmap.
 FAN, WIDEST = 8, 1 << 16
 #: Shingles that so large a part of a slice of documents has come last in the order (it never changes the result).
@@ -257,16 +258,20 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = stage_table(texts.join(blocks, texts["cid"] == blocks["node"]).select("cid", F.col("root").alias("block"), band.alias("band"), F.col("shingles")[0].alias("least"), "shingles"), "sigtree-members")
 
     narrow = members.select("cid", "block", "band", "least")
-    by_band = narrow.groupBy("block", "band").agg(F.count("*").alias("in_band"))
-    by_block = by_band.groupBy("block").agg((F.sum("in_band") > NODE).alias("large"))
+    by_band = narrow.groupBy("block", "band").agg(F.count("*").alias("in_band")).withColumn("room", _room(percent))
+    by_block = by_band.groupBy("block").agg((F.sum(F.col("in_band") / F.col("room")) > 1).alias("large"))
     sizes = by_band.join(by_block, "block")
-    part = F.when(F.col("large"), F.xxhash64("block", "band", F.pmod("least", F.ceil(F.col("in_band") / NODE)))).otherwise(F.col("block"))
-    first = members.join(sizes, ["block", "band"]).select(part.alias("task"), F.lit(-1).cast("long").alias("side"), "cid", F.col("cid").alias("label"), "shingles")
+    # sets that share their least shingle with more than a node of others, as near copies do
+    hot = narrow.groupBy("block", "band", "least").agg(F.count("*").alias("in_least")).join(sizes, ["block", "band"])
+    hot = stage_table(hot.where(F.col("large") & (F.col("in_least") > F.col("room"))).select("block", "band", "least", "in_least"), "sigtree-hot")
+    part = F.when(~F.col("large"), F.col("block")).when(F.col("in_least").isNull(), F.xxhash64("block", "band", F.pmod("least", F.ceil(F.col("in_band") / F.col("room")))))
+    part = part.otherwise(F.xxhash64("block", "band", "least", F.pmod(F.xxhash64("cid"), F.ceil(F.col("in_least") / F.col("room")))))
+    first = members.join(sizes, ["block", "band"]).join(hot, ["block", "band", "least"], "left").select(part.alias("task"), F.lit(-1).cast("long").alias("side"), "cid", F.col("cid").alias("label"), "shingles")
     edges = stage_table(_join_tasks(first, percent), "sigtree-links")
 
     large = stage_table(narrow.join(by_block.where("large"), "block"), "sigtree-large")
     if large.limit(1).count():
-        edges = edges.union(_between_nodes(large, members, prefix, edges, percent))
+        edges = edges.union(_between_nodes(large, hot, members, prefix, edges, percent))
     roots = components(edges)
     least = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id")).join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     of_root = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -280,7 +285,8 @@ def duplicate_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
 
     A-Z is lower-cased and words are runs without ASCII white space. Null or empty texts, or such without words, have no
     shingle and are linked with nothing: component_id is their own id. Rows that repeat an id are rows of their own; null
-    ids don't count for the smallest. Shingles and classes go by 64-bit hashes.
+    ids don't count for the smallest. No rows give no rows; columns other than doc_id (a number) and text aren't read, so
+    they may have any name. Shingles and classes go by 64-bit hashes.
     """
     return _classes(docs, width, percent).drop("uid")
 
@@ -295,31 +301,59 @@ def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     first = members.where("component_id is not null").groupBy("component_id").agg(F.min_by("uid", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "uid")).alias("kept"))
     gone = members.join(first, "component_id").where("uid <> kept").select("uid").distinct()
     twice = members.join(first, "component_id").where("uid = kept").groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid")
-    key = "__sigtree_uid"
+    key = fresh("sigtree_uid", docs.columns)
     kept = _pick(docs.withColumn(key, F.xxhash64(docs["doc_id"], docs["text"])), gone, "left_anti", key)
     if twice.limit(1).count():
         kept = _pick(kept, twice, "left_anti", key).union(_pick(kept, twice, "left_semi", key).dropDuplicates([key]))
     return kept.select(docs.columns)
 
 
-def _between_nodes(large: DataFrame, members: DataFrame, prefix: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+def _room(percent: int):
+    """Sets in a node of a band, by the largest size in the band."""
+    largest = F.pow(F.lit(100 / percent), F.col("band") + 1)
+    return F.greatest(F.lit(1), F.least(F.lit(NODE), F.floor(F.lit(NODE_SHINGLES) / largest)))
+
+
+def _node_table(placed: DataFrame) -> DataFrame:
+    """(node, block, band, low, high): low and high are the least and the largest label in the node."""
+    return placed.groupBy("node").agg(F.first("block").alias("block"), F.first("band").alias("band"), F.min("label").alias("low"), F.max("label").alias("high"))
+
+
+def _pair_links(pairs: DataFrame, placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between sets of the pairs (i, j) of nodes."""
+    task = F.xxhash64("i", "j").alias("task")
+    sides = pairs.select(F.col("i").alias("node"), task, F.when(F.col("i") == F.col("j"), -1).otherwise(0).cast("long").alias("side"))
+    sides = sides.union(pairs.where("i <> j").select(F.col("j").alias("node"), task, F.lit(1).cast("long").alias("side")))
+    rows = members.select("cid", "shingles").join(placed.join(sides, "node"), "cid")
+    return stage_table(_join_tasks(rows, percent), "sigtree-links")
+
+
+def _between_nodes(large: DataFrame, hot: DataFrame, members: DataFrame, prefix: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Links between the nodes of large blocks. Sets of a component that fills nodes get nodes of their own."""
-    roots = components(edges)
-    labelled = large.join(roots, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
+    labelled = large.join(components(edges), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
     count = labelled.groupBy("block", "band", "label").agg(F.count("*").alias("in_label"))
-    count = count.withColumn("own", F.when(F.col("in_label") >= NODE // 4, F.col("label")))
+    count = count.withColumn("own", F.when(F.col("in_label") >= F.ceil(_room(percent) / 4), F.col("label")))
     rest = count.where("own is null").groupBy("block", "band").agg(F.sum("in_label").alias("in_rest"))
-    placed = labelled.join(count, ["block", "band", "label"]).join(rest, ["block", "band"], "left")
-    many = F.ceil(F.coalesce(F.when(F.col("own").isNull(), F.col("in_rest")), F.col("in_label")) / NODE)
-    placed = stage_table(placed.select("cid", "label", "band", F.xxhash64("block", "band", F.coalesce("own", F.lit(0)), F.pmod("least", many)).alias("node")), "sigtree-nodes")
-    nodes = placed.groupBy("node").agg(F.first("band").alias("band"), F.min("label").alias("low"), F.max("label").alias("high"))
-    of_token = prefix.join(placed, "cid").select("token", "node").distinct()
+    placed = labelled.join(count, ["block", "band", "label"]).join(rest, ["block", "band"], "left").join(hot, ["block", "band", "least"], "left")
+    many = F.ceil(F.coalesce(F.when(F.col("own").isNull(), F.col("in_rest")), F.col("in_label")) / _room(percent))
+    by = F.when(F.col("own").isNull() & F.col("in_least").isNull(), F.col("least")).otherwise(F.xxhash64("cid"))
+    placed = stage_table(placed.select("cid", "label", "block", "band", F.xxhash64("block", "band", F.coalesce("own", F.lit(0)), F.pmod(by, many)).alias("node")), "sigtree-nodes")
+
+    # neighbours first: where near copies fill many nodes, these few pairs make one component of them
+    after = Window.partitionBy("block").orderBy("band", "node")
+    ahead = _node_table(placed).withColumns({f"next_{c}": F.lead(c).over(after) for c in ("node", "band", "low", "high")})
+    ahead = ahead.where("next_band - band <= 1 and not (low = high and next_low = next_high and low = next_low)").select(F.col("node").alias("i"), F.col("next_node").alias("j"))
+    more = _pair_links(stage_table(ahead, "sigtree-pairs"), placed, members, percent)
+    roots = components(edges.union(more)).withColumnRenamed("node", "cid")
+    placed = stage_table(placed.drop("label").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"), "sigtree-nodes")
+
+    nodes = _node_table(placed)
+    of_token = prefix.join(placed, "cid").select("token", "node", "label")
+    # a shingle of one component only can't link anything new
+    mixed = of_token.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    of_token = stage_table(of_token.join(mixed, "token").select("token", "node").distinct(), "sigtree-tokens")
     pairs = of_token.alias("x").join(of_token.alias("y"), F.col("x.token") == F.col("y.token")).where("x.node <= y.node").select(F.col("x.node").alias("i"), F.col("y.node").alias("j")).distinct()
     x, y = nodes.select(*[F.col(c).alias(f"{c}_i") for c in nodes.columns]), nodes.select(*[F.col(c).alias(f"{c}_j") for c in nodes.columns])
     pairs = pairs.join(x, F.col("i") == F.col("node_i")).join(y, F.col("j") == F.col("node_j"))
     pairs = stage_table(pairs.where("abs(band_i - band_j) <= 1 and not (low_i = high_i and low_j = high_j and low_i = low_j)").select("i", "j"), "sigtree-pairs")
-    task = F.xxhash64("i", "j").alias("task")
-    sides = pairs.select(F.col("i").alias("node"), task, F.when(F.col("i") == F.col("j"), -1).otherwise(0).cast("long").alias("side"))
-    sides = sides.union(pairs.where("i <> j").select(F.col("j").alias("node"), task, F.lit(1).cast("long").alias("side")))
-    rows = members.select("cid", "shingles").join(placed.join(sides, "node"), "cid")
-    return stage_table(_join_tasks(rows, percent), "sigtree-links")
+    return more.union(_pair_links(pairs, placed, members, percent))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plantlens.llm import sigtree
 from plantlens.llm.components import components
@@ -114,3 +115,16 @@ def test_shingles_frequent_in_one_slice_only_stay_out(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in sigtree.duplicate_classes(docs).collect()}
     assert got == {d: d // 8 * 8 for d, _ in rows}
     assert sent[0][0] == 1 < 200 < sent[0][1]
+
+
+def test_near_copies_fill_no_task(spark, monkeypatch):
+    """Near copies share their least shingle; still no task holds more than two nodes."""
+    monkeypatch.setattr(sigtree, "NODE", 20)
+    tasks, join = [], sigtree._join_tasks
+    monkeypatch.setattr(sigtree, "_join_tasks", lambda rows, percent: tasks.append(rows.groupBy("task").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count("*")).first()) or join(rows, percent))
+    base = [f"word{k}" for k in range(200)]
+    rows = [(i, " ".join([*base[:k], f"new{i}", *base[k + 1 :]])) for i in range(700) for k in [i % 190 + 5]] + [(9000, "long " + " ".join(f"l{k}" for k in range(100_000)))]
+    got = {r.doc_id: r.component_id for r in sigtree.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 9000 else 9000 for i, _ in rows}
+    most, many = max(t[0] for t in tasks), sum(t[1] for t in tasks)
+    assert most <= 80 and many < 400  # nodes are cut by a hash, so some are a little larger; pairs of nodes are few
