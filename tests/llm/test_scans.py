@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plantlens.llm import hamming, jpeg, licenses, pii, token_counts
@@ -153,7 +154,9 @@ def test_jpeg_of_runs_and_colour():
     assert jpeg.thumbnail(frame, c).tolist() == [[131, 128]]
 
 
-def test_top_k_matches_brute_force(spark):
+@pytest.mark.parametrize("flips", [1 << 15, 20])
+def test_top_k_matches_brute_force(spark, monkeypatch, flips):
+    monkeypatch.setattr(hamming, "FLIPS", flips)
     rng = np.random.default_rng(1)
     codes = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 40)]
     rows = [(i, codes[int(rng.integers(40))] ^ int(1 << int(rng.integers(60))) if i % 3 else codes[0]) for i in range(400)] + [(900, None), (3, None)]
