@@ -204,9 +204,9 @@ def _bags(batch: pa.RecordBatch, tokens: int = 500_000) -> Iterator[tuple[np.nda
         start = end
 
 
-def fit(sample: DataFrame, settings: ToxicitySettings, model: Field) -> Field:
-    """Adam's steps over the gradients of all rows of sample (toxic, codes, features)."""
-    spark = sample.sparkSession
+def fit(sample: DataFrame, n: int, settings: ToxicitySettings, model: Field) -> Field:
+    """Adam's steps over the gradients of all n rows of sample (toxic, codes, features)."""
+    spark, part = sample.sparkSession, n / (1.4 * settings.sample)
     moment, size = np.zeros(FEATURES + 5), np.zeros(FEATURES + 5)
     for step in range(1, settings.rounds + 1):
         sent = spark.sparkContext.broadcast(model)
@@ -224,10 +224,10 @@ def fit(sample: DataFrame, settings: ToxicitySettings, model: Field) -> Field:
         got = sample.mapInArrow(slopes, "at int, slope double").groupBy("at").agg(F.sum("slope").alias("slope")).toArrow()  # bounded: FEATURES + 5
         slope = np.zeros(FEATURES + 5)
         slope[got.column("at").to_numpy()] = got.column("slope").to_numpy()
-        slope -= settings.rest * np.concatenate([model.weights[:-1], [0.0], model.moves.ravel()])
+        slope -= settings.rest * part * np.concatenate([model.weights[:-1], [0.0], model.moves.ravel()])
         moment, size = 0.8 * moment + 0.2 * slope, 0.95 * size + 0.05 * slope**2
         # features with small slopes, those of a few texts only, move less than others
-        move = 0.3 * (moment / (1 - 0.8**step)) / (np.sqrt(size / (1 - 0.95**step)) + 0.5)
+        move = 0.3 * (moment / (1 - 0.8**step)) / (np.sqrt(size / (1 - 0.95**step)) + 0.5 * part)
         move[FEATURES] *= 0.3
         model = Field(model.prior, (model.weights + move[: FEATURES + 1]).astype(np.float32), model.moves + move[FEATURES + 1 :].reshape(2, 2))
         sent.unpersist()
@@ -250,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = Toxic
     # repeated rows come once
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = stage_table(_sample_features(texts.repartition(settings.parts, "doc_id")), "toxicity-sample")
-    model = fit(sample, settings, Field(prior))
+    model = fit(sample, min(n_toxic, settings.sample) + min(n_clean, settings.sample), settings, Field(prior))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
