@@ -99,7 +99,9 @@ def tag_index(bindings: DataFrame) -> DataFrame:
 
 def template_report(instances: DataFrame) -> DataFrame:
     """instances (template, instance, keys) to one row for each template: number of instances and all keys."""
-    return instances.groupBy("template").agg(F.count("*").alias("n_instances"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
+    keys = instances.select("template", F.explode("keys").alias("key")).groupBy("template").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    counts = instances.groupBy("template").agg(F.count("*").alias("n_instances"))
+    return counts.join(keys, counts["template"].eqNullSafe(keys["template"]), "left").select(counts["template"], "n_instances", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
 
 
 def flatten(roots: DataFrame, children: DataFrame, max_depth: int | None = None) -> DataFrame:

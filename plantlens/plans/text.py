@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions import tags
 from plantlens.operators import joins, ordering
+from plantlens.plans.loops import matches_query
 from plantlens.registry import Registry, table
 from plantlens.sources import listings
 
@@ -113,9 +114,9 @@ def binding_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_size <= 25 AND (lower(p_name) LIKE '%red%' OR lower(p_brand) LIKE '%red%' OR lower(p_type) LIKE '%red%' OR lower(p_brand) LIKE '%#12%')""")
 def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = lambda q, *cs: F.exists(F.array(*cs), lambda c: F.coalesce(F.lower(c).contains(q), F.lit(False)))
     part = table(spark, sf_dir, "part")
-    return part.where((F.col("p_size") <= 25) & (has("red", "p_name", "p_brand", "p_type") | has("#12", "p_brand"))).select("p_partkey", "p_name", "p_brand", "p_type")
+    found = matches_query(["p_name", "p_brand", "p_type"], "red") | matches_query(["p_brand"], "#12")
+    return part.where((F.col("p_size") <= 25) & found).select("p_partkey", "p_name", "p_brand", "p_type")
 
 
 @query("""
