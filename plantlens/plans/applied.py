@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions import numbers, tags
 from plantlens.operators import joins
-from plantlens.plans import displays, loops, reports, specs
+from plantlens.plans import details, displays, loops, reports, specs
 from plantlens.registry import Registry, table
 from plantlens.sources import listings
 
@@ -175,3 +175,114 @@ def placed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", turned["x"].alias("rx"), turned["y"].alias("ry"), moved["x"].alias("tx"), moved["y"].alias("ty"),
         near["distance"].alias("distance"), near["interior"].alias("interior"), numbers.plot_time(F.col("l_shipdate")).alias("plotted"), F.when(F.col("l_linenumber") == 1, "ok").alias("status"),
     )
+
+
+@query("""
+    SELECT l_suppkey AS loop, CASE WHEN bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'R') THEN 'control' WHEN bool_or(l_returnflag = 'R') THEN 'output' ELSE 'input' END AS kind FROM lineitem GROUP BY 1""")
+def loop_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("l_returnflag") == "A", "input").when(F.col("l_returnflag") == "R", "output").otherwise("other")
+    return details.loop_kinds(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("loop"), role.alias("role")))
+
+
+@query("""
+    SELECT p_partkey, p_brand, p_name FROM part WHERE upper(p_brand) = 'BRAND#12.CAD' OR upper(p_name) LIKE '%RED%' OR upper(p_type) LIKE '%RED%'""")
+def sheet_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(details.on_sheet(F.col("p_brand"), F.array("p_name", "p_type"), F.lit("red.CAD"))).select("p_partkey", "p_brand", "p_name")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN l_partkey END AS source, CASE WHEN l_linestatus = 'F' THEN l_suppkey END AS target FROM lineitem WHERE l_returnflag = 'A' OR l_linestatus = 'F'""")
+def routable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = F.when(F.col("l_returnflag") == "A", F.col("l_partkey")), F.when(F.col("l_linestatus") == "F", F.col("l_suppkey"))
+    return details.routable(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", source.alias("source"), target.alias("target")))
+
+
+@query("""
+    SELECT c_custkey, c_name AS raw FROM customer WHERE upper(c_name) NOT IN (SELECT upper(concat('customer#', o_custkey)) FROM orders)""")
+def reference_only_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "orders").select(F.concat(F.lit("customer#"), F.col("o_custkey").cast("string")).alias("raw"))
+    return details.reference_only(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("raw")), points)
+
+
+@query("""
+    WITH v AS (SELECT l_partkey AS block, l_linenumber AS number, max(l_quantity)::BIGINT AS value FROM lineitem GROUP BY ALL)
+    SELECT p_name AS loop, p_partkey AS block, p_size AS fc, concat('EU id ', value) AS unit, 'EXTRACTED' AS status FROM part JOIN v ON p_partkey = block AND p_size = 30 AND number = 2
+    UNION ALL SELECT p_name, p_partkey, p_size, NULL, 'UNRESOLVED' FROM part WHERE NOT (p_size = 30 AND p_partkey IN (SELECT block FROM v WHERE number = 2))""")
+def loop_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("block"), F.col("l_linenumber").alias("number")).agg(F.max("l_quantity").cast("long").alias("value"))
+    return details.unit_of_loop(table(spark, sf_dir, "part").select(F.col("p_name").alias("loop"), F.col("p_partkey").alias("block"), F.col("p_size").alias("fc")), values)
+
+
+@query("""
+    WITH m AS (SELECT o_custkey AS loop, CASE WHEN o_orderkey >= 100 THEN concat(substr(lpad(o_orderkey::VARCHAR, 5, '1'), 1, 1), '-', substr(lpad(o_orderkey::VARCHAR, 5, '1'), 2, 2), '-', substr(lpad(o_orderkey::VARCHAR, 5, '1'), 4, 2)) END AS stem FROM orders)
+    SELECT loop, CASE WHEN count(DISTINCT stem) = 1 THEN min(stem) ELSE '' END AS module, CASE WHEN count(DISTINCT stem) = 1 THEN 'DERIVED' ELSE 'UNRESOLVED' END AS status FROM m GROUP BY loop""")
+def loop_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = F.when(F.col("o_orderkey") >= 100, F.substring(F.lpad(F.col("o_orderkey").cast("string"), 5, "1"), 1, 5)).otherwise("none")
+    return details.module_stems(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("loop"), sheet.alias("sheet")))
+
+
+@query("""
+    SELECT count(*) FILTER (l_returnflag = 'A') AS fields_known, coalesce(sum(l_linenumber) FILTER (l_returnflag = 'A'), 0)::BIGINT AS bytes_known, count(*) FILTER (l_returnflag = 'N') AS fields_candidate,
+           coalesce(sum(l_linenumber) FILTER (l_returnflag = 'N'), 0)::BIGINT AS bytes_candidate, count(*) FILTER (l_returnflag = 'R') AS fields_unresolved, coalesce(sum(l_linenumber) FILTER (l_returnflag = 'R'), 0)::BIGINT AS bytes_unresolved FROM lineitem""")
+def field_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("l_returnflag") == "A", "KNOWN").when(F.col("l_returnflag") == "N", "CANDIDATE").otherwise("UNRESOLVED")
+    return details.field_status(table(spark, sf_dir, "lineitem").select(status.alias("status"), F.col("l_linenumber").alias("length")))
+
+
+@query("""
+    SELECT p_partkey, p_brand, p_size AS fc, concat(p_size, '_', row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey)) AS ordinal FROM part""")
+def ordinals_of_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return details.code_ordinals(table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").alias("fc")), ["p_brand"], ["p_partkey"])
+
+
+@query("""
+    WITH l AS (SELECT p_brand, list(p_name ORDER BY p_name) AS names FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY 1)
+    SELECT p_brand, substr(array_to_string(CASE WHEN len(names) > 3 THEN list_append(names[1:3], concat('... ', len(names) - 3, ' more')) ELSE names END, ';'), 1, 40) AS shown FROM l""")
+def capped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
+    return names.select("p_brand", details.clipped(F.array_join(details.capped(F.col("names"), 3), ";"), 40).alias("shown"))
+
+
+@query("""
+    WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS place, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+    SELECT p_brand, p_partkey FROM r WHERE place % greatest(1, n // 5) = 0""")
+def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return details.every_nth(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"], 5)
+
+
+@query("""
+    SELECT p_partkey, concat('SIZE=', p_size, ';S7=', p_brand) AS pairs, CASE WHEN p_size > 25 THEN '0,3,' || p_size ELSE '0,' || p_size END AS offsets,
+           CASE WHEN p_size > 25 THEN false ELSE true END AS dated, concat('ABCDE', lpad(p_size::VARCHAR, 3, '0')) AS sheets, concat('DI7-1A/', p_partkey) AS tag, 'BA02-02.07' AS point, '30705L6A' AS target_cad FROM part WHERE p_size <> 3""")
+def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as sheets have them, made of the columns of parts and parsed."""
+    part, size, key = table(spark, sf_dir, "part").where("p_size <> 3"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    pairs = details.parameters(F.array(F.concat(F.lit("size = old")), F.concat(F.lit(" Size = "), size, F.lit(" ")), F.concat(F.lit("S7: "), F.col("p_brand")), F.lit("no pair")))
+    offsets = details.output_offsets(F.array(F.lit("N"), F.concat(F.lit("N + "), size), F.when(F.col("p_size") > 25, "N+3").otherwise("N"), F.lit("M+9")))
+    sheets = details.listed_sheets(F.concat(F.lit("see abcde"), F.lpad(size, 3, "0"), F.lit(".cad and x.CAD")))
+    ref = details.output_reference(F.concat(F.lit("OREF DI7-1A/"), key, F.lit(" BA02-02.07 30705L6A")))
+    return part.select(
+        "p_partkey", F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["key"], p["value"])), ";").alias("pairs"), F.array_join(offsets.cast("array<string>"), ",").alias("offsets"),
+        details.is_date_like(F.when(F.col("p_size") > 25, "30-1234").otherwise(" 3/12/1998 ")).alias("dated"), F.array_join(sheets, ",").alias("sheets"), *[ref[c].alias(c) for c in ("tag", "point", "target_cad")],
+    )
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_type, ts, max(ts) OVER () AS newest FROM events)
+    SELECT event_id, CASE WHEN event_type = 'click' THEN CASE WHEN newest - ts > INTERVAL 3 MINUTE THEN 'failed' ELSE 'running' END ELSE event_type END AS state FROM e""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    newest = events.agg(F.max("ts").alias("newest"))
+    state = F.when(F.col("event_type") == "click", "running").otherwise(F.col("event_type"))
+    return events.select("event_id", details.job_state(state, F.col("ts"), newest.scalar()).alias("state"))
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity - 25.0 AS x1, l_linenumber - 4.0 AS y1, l_quantity - 25.0 + l_suppkey % 9 AS x2, l_linenumber - 4.0 - l_partkey % 5 AS y2 FROM lineitem),
+    t AS (SELECT *, CASE WHEN x2 <> x1 THEN greatest(0, (-5 - x1) / (x2 - x1)) WHEN x1 BETWEEN -5 AND 6 THEN 0 END AS a, CASE WHEN x2 <> x1 THEN least(1, (6 - x1) / (x2 - x1)) WHEN x1 BETWEEN -5 AND 6 THEN 1 END AS b,
+           CASE WHEN y2 <> y1 THEN greatest(0, (1 - y1) / (y2 - y1)) WHEN y1 BETWEEN -2 AND 1 THEN 0 END AS c, CASE WHEN y2 <> y1 THEN least(1, (-2 - y1) / (y2 - y1)) WHEN y1 BETWEEN -2 AND 1 THEN 1 END AS d FROM s)
+    SELECT l_orderkey, l_linenumber, l_partkey, coalesce(a IS NOT NULL AND c IS NOT NULL AND greatest(a, c) <= least(b, d), false) AS hit, x1 < 6 AND -5 < x1 + 1 AND y1 < 1 AND -2 < y1 + 1 AS boxes FROM t""")
+def boxes_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("l_quantity") - 25.0, F.col("l_linenumber") - 4.0
+    made = lambda *v: F.struct(*[(c if isinstance(c, Column) else F.lit(float(c))).alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), v)])
+    segment, box = made(x, y, x + F.col("l_suppkey") % 9, y - F.col("l_partkey") % 5), made(-5, -2, 6, 1)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", details.segment_hits_box(segment, box).alias("hit"), details.boxes_intersect(made(x, y, x + 1, y + 1), box).alias("boxes"))
