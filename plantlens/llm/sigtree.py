@@ -139,6 +139,22 @@ def links(sets: list[np.ndarray], label: np.ndarray, percent: int, side: np.ndar
             i, j = i[k + 1 :], j[k + 1 :]
 
 
+def _stars(pairs: list[tuple[int, int]], label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges from labels to the least one of those that the pairs connect."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            above[x], x = above.get(above[x], above[x]), above[x]
+        return x
+
+    for i, j in pairs:
+        low, high = sorted((top(int(label[i])), top(int(label[j]))))
+        if low < high:
+            above[high] = low
+    return list(above), [top(x) for x in list(above)]
+
+
 def _class_ids(offsets: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """64 bits that depend on the whole set (of 128 bits of sums, mixed)."""
     sums = []
@@ -155,19 +171,21 @@ def _pick(docs: DataFrame, keys: DataFrame, how: str, on: str = "uid") -> DataFr
 
 
 def _join_tasks(rows: DataFrame, percent: int) -> DataFrame:
-    """(task, side, cid, label, shingles) to links (a, b); side -1: all pairs of the task, else pairs of different sides."""
+    """(task, side, label, shingles) to edges (a, b) between the labels that links join in a task.
+
+    Side -1: all pairs of the task, else pairs of different sides.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
 
         def done() -> pa.RecordBatch:
-            ids, label, side = (np.array([h[k] for h in held], np.int64) for k in range(3))
-            pairs = list(links([h[3] for h in held], label, percent, side if side.min() >= 0 and side.max() > 0 else None)) if len(held) > 1 else []
-            i, j = np.array(pairs, np.int64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+            label, side = (np.array([h[k] for h in held], np.int64) for k in range(2))
+            pairs = list(links([h[2] for h in held], label, percent, side if side.min() >= 0 and side.max() > 0 else None)) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _stars(pairs, label)], ["a", "b"])
 
         for batch in batches:
-            tasks, ids, label, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "cid", "label", "side"))
+            tasks, label, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "label", "side"))
             column = batch.column("shingles")
             flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(zero_copy_only=False)
             for r in range(len(tasks)):
@@ -175,11 +193,11 @@ def _join_tasks(rows: DataFrame, percent: int) -> DataFrame:
                     if len(held) > 1:
                         yield done()
                     task, held = tasks[r], []
-                held.append((ids[r], label[r], side[r], flat[ends[r] : ends[r + 1]].copy()))
+                held.append((label[r], side[r], flat[ends[r] : ends[r + 1]].copy()))
         if len(held) > 1:
             yield done()
 
-    return rows.select("task", "side", "cid", "label", "shingles").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return rows.select("task", "side", "label", "shingles").repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def _frequent(found: DataFrame) -> DataFrame:
@@ -267,12 +285,11 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     part = F.when(~F.col("large"), F.col("block")).when(F.col("in_least").isNull(), F.xxhash64("block", "band", F.pmod("least", F.ceil(F.col("in_band") / F.col("room")))))
     part = part.otherwise(F.xxhash64("block", "band", "least", F.pmod(F.xxhash64("cid"), F.ceil(F.col("in_least") / F.col("room")))))
     first = members.join(sizes, ["block", "band"]).join(hot, ["block", "band", "least"], "left").select(part.alias("task"), F.lit(-1).cast("long").alias("side"), "cid", F.col("cid").alias("label"), "shingles")
-    edges = stage_table(_join_tasks(first, percent), "sigtree-links")
+    roots = components(_join_tasks(first, percent))
 
     large = stage_table(narrow.join(by_block.where("large"), "block"), "sigtree-large")
     if large.limit(1).count():
-        edges = edges.union(_between_nodes(large, hot, members, prefix, edges, percent))
-    roots = components(edges)
+        roots = _between_nodes(large, hot, members, prefix, roots, percent)
     least = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least_id")).join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     of_root = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = least.join(of_root, "root").select("cid", "component_id")
@@ -320,17 +337,28 @@ def _node_table(placed: DataFrame) -> DataFrame:
 
 
 def _pair_links(pairs: DataFrame, placed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of the pairs (i, j) of nodes."""
+    """Edges between the labels that links between the pairs (i, j) of nodes join."""
     task = F.xxhash64("i", "j").alias("task")
     sides = pairs.select(F.col("i").alias("node"), task, F.when(F.col("i") == F.col("j"), -1).otherwise(0).cast("long").alias("side"))
     sides = sides.union(pairs.where("i <> j").select(F.col("j").alias("node"), task, F.lit(1).cast("long").alias("side")))
     rows = members.select("cid", "shingles").join(placed.join(sides, "node"), "cid")
-    return stage_table(_join_tasks(rows, percent), "sigtree-links")
+    return _join_tasks(rows, percent)
+
+
+def _relabel(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """placed with the least label of those that the edges connect as the label."""
+    roots = components(edges).select(F.col("node").alias("label"), "root")
+    joined = placed.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label"))
+    return stage_table(joined.select(placed.columns), "sigtree-nodes")
 
 
-def _between_nodes(large: DataFrame, hot: DataFrame, members: DataFrame, prefix: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Links between the nodes of large blocks. Sets of a component that fills nodes get nodes of their own."""
-    labelled = large.join(components(edges), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
+def _between_nodes(large: DataFrame, hot: DataFrame, members: DataFrame, prefix: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Components (node, root) with the links between the nodes of large blocks, from those known without them.
+
+    Sets of a component that fills nodes get nodes of their own. Links join labels, that is known components, so that each
+    search for components has only the new edges.
+    """
+    labelled = large.join(known, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
     count = labelled.groupBy("block", "band", "label").agg(F.count("*").alias("in_label"))
     count = count.withColumn("own", F.when(F.col("in_label") >= F.ceil(_room(percent) / 4), F.col("label")))
     rest = count.where("own is null").groupBy("block", "band").agg(F.sum("in_label").alias("in_rest"))
@@ -343,9 +371,7 @@ def _between_nodes(large: DataFrame, hot: DataFrame, members: DataFrame, prefix:
     after = Window.partitionBy("block").orderBy("band", "node")
     ahead = _node_table(placed).withColumns({f"next_{c}": F.lead(c).over(after) for c in ("node", "band", "low", "high")})
     ahead = ahead.where("next_band - band <= 1 and not (low = high and next_low = next_high and low = next_low)").select(F.col("node").alias("i"), F.col("next_node").alias("j"))
-    more = _pair_links(stage_table(ahead, "sigtree-pairs"), placed, members, percent)
-    roots = components(edges.union(more)).withColumnRenamed("node", "cid")
-    placed = stage_table(placed.drop("label").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"), "sigtree-nodes")
+    placed = _relabel(placed, _pair_links(stage_table(ahead, "sigtree-pairs"), placed, members, percent))
 
     nodes = _node_table(placed)
     of_token = prefix.join(placed, "cid").select("token", "node", "label")
@@ -356,4 +382,5 @@ def _between_nodes(large: DataFrame, hot: DataFrame, members: DataFrame, prefix:
     x, y = nodes.select(*[F.col(c).alias(f"{c}_i") for c in nodes.columns]), nodes.select(*[F.col(c).alias(f"{c}_j") for c in nodes.columns])
     pairs = pairs.join(x, F.col("i") == F.col("node_i")).join(y, F.col("j") == F.col("node_j"))
     pairs = stage_table(pairs.where("abs(band_i - band_j) <= 1 and not (low_i = high_i and low_j = high_j and low_i = low_j)").select("i", "j"), "sigtree-pairs")
-    return more.union(_pair_links(pairs, placed, members, percent))
+    found = _relabel(placed, _pair_links(pairs, placed, members, percent)).select(F.col("cid").alias("node"), F.col("label").alias("root"))
+    return found.union(known.join(found, "node", "left_anti").select("node", "root"))
