@@ -1,7 +1,4 @@
-"""Queries of joins, windows, aggregates and validation.
-
-Where the SQL of a query holds only a cut of the rows, the query keeps to it, and one named _whole, without SQL, takes all.
-"""
+"""Queries of joins, windows, aggregates and validation."""
 
 from __future__ import annotations
 
@@ -104,19 +101,13 @@ def segment_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey + l_linenumber AS address, l_partkey // 1000 AS module FROM lineitem),
-    own AS (SELECT p_partkey AS address, p_brand AS name, p_partkey // 1000 AS module FROM part WHERE p_partkey % 7 = 0),
+    own AS (SELECT p_partkey AS address, p_brand AS name, p_partkey // 1000 AS module FROM part),
     low AS (SELECT a.*, o.address AS owner FROM a ASOF LEFT JOIN own o ON a.module = o.module AND a.address > o.address)
     SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.module, l.address, CASE WHEN e.name IS NOT NULL THEN 'EXPLICIT' WHEN l.address - l.owner <= 3 THEN 'DERIVED' WHEN l.address <= 29 THEN 'INFERRED' ELSE 'UNRESOLVED' END AS status,
            CASE WHEN e.name IS NOT NULL THEN l.address::VARCHAR WHEN l.address - l.owner <= 3 THEN concat(l.owner, '+', l.address - l.owner) WHEN l.address <= 29 THEN concat('fixed ', l.address) END AS target
     FROM low l LEFT JOIN own e USING (module, address)""")
 def address_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An address is its owner's, or an output of the nearest lower owner, or a fixed one."""
-    return _resolved(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").where("p_partkey % 7 = 0"))
-
-
-@query()
-def address_resolve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part owns its address."""
+    """An address is its owner's, or an output of the nearest lower owner, or a fixed one. Every part owns its address."""
     return _resolved(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
 
 
@@ -160,15 +151,10 @@ def partner_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH q AS (SELECT p_partkey, p_type, p_size::DOUBLE AS x, p_retailprice AS y FROM part), l AS (SELECT p_partkey AS label, p_type, p_size::DOUBLE AS lx, p_retailprice AS ly FROM part WHERE p_partkey % 10 = 0),
-    m AS (SELECT p_partkey, label, abs(y - ly) + 0.1 * abs(x - lx) AS score FROM q JOIN l USING (p_type) WHERE abs(x - lx) <= 5 AND abs(y - ly) <= 40)
+    WITH q AS (SELECT p_partkey, p_type, p_size::DOUBLE AS x, p_retailprice AS y FROM part), l AS (SELECT p_partkey AS label, p_type, p_size::DOUBLE AS lx, p_retailprice AS ly FROM part),
+    m AS (SELECT p_partkey, label, abs(y - ly) + 0.1 * abs(x - lx) AS score FROM q JOIN l USING (p_type) WHERE p_partkey <> label AND abs(x - lx) <= 5 AND abs(y - ly) <= 40)
     SELECT p_partkey, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 6), label) AS r FROM m) WHERE r = 1""")
 def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(table(spark, sf_dir, "part"), table(spark, sf_dir, "part").where("p_partkey % 10 = 0"))
-
-
-@query()
-def nearest_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part is a label, but not its own."""
     return _nearest(table(spark, sf_dir, "part"), table(spark, sf_dir, "part"), "p_partkey <> label")
 
@@ -371,15 +357,9 @@ def spec_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH p AS (SELECT p_partkey, p_brand, p_name || ' ' || p_type AS text FROM part WHERE p_partkey % 3 = 0), f AS (SELECT DISTINCT p_brand, lower(p_type) || ' ' || p_name AS other FROM part WHERE p_partkey % 3 = 1 UNION SELECT DISTINCT p_brand, p_name FROM part WHERE p_partkey % 3 = 1)
+    WITH p AS (SELECT p_partkey, p_brand, p_name || ' ' || p_type AS text FROM part WHERE p_size <= 25), f AS (SELECT DISTINCT p_brand, lower(p_type) || ' ' || p_name AS other FROM part WHERE p_size > 25 OR p_size IS NULL UNION SELECT DISTINCT p_brand, p_name FROM part WHERE p_size > 25 OR p_size IS NULL)
     SELECT p_partkey, text, EXISTS (SELECT 1 FROM f WHERE f.p_brand = p.p_brand AND length(other) >= 3 AND (contains(other, text) OR contains(text, other))) AS recovered FROM p""")
 def fuzzy_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return _recovered(part.where("p_partkey % 3 = 0"), part.where("p_partkey % 3 = 1"))
-
-
-@query()
-def fuzzy_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts up to size 25 are looked for among the larger ones: each part is on one of the two sides."""
     part = table(spark, sf_dir, "part")
     return _recovered(part.where("p_size <= 25"), part.where("p_size > 25 or p_size is null"))
@@ -426,15 +406,10 @@ def payload_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT o_custkey, (o_orderkey % 7 * 10 + 100)::DOUBLE AS y FROM orders WHERE o_orderkey % 5 = 0), c AS (SELECT DISTINCT o_custkey, y + i * 20 AS anchor FROM w, generate_series(0, 3) g(i)),
+    WITH w AS (SELECT o_custkey, (o_orderkey % 7 * 10 + 100)::DOUBLE AS y FROM orders), c AS (SELECT DISTINCT o_custkey, y + i * 20 AS anchor FROM w, generate_series(0, 3) g(i)),
     t AS (SELECT o_custkey, anchor, bool_and(abs(anchor - round((anchor - y) / 20) * 20 - y) < 0.01 AND round((anchor - y) / 20) BETWEEN 0 AND 3) AS ok FROM c JOIN w USING (o_custkey) GROUP BY ALL)
     SELECT o_custkey, min(anchor) AS anchor FROM t WHERE ok AND anchor - 60 >= 60 - 2 AND anchor <= 160 + 2 GROUP BY o_custkey HAVING count(*) = 1""")
 def unique_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchors(table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"))
-
-
-@query()
-def unique_anchor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchors(table(spark, sf_dir, "orders"))
 
 

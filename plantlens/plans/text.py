@@ -145,16 +145,10 @@ def _common_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 @query("""
-    WITH a AS (SELECT unnest(string_split(lower(text), ' ')) AS token FROM documents WHERE lang = 'en'), b AS (SELECT unnest(string_split(lower(text), ' ')) AS token FROM benchmark),
+    WITH a AS (SELECT unnest(string_split(lower(text), ' ')) AS token FROM documents), b AS (SELECT unnest(string_split(lower(text), ' ')) AS token FROM benchmark),
     x AS (SELECT token, count(*) AS n FROM a GROUP BY token), y AS (SELECT token, count(*) AS n FROM b GROUP BY token)
     SELECT token, least(x.n, y.n) AS n FROM x JOIN y USING (token)""")
 def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _common_tokens(table(spark, sf_dir, "documents").where("lang = 'en'"), table(spark, sf_dir, "benchmark"))
-
-
-@query()
-def text_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of all languages; text_diff keeps the one that its SQL takes."""
     return _common_tokens(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -166,15 +160,9 @@ def _profile(texts: DataFrame) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT unnest(generate_series(1, least(length(text), 64))) AS place, text FROM documents), k AS (SELECT place, substr(text, place, 1) AS ch FROM c)
+    WITH c AS (SELECT regexp_extract_all(text, '(?s).') AS cs FROM documents), k AS (SELECT unnest(cs) AS ch, unnest(generate_series(1, len(cs))) AS place FROM c)
     SELECT place, CASE WHEN regexp_matches(ch, '[A-Za-z]') THEN 'letter' WHEN regexp_matches(ch, '[0-9]') THEN 'digit' WHEN ch IN (' ', chr(9), chr(10)) THEN 'space' ELSE 'other' END AS class, count(*) AS n FROM k GROUP BY ALL""")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profile(table(spark, sf_dir, "documents").select(F.substring("text", 1, 64).alias("text")))
-
-
-@query()
-def column_profile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile over whole texts; column_profile keeps the first 64 characters that its SQL takes."""
     return _profile(table(spark, sf_dir, "documents"))
 
 

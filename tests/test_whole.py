@@ -1,4 +1,4 @@
-"""Queries over all rows, against brute force on small tables with rows that the cuts of the SQL would drop."""
+"""Queries over all rows, against brute force on small tables."""
 
 import random
 from collections import Counter
@@ -49,9 +49,9 @@ def test_supply_graph(spark, data):
     edges = {(p, -1 - s) for p, s in zip(lines.l_partkey, lines.l_suppkey)}
     both = edges | {(b, a) for a, b in edges}
     nodes = {a for a, _ in both}
-    got = run(spark, "components_whole", data)
+    got = run(spark, "components", data)
     assert len(got) == len(nodes) and {r.node: r.component for r in got} == {n: min(reached(both, [n])) for n in nodes}
-    got = run(spark, "bfs_hops_whole", data)
+    got = run(spark, "bfs_hops", data)
     want = reached(both, [b for _, b in edges if b > -4])
     assert len(got) == len(want) and {r.node: r.hops for r in got} == want
 
@@ -59,7 +59,7 @@ def test_supply_graph(spark, data):
 def test_orphans_dups(spark, data):
     nodes, parents = set(data[1]["customer"].c_custkey), data[1]["orders"].groupby("o_custkey").size()
     want = {("ORPHAN", n) for n in nodes - set(parents.index)} | {("SHARED", n) for n in parents.index if parents[n] > 1}
-    assert {(r.issue, r.node) for r in run(spark, "orphans_dups_whole", data)} == want
+    assert {(r.issue, r.node) for r in run(spark, "orphans_dups", data)} == want
 
 
 def test_cycle_nodes(spark, data):
@@ -68,7 +68,7 @@ def test_cycle_nodes(spark, data):
     after = {n: set(reached(edges, [b for a, b in edges if a == n])) for n in nodes}
     on = {n for n in nodes if n in after[n]}
     want = on | {n for c in on for n in after[c] if after[n] & on}
-    assert want and {r.node for r in run(spark, "cycle_nodes_whole", data)} == want
+    assert want and {r.node for r in run(spark, "cycle_nodes", data)} == want
 
 
 def test_iterations_end_where_nothing_changes(spark):
@@ -99,13 +99,13 @@ def test_flatten_has_no_depth_limit(spark):
 def test_column_profile(spark, data):
     kind = lambda c: "letter" if c.isascii() and c.isalpha() else "digit" if c in "0123456789" else "space" if c in " \t\n" else "other"
     want = Counter((i, kind(c)) for t in data[1]["documents"].text if t for i, c in enumerate(t, 1))
-    assert {(r.place, r["class"]): r.n for r in run(spark, "column_profile_whole", data)} == want
+    assert {(r.place, r["class"]): r.n for r in run(spark, "column_profile", data)} == want
 
 
 def test_text_diff(spark, data):
     bag = lambda name: Counter(w for t in data[1][name].text if t is not None for w in t.lower().split(" "))
     want = bag("documents") & bag("benchmark")
-    assert "1ab" in want and {r.token: r.n for r in run(spark, "text_diff_whole", data)} == want
+    assert "1ab" in want and {r.token: r.n for r in run(spark, "text_diff", data)} == want
 
 
 def test_address_resolve(spark, data):
@@ -118,7 +118,7 @@ def test_address_resolve(spark, data):
         return ("DERIVED", f"{low}+{address - low}") if address - low <= 3 else ("INFERRED", f"fixed {address}") if address <= 29 else ("UNRESOLVED", None)
 
     want = {o: status(p + n) for o, p, n in zip(lines.l_orderkey, lines.l_partkey, lines.l_linenumber)}
-    got = run(spark, "address_resolve_whole", data)
+    got = run(spark, "address_resolve", data)
     assert len(got) == len(lines) and {r.l_orderkey: (r.status, r.target) for r in got} == want
 
 
@@ -128,7 +128,7 @@ def test_nearest_label(spark, data):
         near = [(round(abs(p.p_retailprice - q.p_retailprice) + 0.1 * abs(p.p_size - q.p_size), 6), q.p_partkey) for q in parts if q.p_partkey != p.p_partkey and q.p_type == p.p_type and abs(p.p_size - q.p_size) <= 5 and abs(p.p_retailprice - q.p_retailprice) <= 40]
         if near:
             want[p.p_partkey] = min(near)
-    assert want and {r.p_partkey: (r.score, r.label) for r in run(spark, "nearest_label_whole", data)} == want
+    assert want and {r.p_partkey: (r.score, r.label) for r in run(spark, "nearest_label", data)} == want
 
 
 def test_fuzzy_recovery(spark, data):
@@ -137,7 +137,7 @@ def test_fuzzy_recovery(spark, data):
     text = {p.p_partkey: f"{p.p_name} {p.p_type}" for p in parts if p.p_size <= 25}
     brand = {p.p_partkey: p.p_brand for p in parts}
     want = {k: (t, any(b == brand[k] and (t in o or o in t) for b, o in others)) for k, t in text.items()}
-    assert {r.p_partkey: (r.text, r.recovered) for r in run(spark, "fuzzy_recovery_whole", data)} == want
+    assert {r.p_partkey: (r.text, r.recovered) for r in run(spark, "fuzzy_recovery", data)} == want
 
 
 def test_unique_anchor(spark, data):
@@ -148,4 +148,4 @@ def test_unique_anchor(spark, data):
         fit = [a for a in {y + 20 * i for y in ys for i in range(4)} if all((a - y) % 20 == 0 and 0 <= a - y <= 60 for y in ys) and a - 60 >= 58 and a <= 162]
         if len(fit) == 1:
             want[c] = float(fit[0])
-    assert want and {r.o_custkey: r.anchor for r in run(spark, "unique_anchor_whole", data)} == want
+    assert want and {r.o_custkey: r.anchor for r in run(spark, "unique_anchor", data)} == want
