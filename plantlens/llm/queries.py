@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import hamming, hmm, jpeg, licenses, mixing, packing, pii, sigtree, token_counts, toxicity
+from plantlens.llm import hamming, hard_negatives, hmm, jpeg, licenses, mixing, packing, pii, sigtree, token_counts, toxicity
 from plantlens.llm.common import word_count
 
 
@@ -62,6 +62,13 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.decode_media(jpeg.encode_media(_table(spark, sf_dir, "documents"))).drop("thumbnail")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, id_ = _table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(id_ % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.where(hard_negatives.usable(F.col("embedding"))).select(id_.alias("id"), label.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_license_scan": op2_license_scan,
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op9_multi_index_hashing": op9_multi_index_hashing,
     "op10_jpeg": op10_jpeg,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +88,13 @@ ORACLE_SQL: dict[str, str] = {
         WITH c AS (SELECT vec_id AS id, list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1::UBIGINT ELSE 0::UBIGINT END), lambda a, b: a * 2 + b) AS code FROM embeddings),
         d AS (SELECT q.id AS query, c.id, bit_count(xor(q.code, c.code))::INTEGER AS distance FROM c AS q, c WHERE q.id % 50 = 0 AND q.id <> c.id)
         SELECT query, rank, id, distance FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY distance, id))::INTEGER AS rank FROM d) WHERE rank <= 10""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v AS a, v AS b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                (row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id))::INTEGER AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
