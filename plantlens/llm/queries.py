@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import conversations, hamming, hard_negatives, hmm, jpeg, licenses, mixing, packing, pii, sigtree, token_counts, toxicity
+from plantlens.llm import conversations, hamming, hard_negatives, hmm, jpeg, langid, licenses, mixing, packing, pii, sigtree, token_counts, toxicity
 from plantlens.llm.common import word_count
 
 
@@ -69,6 +69,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("id") % 100 == 0)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     named = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_multi_index_hashing": op9_multi_index_hashing,
     "op10_jpeg": op10_jpeg,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_id": op12_language_id,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
