@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rounds whose results stay apart before they are written together.
@@ -13,9 +13,11 @@ PARTS = 16
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; sets a folder of its own only where none is set."""
+    """Uses spark.checkpoint.dir; a folder of its own only in local mode, where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plantlens-"))
 
 
@@ -83,23 +85,103 @@ def longest_path_layers(edges: DataFrame, cap: int | None = None) -> DataFrame:
     return ready if done is None else done
 
 
-def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(node) on a cycle or between cycles: what stays when nodes without an edge in or without one out are taken away.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node that lies on a cycle; component is the least node of its strong component.
 
-    If max_rounds is given and edges still go in the last one, that is an error.
+    Forward-backward colouring, both ways at once: every node takes the least node that leads to it and the least node that it
+    leads to. Where these are one node, it is that node's component. Edges between nodes whose two colours differ can be on no
+    cycle and go. The number of passes follows how deep components are nested behind one another, that of rounds in a pass
+    the length of paths.
     """
     ensure_checkpoints(edges.sparkSession)
-    now = edges.select("a", "b").distinct().checkpoint()
-    n = now.count()
-    for _ in count() if max_rounds is None else range(max_rounds):
-        now = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b").checkpoint()
-        left = now.count()
-        if left == n:
+    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    left, found = _trimmed(edges.where("a <> b").select("a", "b").distinct().checkpoint()), None
+    while not left.isEmpty():
+        colours = _least_both_ways(left)
+        alone = Window.partitionBy("first")
+        held = colours.where("first = last").withColumn("many", F.count("*").over(alone)).where("many > 1").select("node", F.col("first").alias("component")).checkpoint()
+        found = held if found is None else found.union(held)
+        open_ = colours.where("first <> last")
+        of = lambda end: open_.select(F.col("node").alias(end), "first", "last")
+        left = _trimmed(left.join(of("a"), "a").join(of("b"), ["b", "first", "last"]).select("a", "b").checkpoint())
+    return loops if found is None else found.union(loops.join(found, "node", "left_anti"))
+
+
+def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Without some of the edges that lead from a source or to a sink: most graphs lose nearly all of what is on no cycle."""
+    for _ in range(rounds):
+        edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        edges = edges.checkpoint()
+    return edges
+
+
+def _least_both_ways(edges: DataFrame, hops: int = 4) -> DataFrame:
+    """(node, first, last): the least node that leads to each node, and the least one that it leads to, itself included."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    step = lambda df, a, b, down, up: df.select(F.col(a).alias("at"), F.col(b).alias("to"), F.lit(down).alias("down"), F.lit(up).alias("up"))
+    steps = step(edges, "a", "b", True, False).union(step(edges, "b", "a", False, True)).union(step(nodes, "node", "node", True, True)).checkpoint()
+    state, seen = nodes.select("node", F.col("node").alias("first"), F.col("node").alias("last")).checkpoint(), None
+    while True:
+        total = state.agg(F.sum(F.xxhash64("node", "first", "last").cast("decimal(38,0)"))).first()
+        if total == seen:
+            return state
+        seen = total
+        for _ in range(hops):
+            moved = steps.join(state, F.col("at") == F.col("node")).groupBy(F.col("to").alias("node"))
+            state = moved.agg(F.min(F.when(F.col("down"), F.col("first"))).alias("first"), F.min(F.when(F.col("up"), F.col("last"))).alias("last"))
+        state = state.checkpoint()
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(node) of the nodes that lie on a cycle themselves; nodes between two cycles don't."""
+    return strong_components(edges).select("node")
+
+
+def feedback_edges(edges: DataFrame) -> DataFrame:
+    """(a, b) of the edges that go against the order of their strong component; without them no cycle is left.
+
+    The order is by steps from where the component is entered (from its least node, if it isn't), then by node.
+    """
+    edges = edges.select("a", "b").distinct()
+    held = strong_components(edges).checkpoint()
+    of = lambda end: held.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    placed = edges.join(of("b"), "b").join(of("a"), "a", "left").checkpoint()
+    inner = placed.where("a_component = b_component").select("a", "b").checkpoint()
+    entered = placed.where("a_component is null or a_component <> b_component").select(F.col("b").alias("node"), F.col("b_component").alias("component")).distinct()
+    closed = held.select("component").distinct().join(entered, "component", "left_anti").select(F.col("component").alias("node"))
+    depth = _spread(inner, entered.select("node").union(closed), "depth", None)
+    at = lambda end: depth.select(F.col("node").alias(end), F.struct("depth", "node").alias(f"{end}_at"))
+    return inner.join(at("a"), "a").join(at("b"), "b").where("b_at <= a_at").select("a", "b")
+
+
+def layers_with_feedback(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, layer), the most edges of a path that ends in the node, over all but the feedback edges; and those."""
+    against = feedback_edges(edges).checkpoint()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    layers = longest_path_layers(edges.select("a", "b").distinct().join(against, ["a", "b"], "left_anti"))
+    return nodes.join(layers, "node", "left").select("node", F.coalesce("layer", F.lit(0)).alias("layer")), against
+
+
+def depths(parents: DataFrame) -> DataFrame:
+    """parents (node, parent), one row for each node, to (node, depth, root): steps to the node without a parent above it.
+
+    Pointer doubling: a round lets every node look twice as far up, so that there are as many rounds as the depth has binary
+    digits. A parent that is no node itself counts as none. Nodes on a cycle, or below one, have no depth and no root.
+    """
+    ensure_checkpoints(parents.sparkSession)
+    nodes = parents.select("node", F.col("parent").alias("up"))
+    known = nodes.select(F.col("node").alias("up"), F.lit(True).alias("known"))
+    state = nodes.join(known, "up", "left").select("node", F.when(F.col("known"), F.col("up")).alias("up")).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")).withColumn("root", F.coalesce("up", "node")).checkpoint()
+    limit = state.count().bit_length()
+    for _ in range(limit):
+        open_ = state.where("up is not null")
+        if open_.isEmpty():
             break
-        n = left
-    else:
-        raise RuntimeError(f"cycles not settled after {max_rounds} rounds")
-    return now.select(F.col("a").alias("node")).union(now.select("b")).distinct()
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("root").alias("top"))
+        moved = open_.join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("root"))
+        state = state.where("up is null").union(moved).checkpoint()
+    endless = F.col("up").isNotNull()
+    return state.select("node", F.when(~endless, F.col("depth")).alias("depth"), F.when(~endless, F.col("root")).alias("root"))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:

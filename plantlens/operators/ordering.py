@@ -62,6 +62,28 @@ def allocation_jumps(df: DataFrame, value: str, keys: Columns, order: Columns) -
     return df.withColumn("expected", before + 1).where(F.col(value) > F.col("expected"))
 
 
+def pair_neighbours(rows: DataFrame, keys: list[str], at: str, likeness: str, least: float, chunk: int = 4096) -> DataFrame:
+    """Adds `pair`: where a row begins a pair with the next one, greedily in the order of `at`; else null.
+
+    likeness is that of a row with the next one, `at` counts 0, 1, 2, ... within a key. A row is a candidate if its likeness
+    is above `least` and above the next row's, and begins a pair if it is a candidate and isn't the second of one itself. After
+    a row that is none the choice starts anew, so a row's state is its distance from the last such row, counted from both
+    sides of the borders of chunks: first within chunks, then over chunks. So a long key is many tasks.
+    """
+    part = Window.partitionBy(*keys, "__chunk").orderBy(at)
+    chunked = rows.withColumn("__chunk", F.floor(F.col(at) / chunk))
+    heads = chunked.groupBy(*keys, "__chunk").agg(F.min_by(likeness, at).alias("__first"))
+    heads = heads.select(*keys, (F.col("__chunk") - 1).alias("__chunk"), "__first")
+    after = F.coalesce(F.lead(likeness).over(part), F.col("__first"), F.lit(-1.0))
+    marked = chunked.join(heads, [*keys, "__chunk"], "left").withColumn("__next", after)
+    marked = marked.withColumn("__can", F.coalesce((F.col(likeness) > least) & (F.col(likeness) > F.col("__next")), F.lit(False)))
+    last = marked.groupBy(*keys, "__chunk").agg(F.max(F.when(~F.col("__can"), F.col(at))).alias("__last"))
+    before = F.max("__last").over(Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+    carried = marked.join(last.withColumn("__before", before).drop("__last"), [*keys, "__chunk"])
+    free = F.coalesce(F.max(F.when(~F.col("__can"), F.col(at))).over(part), F.col("__before"), F.lit(-1))
+    return carried.withColumn("pair", F.when(F.col("__can") & ((F.col(at) - free) % 2 == 1), F.col(at) + 1)).drop("__chunk", "__first", "__next", "__can", "__before")
+
+
 def zip_ordinals(left: DataFrame, right: DataFrame, keys: list[str], left_order: Columns, right_order: Columns) -> DataFrame:
     """Joins the n-th row of each side within a key, only for keys that have as many rows on both sides."""
 

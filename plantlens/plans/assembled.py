@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantlens.plans import terminals
+from plantlens.operators import ordering
+from plantlens.plans import scene, terminals
 from plantlens.registry import Registry, table
 
 REGISTRY = Registry()
@@ -121,3 +122,80 @@ def slot_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = terminals.wired_claims(t["links"], t["specs"], t["offsets"], t["blocks"], t["labels"])
     plans = terminals.slot_plans(t["blocks"], terminals.sided_pins(t["pins"], t["blocks"]), t["labels"], terminals.proven_places(claims, t["blocks"]))
     return plans.drop("lowest", "highest")
+
+
+#: Suppliers are sheets; their lines' parts are the blocks on them. Every relation comes from all rows of its table.
+_SCENE = """
+    l AS (SELECT concat('S', l_suppkey) AS file, l_partkey AS block, * FROM lineitem),
+    blocks AS (SELECT file, block, min(p_brand) AS name, min(p_size) AS fc FROM l JOIN part ON p_partkey = l_partkey GROUP BY file, block),
+    records AS (SELECT DISTINCT file, block, 1000 + block % 50 AS fc FROM l WHERE l_returnflag = 'R'),
+    terminals AS (SELECT file, block, CASE WHEN l_linenumber % 2 = 1 THEN 'input' ELSE 'output' END AS side, CASE WHEN l_linenumber % 2 = 1 THEN concat('S', l_linenumber) ELSE concat('N+', l_linenumber) END AS label,
+        CASE WHEN l_quantity < 5 THEN 'UNRESOLVED' WHEN l_quantity < 7 THEN 'CONFLICT' ELSE 'EXPLICIT' END AS association, l_returnflag AS reason FROM l),
+    specs AS (SELECT file, block, concat('S', round(l_quantity)::INTEGER % 8) AS label, l_orderkey AS value, CASE WHEN l_linestatus = 'O' THEN 'EXTRACTED' ELSE 'UNRESOLVED_LAYOUT' END AS status, CASE WHEN l_quantity > 48 THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS target_status FROM l),
+    outputs AS (SELECT DISTINCT file, block, l_linenumber AS off, concat('N+', l_linenumber) AS label FROM l WHERE l_quantity > 30),
+    wires AS (SELECT concat('S', ps) AS file, id FROM (SELECT o_custkey % 100 + 1 AS ps, concat('w', o_orderkey) AS id FROM orders)),
+    connections AS (SELECT concat('S', o_custkey % 100 + 1) AS file, concat('c', o_orderkey) AS id, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS from_block, o_orderkey AS to_block, o_orderstatus AS status FROM orders),
+    refs AS (SELECT concat('S', s_suppkey) AS file, concat('r', s_suppkey) AS id, s_name AS target, CASE s_nationkey % 3 WHEN 0 THEN 'UNRESOLVED' WHEN 1 THEN 'RESOLVED_INTERNAL' ELSE 'AMBIGUOUS' END AS status FROM supplier),
+    channels AS (SELECT concat('S', c_custkey % 100 + 1) AS file, concat('t', c_custkey) AS id FROM customer),
+    unknown AS (SELECT concat('S', n_nationkey + 1) AS file, concat('u', n_nationkey) AS id, n_name AS kind FROM nation),"""
+
+
+def sheet_relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    line, part, orders, supplier, customer, nation = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders", "supplier", "customer", "nation"))
+    c = F.col
+    join = lambda head, v: F.concat(F.lit(head), v.cast("string"))
+    lines = line.withColumns({"file": join("S", c("l_suppkey")), "block": c("l_partkey")})
+    odd = c("l_linenumber") % 2 == 1
+    sheet = join("S", c("o_custkey") % 100 + 1)
+    return {
+        "blocks": lines.join(part, c("p_partkey") == c("l_partkey")).groupBy("file", "block").agg(F.min("p_brand").alias("name"), F.min("p_size").cast("long").alias("fc"), F.lit(0).alias("x"), F.lit(0).alias("y")),
+        "records": lines.where("l_returnflag = 'R'").select("file", "block", (1000 + c("block") % 50).cast("long").alias("fc")).distinct(),
+        "terminals": lines.select(
+            "file", "block", F.when(odd, "input").otherwise("output").alias("side"), F.when(odd, join("S", c("l_linenumber"))).otherwise(join("N+", c("l_linenumber"))).alias("label"), F.lit(None).cast("string").alias("pin"),
+            F.when(c("l_quantity") < 5, "UNRESOLVED").when(c("l_quantity") < 7, "CONFLICT").otherwise("EXPLICIT").alias("association"), c("l_returnflag").alias("reason"), F.lit(0).alias("x"), F.lit(0).alias("y"),
+        ),
+        "specs": lines.select(
+            "file", "block", c("l_linenumber").alias("number"), join("S", F.round("l_quantity").cast("int") % 8).alias("label"), c("l_orderkey").alias("value"),
+            F.when(c("l_linestatus") == "O", "EXTRACTED").otherwise("UNRESOLVED_LAYOUT").alias("status"), F.when(c("l_quantity") > 48, "UNRESOLVED").otherwise("RESOLVED").alias("target_status"),
+        ),
+        "outputs": lines.where("l_quantity > 30").select("file", "block", c("l_linenumber").alias("offset"), join("N+", c("l_linenumber")).alias("label")).distinct(),
+        "wires": orders.select(sheet.alias("file"), join("w", c("o_orderkey")).alias("id")),
+        "connections": orders.select(sheet.alias("file"), join("c", c("o_orderkey")).alias("id"), join("w", c("o_orderkey")).alias("wire"), F.when(c("o_orderstatus") != "P", c("o_custkey")).alias("from_block"), c("o_orderkey").alias("to_block"), c("o_orderstatus").alias("status")),
+        "references": supplier.select(join("S", c("s_suppkey")).alias("file"), join("r", c("s_suppkey")).alias("id"), c("s_name").alias("target"), F.when(c("s_nationkey") % 3 == 0, "UNRESOLVED").when(c("s_nationkey") % 3 == 1, "RESOLVED_INTERNAL").otherwise("AMBIGUOUS").alias("status")),
+        "channels": customer.select(join("S", c("c_custkey") % 100 + 1).alias("file"), join("t", c("c_custkey")).alias("id"), c("c_name").alias("text")),
+        "unknown": nation.select(join("S", c("n_nationkey") + 1).alias("file"), join("u", c("n_nationkey")).alias("id"), c("n_name").alias("kind")),
+    }
+
+
+def _scene_count(name: str, alias: str) -> str:
+    return f"LEFT JOIN (SELECT file, count(*) AS n FROM {name} GROUP BY file) AS {alias} ON {alias}.file = f.file"
+
+
+@query(f"""
+    WITH {_SCENE}
+    issues AS (SELECT file, 'terminal' AS kind, concat(file, ':', block, '.', label) AS id, association AS status, reason FROM terminals WHERE association <> 'EXPLICIT'
+        UNION ALL SELECT file, 'specification_value', concat(file, ':', block, '.', label), status, '' FROM specs WHERE status <> 'EXTRACTED' UNION ALL SELECT file, 'block_address_target', concat(file, ':', block, '.', label), target_status, value::VARCHAR FROM specs WHERE target_status = 'UNRESOLVED'
+        UNION ALL SELECT file, 'unknown_record', concat(file, ':', id), 'RAW_ONLY', kind FROM unknown UNION ALL SELECT file, 'reference', concat(file, ':', id), status, target FROM refs WHERE status IN ('UNRESOLVED', 'AMBIGUOUS')
+        UNION ALL SELECT file, 'connection', concat(file, ':', id), status, '' FROM connections WHERE from_block IS NULL),
+    i AS (SELECT file, count(*)::INTEGER AS n, sha256(string_agg(concat_ws('|', kind, id, status, reason), chr(10) ORDER BY kind, id, status, reason)) AS h FROM issues GROUP BY file),
+    s AS (SELECT file, count(*)::INTEGER AS n FROM specs WHERE (file, block, label) IN (SELECT (file, block, label) FROM terminals WHERE side = 'input') GROUP BY file),
+    o AS (SELECT file, count(*)::INTEGER AS n FROM outputs WHERE (file, block, label) IN (SELECT (file, block, label) FROM terminals WHERE side = 'output') GROUP BY file),
+    f AS (SELECT file FROM l UNION SELECT file FROM wires UNION SELECT file FROM refs UNION SELECT file FROM channels UNION SELECT file FROM unknown)
+    SELECT f.file, 0 AS part, coalesce(k1.n, 0) AS blocks, coalesce(k2.n, 0) AS records, coalesce(k3.n, 0) AS terminals, coalesce(k4.n, 0) AS specs, coalesce(k5.n, 0) AS outputs, coalesce(k6.n, 0) AS wires, coalesce(k7.n, 0) AS connections,
+        coalesce(k8.n, 0) AS "references", coalesce(k9.n, 0) AS channels, coalesce(k10.n, 0) AS unknown, coalesce(k2.n, 0)::INTEGER AS function_blocks, coalesce(s.n, 0) AS specs_at_terminals, coalesce(o.n, 0) AS sub_blocks_at_terminals, coalesce(i.n, 0) AS n_unresolved,
+        coalesce(i.h, sha256('')) AS unresolved_sha256
+    FROM f {" ".join(_scene_count(n, f"k{k}") for k, n in enumerate(("blocks", "records", "terminals", "specs", "outputs", "wires", "connections", "refs", "channels", "unknown"), 1))}
+    LEFT JOIN i ON i.file = f.file LEFT JOIN s ON s.file = f.file LEFT JOIN o ON o.file = f.file""")
+def scene_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene.scene_digest(scene.assemble(sheet_relations(spark, sf_dir), part_rows=1 << 30))
+
+
+@query("""
+    WITH p AS (SELECT l_suppkey AS book, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1)::BIGINT AS page, (l_quantity / 50)::DOUBLE AS likeness FROM lineitem),
+    c AS (SELECT *, likeness > 0.2 AND likeness > coalesce(lead(likeness) OVER w, -1) AS can FROM p WINDOW w AS (PARTITION BY book ORDER BY page)),
+    r AS (SELECT *, coalesce(max(CASE WHEN NOT can THEN page END) OVER (PARTITION BY book ORDER BY page), -1) AS free FROM c)
+    SELECT book, page, likeness, CASE WHEN can AND (page - free) % 2 = 1 THEN page + 1 END AS pair FROM r""")
+def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("book"), (F.row_number().over(order) - 1).cast("long").alias("page"), (F.col("l_quantity") / 50).cast("double").alias("likeness"))
+    return ordering.pair_neighbours(pages, ["book"], "page", "likeness", 0.2, chunk=64)

@@ -58,7 +58,7 @@ def layering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH RECURSIVE {_ORG}, r AS (SELECT 'r2' AS node, 0 AS depth UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON r.node = e.a WHERE r.depth < 8)
+    WITH RECURSIVE {_ORG}, r AS (SELECT 'r2' AS node, 0 AS depth UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON r.node = e.a)
     SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node""")
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(org_edges(spark, sf_dir), spark.createDataFrame([("r2",)], "node string"))
@@ -75,9 +75,46 @@ def orphans_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.integrity(nodes, table(spark, sf_dir, "orders").select((-1 - F.col("o_orderkey")).alias("a"), F.col("o_custkey").alias("b")))
 
 
-@query("""
-    WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS a, o_orderkey AS b FROM orders), e AS (SELECT a, b FROM o WHERE a IN (SELECT b FROM o) AND b IN (SELECT a FROM o)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS node FROM r WHERE a = b)
-    SELECT DISTINCT node FROM (SELECT node FROM c UNION SELECT x.b FROM r x JOIN c ON x.a = c.node WHERE EXISTS (SELECT 1 FROM r y JOIN c d ON y.b = d.node WHERE y.a = x.b))""")
-def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+_CYCLES = """
+    WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS a, o_orderkey AS b FROM orders), e AS (SELECT a, b FROM o WHERE a IN (SELECT b FROM o) AND b IN (SELECT a FROM o)),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), scc AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),"""
+_FEEDBACK = f"""{_CYCLES}
+    p AS (SELECT o.a, o.b, s.component AS ca, t.component AS cb FROM o JOIN scc t ON t.node = o.b LEFT JOIN scc s ON s.node = o.a), entry AS (SELECT DISTINCT b AS node, cb AS component FROM p WHERE ca IS DISTINCT FROM cb),
+    d(node, depth) USING KEY (node) AS (SELECT node, 0 FROM entry UNION ALL SELECT DISTINCT component, 0 FROM scc WHERE component NOT IN (SELECT component FROM entry)
+        UNION SELECT p.b, min(d.depth) + 1 FROM d JOIN p ON d.node = p.a AND p.ca = p.cb WHERE NOT EXISTS (SELECT 1 FROM recurring.d AS x WHERE x.node = p.b) GROUP BY p.b),
+    f AS (SELECT p.a, p.b FROM p JOIN d x ON x.node = p.a JOIN d y ON y.node = p.b WHERE p.ca = p.cb AND (y.depth, y.node) <= (x.depth, x.node))"""
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge from customer to order for each order; the node ids are the keys themselves."""
-    return graph.cycle_nodes(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
+
+
+@query(f"{_CYCLES} q AS (SELECT 1) SELECT node FROM scc")
+def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycle_nodes(order_edges(spark, sf_dir))
+
+
+@query(f"{_CYCLES} q AS (SELECT 1) SELECT node, component FROM scc")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strong_components(order_edges(spark, sf_dir))
+
+
+@query(f"{_FEEDBACK} SELECT a, b FROM f")
+def feedback_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.feedback_edges(order_edges(spark, sf_dir))
+
+
+@query(f"""{_FEEDBACK}, g AS (SELECT a, b FROM o WHERE (a, b) NOT IN (SELECT (a, b) FROM f)), l AS (SELECT a AS node, 0 AS layer FROM o UNION SELECT b, 0 FROM o UNION SELECT g.b, l.layer + 1 FROM l JOIN g ON l.node = g.a)
+    SELECT node, max(layer)::INTEGER AS layer FROM l GROUP BY node""")
+def layers_of_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.layers_with_feedback(order_edges(spark, sf_dir))[0]
+
+
+@query("""
+    WITH RECURSIVE p AS (SELECT o_orderkey AS node, max(o_custkey) AS parent FROM orders WHERE o_custkey <> o_orderkey GROUP BY 1), d AS (SELECT node, node AS root, 0 AS depth FROM p WHERE parent NOT IN (SELECT node FROM p)
+        UNION ALL SELECT p.node, d.root, d.depth + 1 FROM d JOIN p ON p.parent = d.node)
+    SELECT p.node, d.depth::BIGINT AS depth, d.root FROM p LEFT JOIN d ON p.node = d.node""")
+def group_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are groups, whose parent is the order of their customer's number."""
+    return graph.depths(order_edges(spark, sf_dir).where("a <> b").groupBy(F.col("b").alias("node")).agg(F.max("a").alias("parent")))
