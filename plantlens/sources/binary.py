@@ -43,9 +43,14 @@ def decode_each(files: DataFrame, decode: Callable[[str, bytes], list[tuple]], s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []  # of many small files together
             for path, content in zip(batch["path"], batch["content"]):
-                if rows := decode(path, bytes(content)):
+                rows += decode(path, bytes(content))
+                if len(rows) >= 10_000:
                     yield pd.DataFrame(rows, columns=names).astype(object)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype(object)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
