@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: A word begins with this mark in the vocabulary.
 MARK = "▁"
 #: Columns of languages that go through the passes together, and characters of words.
-TOGETHER, AT_ONCE = 8, 1 << 20
+TOGETHER, AT_ONCE = 8, 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,17 +77,21 @@ class Pieces:
         order = np.argsort(hashes)
         buckets = (hashes[order] >> np.uint64(64 - self.BUCKET_BITS)).astype(np.int64)
         self.begins = np.searchsorted(buckets, np.arange(1 << self.BUCKET_BITS)).astype(np.int32)
-        self.fullest = int(np.bincount(buckets).max())
-        pad = np.zeros(self.fullest, np.uint64)  # so that a look beyond the last bucket stays inside
-        self.hashes, self.numbers = np.concatenate([hashes[order], pad]), np.concatenate([np.array(list(plain), np.int32)[order], np.full(self.fullest, -1, np.int32)])
+        self.held = np.bincount(buckets, minlength=1 << self.BUCKET_BITS).astype(np.int8)
+        self.fullest = int(self.held.max())
+        self.hashes = np.append(hashes[order], np.uint64(0))  # so that an empty last bucket has a place to look at
+        self.numbers = np.append(np.array(list(plain), np.int32)[order], np.int32(-1))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of the piece with each hash, or -1."""
-        at = self.begins[(hashes >> np.uint64(64 - self.BUCKET_BITS)).astype(np.int64)]
-        out = np.full(len(hashes), -1, np.int32)
-        for k in range(self.fullest):
-            same = self.hashes[at + k] == hashes
-            out[same] = self.numbers[at + k][same]
+        bucket = (hashes >> np.uint64(64 - self.BUCKET_BITS)).astype(np.int64)
+        at = self.begins[bucket]
+        out = np.where(self.hashes[at] == hashes, self.numbers[at], np.int32(-1))
+        more = np.nonzero(self.held[bucket] > 1)[0]  # few buckets hold several
+        for k in range(1, self.fullest):
+            more = more[(out[more] < 0) & (self.held[bucket[more]] > k)]
+            found = self.hashes[at[more] + k] == hashes[more]
+            out[more[found]] = self.numbers[at[more[found]] + k]
         return out
 
 
@@ -206,10 +210,10 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def _lattices(words: list[str], pieces: Pieces, span: int) -> Iterator[tuple[Lattice, np.ndarray]]:
-    """Lattices over the spans of words, some words at a time, with each span's word."""
+    """Lattices over the spans of words, some words of like length at a time, with each span's word."""
     spans, owner, size = [], [], 0
-    for k, word in enumerate(words):
-        word = MARK + word
+    for k in sorted(range(len(words)), key=lambda k: len(words[k])):
+        word = MARK + words[k]
         cut = [word] if len(word) <= span else [word[a : a + span] for a in range(0, len(word), span)]
         spans += cut
         owner += [k] * len(cut)
@@ -253,6 +257,7 @@ def _expected_counts(texts: DataFrame, model, logs: np.ndarray, settings: LangSe
                     used, times = np.unique(own, return_counts=True)
                     for lattice, owner in _lattices([words[c] for c in used.tolist()], pieces, span):
                         total[:, k] += lattice.expected(logs[:, k : k + 1], times[owner].astype(float))
+        pa.default_memory_pool().release_unused()
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], ["piece", "lang_index", "n"])
 
