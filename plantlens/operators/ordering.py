@@ -72,9 +72,10 @@ def pair_neighbours(rows: DataFrame, keys: list[str], at: str, likeness: str, le
     """
     part = Window.partitionBy(*keys, "__chunk").orderBy(at)
     chunked = rows.withColumn("__chunk", F.floor(F.col(at) / chunk))
-    heads = chunked.groupBy(*keys, "__chunk").agg(F.min_by(likeness, at).alias("__first"))
+    own = F.coalesce(F.col(likeness), F.lit(-1.0))  # a row without a likeness is less like the next one than any other
+    heads = chunked.groupBy(*keys, "__chunk").agg(F.min_by(own, at).alias("__first"))
     heads = heads.select(*keys, (F.col("__chunk") - 1).alias("__chunk"), "__first")
-    after = F.coalesce(F.lead(likeness).over(part), F.col("__first"), F.lit(-1.0))
+    after = F.coalesce(F.lead(own).over(part), F.col("__first"), F.lit(-1.0))
     marked = chunked.join(heads, [*keys, "__chunk"], "left").withColumn("__next", after)
     marked = marked.withColumn("__can", F.coalesce((F.col(likeness) > least) & (F.col(likeness) > F.col("__next")), F.lit(False)))
     last = marked.groupBy(*keys, "__chunk").agg(F.max(F.when(~F.col("__can"), F.col(at))).alias("__last"))
