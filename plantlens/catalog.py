@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from plantlens.plans import applied, assembled, checked, graphs, numeric, relational, text
+from plantlens.plans import applied, assembled, checked, direct, graphs, numeric, relational, text
 from plantlens.registry import Query
 
 FLAGSHIP = "endpoint_status"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _registry in (text.REGISTRY, relational.REGISTRY, graphs.REGISTRY, numeric.REGISTRY, applied.REGISTRY, assembled.REGISTRY, checked.REGISTRY):
+for _registry in (text.REGISTRY, relational.REGISTRY, graphs.REGISTRY, numeric.REGISTRY, applied.REGISTRY, assembled.REGISTRY, checked.REGISTRY, direct.REGISTRY):
     QUERIES |= _registry.queries
     ORACLE_SQL |= _registry.sql

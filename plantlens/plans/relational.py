@@ -69,20 +69,6 @@ def loop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack_sides(devices.where("side is not null"), ["l_orderkey"], "side", "device", "IN", "OUT", ("input", "output"))
 
 
-@query(f"""
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, {_LINE_ORDER}) - 1 AS rank FROM lineitem),
-    k AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, rank, rank * 5 + l_linenumber AS channel FROM r)
-    SELECT a.l_suppkey, a.rank AS block_rank, a.channel, (a.channel - a.rank * 5)::BIGINT AS position, concat('S', 2 + 3 * (a.channel - a.rank * 5)) AS zero_spec, b.l_partkey AS next_part
-    FROM k a LEFT JOIN k b ON a.l_suppkey = b.l_suppkey AND b.rank = a.rank + 1""")
-def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of a block among those of its key, a position computed from it, and the block of the next rank."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", *LINE_ORDER)
-    ranked = table(spark, sf_dir, "lineitem").withColumns({"block_rank": (F.row_number().over(order) - 1).cast("long"), "next_part": F.lead("l_partkey").over(order)})
-    channel = F.col("block_rank") * 5 + F.col("l_linenumber")
-    position = channel - F.col("block_rank") * 5
-    return ranked.select("l_suppkey", "block_rank", channel.alias("channel"), position.alias("position"), F.concat(F.lit("S"), (2 + 3 * position).cast("string")).alias("zero_spec"), "next_part")
-
-
 @query("""
     SELECT l_returnflag, l_linestatus, sum(l_extendedprice::DECIMAL(18,2) + l_tax::DECIMAL(18,2))::DECIMAL(38,2)::VARCHAR AS total, max(l_extendedprice::DECIMAL(18,2) + l_tax::DECIMAL(18,2))::VARCHAR AS most FROM lineitem GROUP BY ALL""")
 def exact_decimal_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
