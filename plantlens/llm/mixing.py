@@ -142,6 +142,12 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("low").alias("shard"), F.explode("quota").alias("q")).select("shard", "q.source_index", "q.draws")
 
 
+def _permuted(place: Column, draws: Column, seed: int) -> Column:
+    """A bijection of 0..draws - 1. Products go beyond a long from about 4e9 draws on, so they are decimals."""
+    factor = F.when(draws % PRIME == 0, 1).otherwise(PRIME).cast("decimal(10,0)")
+    return ((place.cast("decimal(19,0)") * factor + seed) % draws.cast("decimal(19,0)")).cast("long")
+
+
 def plan_mix(sized: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
     """Says of each row of sized (doc_id, source, size) how the mix takes it.
 
@@ -188,7 +194,7 @@ def plan_mix(sized: DataFrame, settings: MixSettings = MixSettings()) -> DataFra
         blocks.join(quotas, "source_index")
         .select(*key, "draws", F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int"))).alias("epoch"), "epochs", "blocks", "in_rest")
         .where("epoch < epochs or in_rest")
-        .withColumn("position", ((F.col("epoch") * F.col("blocks") + F.col("block")) * F.when(F.col("draws") % PRIME == 0, 1).otherwise(PRIME) + settings.seed) % F.col("draws"))
+        .withColumn("position", _permuted(F.col("epoch") * F.col("blocks") + F.col("block"), F.col("draws"), settings.seed))
     )
     shards_of = takes.join(dealt, ["source_index", "position"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "shard"))), lambda x: x["shard"]).alias("shards"))
     placed = blocks.select(*key, "start", "in_rest").join(shards_of, key, "left")
@@ -210,12 +216,13 @@ def mix_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> Dat
     """The mix itself: rows of docs as often as they are taken, in shards, each shard in a random order of its own.
 
     A row that is taken in part comes whole, as documents aren't cut here. Repeated rows are planned one by one; as they are
-    equal, the takes of all of them are takes of one. All columns stay as they are, whatever their names.
+    equal, the takes of all of them are takes of one; maps are compared by their entries. All columns stay as they are, whatever
+    their names; maps inside of other columns have no hash and are an error. An empty table gives none; a null text has no words.
     """
     columns = docs.columns
     uid, vid, shard, copy = (fresh(name, columns) for name in ("mix_uid", "mix_vid", "mix_shard", "mix_copy"))
-    plain = [f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)]
-    keyed = docs.withColumns(dict(zip((uid, vid), row_key(*plain))))
+    hashed = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in docs.schema]
+    keyed = docs.withColumns(dict(zip((uid, vid), row_key(*hashed))))
     sized = keyed.select(F.struct("doc_id", uid, vid).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
     plan = plan_mix(sized, settings).where("taken > 0 or size = 0")
     times = F.greatest(F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0), F.lit(1))

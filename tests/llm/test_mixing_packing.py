@@ -135,3 +135,18 @@ def test_batches(docs, no_docs):
         assert len(b) * b[0].boundary <= 500 or len(b) == 1 or b[0].boundary == 0
         assert sorted(r.slot for r in b) == list(range(len(b)))
     assert packing.pack(no_docs, word_count(F.col("text"))).count() == 0
+
+
+def test_billions_of_block_draws_are_permuted(spark):
+    draws = 5_000_000_021
+    near = spark.range(draws - 2000, draws).union(spark.range(2000)).select(mixing._permuted(F.col("id"), F.lit(draws), 17).alias("p"), "id").collect()
+    assert {r.p for r in near} == {(r.id * mixing.PRIME + 17) % draws for r in near} and len({r.p for r in near}) == 4000
+    multiple = spark.range(30).select(mixing._permuted(F.col("id"), F.lit(mixing.PRIME * 4), 17).alias("p")).collect()
+    assert [r.p for r in multiple] == list(range(17, 47))
+
+
+def test_rows_that_differ_in_a_map_only_are_rows_of_their_own(spark):
+    rows = [(1, "a b", "s", {"k": 1}), (1, "a b", "s", {"k": 2}), (2, "c d", "s", {"k": 3, "j": 4})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>")
+    got = mixing.mix_documents(docs).collect()
+    assert sorted((r.doc_id, tuple(sorted(r.extra.items()))) for r in got) == [(1, (("k", 1),)), (1, (("k", 2),)), (2, (("j", 4), ("k", 3)))]
