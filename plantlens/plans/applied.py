@@ -251,19 +251,27 @@ def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey, concat('SIZE=', p_size, ';S7=', p_brand) AS pairs, CASE WHEN p_size > 25 THEN '0,3,' || p_size ELSE '0,' || p_size END AS offsets,
-           CASE WHEN p_size > 25 THEN false ELSE true END AS dated, concat('ABCDE', lpad(p_size::VARCHAR, 3, '0')) AS sheets, concat('DI7-1A/', p_partkey) AS tag, 'BA02-02.07' AS point, '30705L6A' AS target_cad FROM part WHERE p_size <> 3""")
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('SIZE=', p_size, ';S7=', p_brand) WHEN 1 THEN concat('SIZE=old;S', p_size % 90, '=', p_brand) WHEN 2 THEN 'SIZE=old;A= ' ELSE '' END AS pairs,
+        CASE WHEN p_partkey % 3 = 1 THEN '' WHEN p_size > 25 OR p_size = 3 THEN CASE WHEN p_size = 3 THEN '0,3' ELSE '0,3,' || p_size END ELSE '0,' || p_size END AS offsets, p_size <= 25 AND p_partkey % 7 <> 0 AS dated,
+        CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('ABCDE', lpad(p_size::VARCHAR, 3, '0')) || CASE WHEN p_partkey % 5 = 1 THEN concat(',0000', lpad((p_partkey % 10000)::VARCHAR, 4, '0')) ELSE '' END END AS sheets,
+        CASE p_partkey % 4 WHEN 0 THEN concat('DI7-1A/', p_partkey) WHEN 1 THEN concat('D', p_partkey + 10, 'ST-M') END AS tag, CASE WHEN p_partkey % 4 <= 1 THEN concat('BA02-', lpad((p_size)::VARCHAR, 2, '0'), '.07') END AS point,
+        CASE WHEN p_partkey % 4 = 0 THEN concat('3', lpad((p_partkey % 10000)::VARCHAR, 4, '0'), 'L6A') END AS target_cad FROM part""")
 def sheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as sheets have them, made of the columns of parts and parsed."""
-    part, size, key = table(spark, sf_dir, "part").where("p_size <> 3"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
-    pairs = details.parameters(F.array(F.concat(F.lit("size = old")), F.concat(F.lit(" Size = "), size, F.lit(" ")), F.concat(F.lit("S7: "), F.col("p_brand")), F.lit("no pair")))
-    offsets = details.output_offsets(F.array(F.lit("N"), F.concat(F.lit("N + "), size), F.when(F.col("p_size") > 25, "N+3").otherwise("N"), F.lit("M+9")))
-    sheets = details.listed_sheets(F.concat(F.lit("see abcde"), F.lpad(size, 3, "0"), F.lit(".cad and x.CAD")))
-    ref = details.output_reference(F.concat(F.lit("OREF DI7-1A/"), key, F.lit(" BA02-02.07 30705L6A")))
-    return part.select(
-        "p_partkey", F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["key"], p["value"])), ";").alias("pairs"), F.array_join(offsets.cast("array<string>"), ",").alias("offsets"),
-        details.is_date_like(F.when(F.col("p_size") > 25, "30-1234").otherwise(" 3/12/1998 ")).alias("dated"), F.array_join(sheets, ",").alias("sheets"), *[ref[c].alias(c) for c in ("tag", "point", "target_cad")],
-    )
+    """Texts as sheets have them, whole, in mixed case, without a value, without anything or malformed, and parsed."""
+    part, c = table(spark, sf_dir, "part"), F.col
+    size, key, n = c("p_size").cast("string"), c("p_partkey").cast("string"), c("p_partkey")
+    old, words = F.lit("size = old"), F.lit("no pair")
+    texts = F.when(n % 4 == 0, F.array(old, F.concat(F.lit(" Size = "), size, F.lit(" ")), F.concat(F.lit("S7: "), c("p_brand")), words)).when(n % 4 == 1, F.array(old, F.concat(F.lit("s"), (c("p_size") % 90).cast("string"), F.lit(" "), c("p_brand")), F.lit("S123: x"), F.lit("")))
+    pairs = details.parameters(texts.when(n % 4 == 2, F.array(F.lit("size = old"), F.lit("A=   "))).otherwise(F.array(words, F.lit(" = 5"), F.lit("9K=1"), F.lit(None).cast("string"))))
+    offsets = details.output_offsets(F.when(n % 3 == 1, F.array(F.lit("M+9"), F.lit("n+1"), F.lit("N+"))).otherwise(F.array(F.lit("N"), F.concat(F.lit("N + "), size), F.when(c("p_size") > 25, "N+3").otherwise("N"), F.lit("M+9"))))
+    listed = F.concat(F.lit("see abcde"), F.lpad(size, 3, "0"), F.lit(".cad and x.CAD"), F.when(n % 5 == 1, F.concat(F.lit(", 0000"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit(".CAD"))).otherwise(""))
+    sheets = details.listed_sheets(F.when(n % 5 == 0, "short.CAD").otherwise(listed))
+    point = F.concat(F.lit(" BA02-"), F.lpad(size, 2, "0"), F.lit(".07"))
+    whole = F.concat(F.lit("OREF DI7-1A/"), key, point, F.lit(" 3"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit("L6A"))
+    ref = details.output_reference(F.when(n % 4 == 0, whole).when(n % 4 == 1, F.concat(F.lit("oref D"), (n + 10).cast("string"), F.lit("ST-M"), point)).when(n % 4 == 2, F.lit(" OREF ")).otherwise(F.lit(None).cast("string")))
+    label = F.when(n % 7 == 0, "3/12/98/1").when(c("p_size") > 25, "30-1234").otherwise(" 3/12/1998 ")
+    shown = F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["key"], p["value"])), ";")
+    return part.select("p_partkey", shown.alias("pairs"), F.array_join(offsets.cast("array<string>"), ",").alias("offsets"), details.is_date_like(label).alias("dated"), F.array_join(sheets, ",").alias("sheets"), *[ref[k].alias(k) for k in ("tag", "point", "target_cad")])
 
 
 @query("""

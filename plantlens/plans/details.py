@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 UNIT_SPECS = {30: 2, 80: 12}
 #: Minutes after which a running job counts as interrupted, and the longest list and texts of a report.
 STALE_MINUTES, LIST_CAP, TEXT_CAP = 3, 25, 500
+#: Grammars of texts on sheets. Parameters by name and by number, the head of an output reference's text, its I/O
+#: tag, its point, a device on its own and the target sheet, dates, names of sheets, and outputs of a block.
+NAMED_PARAMETER = r"(?i)^\s*([A-Z][A-Z0-9._/-]{0,14})\s*=\s*(.+?)\s*$"
+NUMBERED_PARAMETER = r"(?i)^\s*S(\d{1,2})(?:\s*[:=]\s*|\s+)(.+?)\s*$"
+REFERENCE_HEAD = r"(?i)^OREF\s*"
+REFERENCE_TAG = r"(?i)((?:AI|AO|DI|DO)\d[^/\s]*\/[A-Za-z0-9\-_]+)"
+REFERENCE_POINT = r"([A-Z]{2}\d{2}-\d{2}\.\d{2})"
+REFERENCE_DEVICE = r"(?i)\b(D?\d{2,}[A-Z][A-Z0-9\-_\/]*)"
+REFERENCE_TARGET = r"\b(\d{5}[A-Z0-9]{2,})\b"
+DATE = r"^\d{1,2}[-/]\d{1,2}[-/]\d{2}(\d{2})?$"
+SHEET_NAME = r"(?i)([0-9A-Z]{8})\.CAD"
+OUTPUT = r"^N(?:\s*\+\s*\d+)?$"
 
 
 def loop_kinds(devices: DataFrame) -> DataFrame:
@@ -80,10 +92,8 @@ def every_nth(points: DataFrame, keys: list[str], order: list[str], budget: int)
 
 def parameters(strings: Column) -> Column:
     """Array of texts to an array of (key, value): `KEY = value`, else `Sn value`; the last of a key counts where it is first."""
-    named, spec = r"(?i)^\s*([A-Z][A-Z0-9._/-]{0,14})\s*=\s*(\S.*?)\s*\z", r"(?i)^\s*S(\d{1,2})(?:\s*[:=]\s*|\s+)(\S.*?)\s*\z"
-    one = lambda s: F.when(s.rlike(named), F.struct(F.upper(F.regexp_extract(s, named, 1)).alias("key"), F.regexp_extract(s, named, 2).alias("value"))).when(
-        s.rlike(spec), F.struct(F.concat(F.lit("S"), F.regexp_extract(s, spec, 1)).alias("key"), F.regexp_extract(s, spec, 2).alias("value"))
-    )
+    pair = lambda s, form, key: F.when(s.rlike(form), F.struct(key(F.regexp_extract(s, form, 1)).alias("key"), F.regexp_extract(s, form, 2).alias("value")))
+    one = lambda s: F.coalesce(pair(s, NAMED_PARAMETER, F.upper), pair(s, NUMBERED_PARAMETER, lambda n: F.concat(F.lit("S"), n)))
     found = F.array_compact(F.transform(strings, one))
     last = lambda key: F.element_at(F.filter(found, lambda p: p["key"] == key), -1)
     return F.transform(F.array_distinct(F.transform(found, lambda p: p["key"])), last)
@@ -91,7 +101,7 @@ def parameters(strings: Column) -> Column:
 
 def output_offsets(texts: Column) -> Column:
     """Sorted distinct offsets k of outputs `N` or `N+k`."""
-    kept = F.filter(texts, lambda t: t.rlike(r"^N(?:\s*\+\s*\d+)?\z"))
+    kept = F.filter(texts, lambda t: t.rlike(OUTPUT))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"(\d+)\z", 1), F.lit("")).cast("int"), F.lit(0)))))
 
 
@@ -115,7 +125,7 @@ def segment_hits_box(s: Column, box: Column) -> Column:
 
 def is_date_like(label: Column) -> Column:
     """Labels that are dates, not loop tags."""
-    return F.coalesce(F.trim(label).rlike(r"^\d{1,2}[-/]\d{1,2}[-/]\d{2}(?:\d{2})?\z"), F.lit(False))
+    return F.coalesce(F.trim(label).rlike(DATE), F.lit(False))
 
 
 def job_state(state: Column, updated: Column, now: Column) -> Column:
@@ -125,12 +135,12 @@ def job_state(state: Column, updated: Column, now: Column) -> Column:
 
 def listed_sheets(text: Column) -> Column:
     """Names of the sheets that a text lists, upper case, in their order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)([0-9A-Z]{8})\.CAD"), F.lit(1)), F.upper)
+    return F.transform(F.regexp_extract_all(text, F.lit(SHEET_NAME), F.lit(1)), F.upper)
 
 
 def output_reference(raw: Column) -> Column:
     """Struct of tag, point and target_cad of an output reference's text; null where nothing is left of it."""
-    text = F.trim(F.regexp_replace(raw, r"(?i)^OREF\s*", ""))
-    first = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    tag = F.coalesce(first(r"(?i)((?:AI|AO|DI|DO)\d[^/\s]*/[A-Za-z0-9\-_]+)"), first(r"(?i)\b(D?\d{2,}[A-Z][A-Z0-9\-_/]*)"))
-    return F.when(text != "", F.struct(tag.alias("tag"), first(r"([A-Z]{2}\d{2}-\d{2}\.\d{2})").alias("point"), first(r"\b(\d{5}[A-Z0-9]{2,})\b").alias("target_cad")))
+    text = F.trim(F.regexp_replace(raw, REFERENCE_HEAD, ""))
+    first = lambda form: F.nullif(F.regexp_extract(text, form, 1), F.lit(""))
+    found = F.struct(F.coalesce(first(REFERENCE_TAG), first(REFERENCE_DEVICE)).alias("tag"), first(REFERENCE_POINT).alias("point"), first(REFERENCE_TARGET).alias("target_cad"))
+    return F.when(text != "", found)

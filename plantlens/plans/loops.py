@@ -9,6 +9,7 @@ from plantlens.functions import tags
 from plantlens.functions.evidence import status_of
 from plantlens.functions.numbers import add_decimal_text
 from plantlens.operators.graph import bfs_hops
+from plantlens.operators.joins import near
 from plantlens.operators.ordering import unique_best
 
 #: The weights of loop-tag choice, times ten, so that ties are exact.
@@ -44,9 +45,10 @@ def counts_by_type(points: DataFrame) -> DataFrame:
 def label_blocks(labels: DataFrame, blocks: DataFrame) -> DataFrame:
     """The block that each label (sheet, label_id, x, y) stands over: nearest in a window, by dy + dx / 10, first on ties.
 
-    blocks: sheet, block, bx, by, height, ord. Sheets are small, so the join on the sheet is the partition.
+    blocks: sheet, block, bx, by, height, ord. Labels and blocks of a sheet meet by cells of the x axis.
     """
-    pairs = labels.join(blocks, "sheet").withColumns({"dx": F.col("x") - F.col("bx"), "dy": F.col("y") - F.col("by") - F.col("height")})
+    pairs = near(labels, blocks.withColumnRenamed("bx", "right_x"), ["sheet"], "x", 320)
+    pairs = pairs.withColumns({"dx": F.col("x") - F.col("right_x"), "dy": F.col("y") - F.col("by") - F.col("height")})
     inside = pairs.where("dx between -20 and 320 and dy between -10 and 70")
     best = inside.groupBy("sheet", "label_id").agg(F.min_by("block", F.struct(F.col("dy") + 0.1 * F.col("dx"), "ord")).alias("block"))
     return best
