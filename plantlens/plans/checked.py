@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantlens.functions import symbols
-from plantlens.plans import adapter, constraints, positions
+from plantlens.functions import colours, symbols
+from plantlens.plans import adapter, constraints, displays, positions
 from plantlens.registry import Registry, table
 from plantlens.sources import records
 
@@ -206,3 +206,49 @@ def record_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT l_orderkey::VARCHAR, (k + 2 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::INTEGER, 'value', concat(l_partkey, ' Ghost+'), NULL FROM p""")
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.decode_records(display_files(spark, sf_dir)).where("field in ('y', 'first', 'value')").select("path", "id", "field", "value", "target")
+
+
+@query("""
+    WITH f AS (SELECT *, concat('t', l_orderkey) AS name, l_orderkey % 4 AS form FROM lineitem)
+    SELECT name AS template, count(*) AS points, sum(round(l_quantity))::DOUBLE AS total FROM f WHERE form <> 3 GROUP BY name""")
+def library_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are submodels with a model and a point for each line: as a graphic, under the newer and the older header, and unreadable.
+    Each name comes from two folders, the second of which has none of its points."""
+    c = F.col
+    word = lambda v, n: F.concat(*[F.lpad(F.hex(F.shiftright(v.cast("long"), 8 * k) % 256), 2, "0") for k in range(n)])
+    form = c("l_orderkey") % 4
+    start = F.when(form == 1, F.repeat(F.lit("00"), F.lit(2))).otherwise(F.repeat(F.lit("00"), F.lit(4)))
+    model = F.concat(start, F.lit((b"Model+\0" + bytes(14) + b"v\0m\0" + bytes(8)).hex()))
+    point = F.concat(start, F.lit(b"Point+\0".hex()), word(c("l_linenumber") * 65536, 4), word(F.round("l_quantity") * 65536, 4))
+    head = F.when(form == 0, F.lit((b"m1gms4u\n" + bytes(12)).hex())).when(form == 1, F.lit((b"!!<gms>\n" + bytes([8, 0, 0, 0]) + bytes(6)).hex())).when(form == 2, F.lit((b"!!<gms>\n" + bytes([12, 0, 0, 0]) + bytes(40)).hex())).otherwise(F.lit(b"nothing".hex()))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", head.alias("head"), model.alias("model"), F.struct("l_linenumber", "l_partkey", "l_suppkey", point.alias("p")).alias("b"))
+    whole = lines.groupBy("l_orderkey", "head", "model").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["p"]), "").alias("points"))
+    copies = whole.select("l_orderkey", "head", "model", F.explode(F.array(F.struct(F.lit(0).alias("root"), c("points")), F.struct(F.lit(1).alias("root"), F.lit("").alias("points")))).alias("r"))
+    path = F.concat(F.when(c("r.root") == 0, "/first/T").otherwise("/second/t"), c("l_orderkey").cast("string"), F.when(c("r.root") == 0, ".m1").otherwise(".M1"))
+    fields = records.template_library(copies.select("r.root", path.alias("path"), F.unhex(F.concat("head", "model", "r.points")).alias("content")))
+    return fields.where("class = 'Point' and field = 'y'").groupBy("template").agg(F.count("*").alias("points"), F.sum(c("value").cast("double")).alias("total"))
+
+
+@query(f"""
+    WITH i AS (SELECT p_partkey, CASE WHEN p_size = 50 THEN NULL ELSE p_partkey % 400 END AS n FROM part), h AS (SELECT *, n * {colours.MIX} % 4294967296 AS a FROM i), g AS (SELECT *, (xor(a, a >> 16) * {colours.SECOND_MIX}) % 4294967296 AS b FROM h),
+    l AS (SELECT *, {colours.LIGHTNESS}::DOUBLE + (b % 20) / 100 AS light, (a % 360) / 30 AS hue FROM g), r AS (SELECT *, {colours.SATURATION}::DOUBLE * least(light, 1 - light) AS reach, [hue % 12, (8 + hue) % 12, (4 + hue) % 12] AS k FROM l),
+    t AS (SELECT *, list_transform(k, lambda x: floor((light - reach * greatest(-1, least(x - 3, 9 - x, 1))) * 255 + 0.5)::BIGINT) AS rgb FROM r)
+    SELECT p_partkey, CASE WHEN n = 7 OR n = 300 THEN '#010203' WHEN n < 16 THEN ([{", ".join(f"'#{bytes(c).hex()}'" for c in colours.ANSI)}])[n + 1] WHEN n IS NOT NULL THEN printf('#%02x%02x%02x', rgb[1], rgb[2], rgb[3]) END AS hex,
+        CASE WHEN n = 7 OR n = 300 THEN 'CALIBRATED' WHEN n < 16 THEN 'ASSUMED' WHEN n IS NOT NULL THEN 'UNKNOWN' END AS source FROM t""")
+def palette_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = F.when(F.col("p_size") != 50, F.col("p_partkey") % 400).cast("int")
+    known = F.create_map(F.lit(7), F.lit("#010203"), F.lit(300), F.lit("#010203"))
+    return table(spark, sf_dir, "part").select("p_partkey", colours.resolve_colour(index, known).alias("c")).select("p_partkey", "c.hex", "c.source")
+
+
+@query("""
+    WITH o AS (SELECT l_suppkey AS path, concat(l_orderkey, '.', l_linenumber, '.', l_partkey) AS id, l_discount * 5 AS recall, round(l_quantity)::BIGINT AS pixels FROM lineitem),
+    w AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY recall, id) AS place FROM o WHERE recall < 0.33)
+    SELECT p_partkey AS path, 'TEMPLATE_OUTSIDE' AS kind, p_brand AS subject, p_size::BIGINT AS instances, p_size % 2 = 0 AS resolved, NULL::BIGINT AS percent, NULL::BIGINT AS pixels FROM part WHERE p_size % 3 = 0
+    UNION ALL SELECT path, 'LOW_RECALL', id, NULL, false, round(recall * 100)::BIGINT, pixels FROM w WHERE place <= 15""")
+def discrepancy_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    templates = part.select(c("p_partkey").alias("path"), c("p_brand").alias("name"), F.when(c("p_size") % 3 == 0, "EXTERNAL_UNRESOLVED").otherwise("EMBEDDED").alias("status"), c("p_size").alias("instances"))
+    objects = line.select(c("l_suppkey").alias("path"), F.concat_ws(".", *[c(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey")]).alias("id"), (c("l_discount") * 5).alias("recall"), F.round("l_quantity").alias("pixels"))
+    return displays.discrepancies(templates, part.where("p_size % 2 = 0").select(c("p_partkey").alias("path"), c("p_brand").alias("name")), objects, recall=0.33)

@@ -132,3 +132,22 @@ def coverage(records: DataFrame, sizes: DataFrame, header: int = 20) -> DataFram
     tiled = records.withColumns({"gap": F.greatest(F.col("offset") - before, F.lit(0)), "overlap": F.greatest(before - F.col("offset"), F.lit(0))})
     sums = tiled.groupBy("path").agg(F.count("*").alias("n_records"), F.sum(F.col("end") - F.col("offset")).alias("record_bytes"), F.sum("gap").alias("gap_bytes"), F.sum("overlap").alias("overlap_bytes"), F.max("end").alias("last"))
     return sums.join(sizes, "path").select("path", "n_records", "record_bytes", (F.col("gap_bytes") + F.greatest(F.col("length") - F.col("last"), F.lit(0))).alias("gap_bytes"), "overlap_bytes")
+
+
+def discrepancies(templates: DataFrame, instantiated: DataFrame, objects: DataFrame, recall: float = 0.35, most: int = 15) -> DataFrame:
+    """(path, kind, subject, instances, resolved, percent, pixels): what of a display isn't confirmed by its reference.
+
+    templates (path, name, status, instances): those whose geometry is outside of the file; resolved where `instantiated` (path,
+    name) has them. objects (path, id, recall, pixels): the `most` worst below the recall, by recall and id.
+    """
+    outside = templates.where("status = 'EXTERNAL_UNRESOLVED'").join(instantiated.select("path", "name", F.lit(True).alias("held")).distinct(), ["path", "name"], "left")
+    missing = outside.select("path", F.lit("TEMPLATE_OUTSIDE").alias("kind"), F.col("name").cast("string").alias("subject"), F.col("instances").cast("long").alias("instances"), F.coalesce("held", F.lit(False)).alias("resolved"), F.lit(None).cast("long").alias("percent"), F.lit(None).cast("long").alias("pixels"))
+    worst = objects.where(F.col("recall") < recall).withColumn("__place", F.row_number().over(Window.partitionBy("path").orderBy("recall", "id"))).where(F.col("__place") <= most)
+    low = worst.select("path", F.lit("LOW_RECALL").alias("kind"), F.col("id").cast("string").alias("subject"), F.lit(None).cast("long").alias("instances"), F.lit(False).alias("resolved"), F.round(F.col("recall") * 100).cast("long").alias("percent"), F.col("pixels").cast("long").alias("pixels"))
+    return missing.union(low)
+
+
+def audited(df: DataFrame, name: str = "created_at") -> DataFrame:
+    """df with the time of the query, ISO 8601 in UTC with milliseconds; the same for all rows, and no part of any digest."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return df.withColumn(name, F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))

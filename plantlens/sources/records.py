@@ -215,3 +215,43 @@ def field_coverage(fields: DataFrame, sizes: DataFrame, header: int = DISPLAY_HE
 def record_references(fields: DataFrame) -> DataFrame:
     """(path, id, n, field, role, target) of the references that are set, as the graph of displays takes them."""
     return fields.where("target is not null").select("path", "id", "n", "field", "role", "target")
+
+
+#: Beginnings of submodel files, and the newest version whose records begin with a number of two bytes.
+SUBMODEL_MAGIC, SHORT_VERSION = b"!!<gms>\n", 8
+
+
+def normalised(path: str, data: bytes) -> bytes:
+    """A graphic or submodel as a graphic: a submodel's records follow a header of any length, from its model on, and those of old
+    versions begin with a number of two bytes instead of four. Bodies stay as they are."""
+    if data.startswith(DISPLAY_MAGIC):
+        return data
+    if not data.startswith(SUBMODEL_MAGIC) or len(data) < 12:
+        raise ValueError(f"{path}: neither a graphic nor a submodel")
+    marks = [m for m in MARKER.finditer(data, 12) if m[0][:-2].decode("latin1") in KNOWN]
+    first = next((k for k, m in enumerate(marks) if m[0] == b"Model+\0"), None)
+    if first is None:
+        raise ValueError(f"{path}: a submodel without a model")
+    starts, head = [m.start() for m in marks[first:]], DISPLAY_MAGIC + struct.pack("<III", 0x10, 1, 0)
+    if struct.unpack_from("<I", data, 8)[0] > SHORT_VERSION:
+        return head + data[starts[0] - 4 :]
+    ends = [s - 2 for s in starts[1:]] + [len(data)]
+    return head + b"".join(data[s - 2 : s] + b"\0\0" + data[s:e] for s, e in zip(starts, ends))
+
+
+def _submodel(path: str, data: bytes) -> list[tuple]:
+    try:
+        return display_fields(path, normalised(path, data))
+    except ValueError:
+        return []  # a library leaves out files that it can't read
+
+
+def template_library(files: DataFrame) -> DataFrame:
+    """files (root, path, content), root by rank, to the fields of every template: FIELDS with the template's name in place of the path.
+
+    Files are `name.m1`, whatever the case; of several of one name the first root's first path counts, whether it can be read or not.
+    Each is decoded once, where its bytes are.
+    """
+    name = F.lower(F.regexp_extract("path", r"([^/\\]*)\.[mM]1$", 1))
+    first = files.withColumn("name", name).where("name <> ''").groupBy("name").agg(F.min_by("content", F.struct("root", "path")).alias("content"))
+    return decode_each(first.select(F.col("name").alias("path"), "content"), _submodel, FIELDS).withColumnRenamed("path", "template")

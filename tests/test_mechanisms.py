@@ -1,6 +1,7 @@
 """Graphs with cycles, depths, pairs, scenes, positions, constraints, symbols and the engineering model."""
 
 import random
+import re
 import struct
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plantlens.functions import symbols
 from plantlens.operators import graph, ordering
-from plantlens.plans import adapter, constraints, positions, scene
+from plantlens.plans import adapter, constraints, displays, positions, scene
 
 
 def edges_of(spark, pairs):
@@ -195,3 +196,13 @@ def test_engineering_blocks(spark):
     assert set(got) == {"1", "2", "j1"} and got["j1"].type == "Junction" and (got["j1"].x, got["j1"].width) == (6, 8)
     assert (got["1"].inputs, got["1"].outputs, got["1"].ports, got["1"].parameters, got["1"].width, got["1"].glyph) == (["L1", "L2"], ["R1"], 4, {"A": "1", "TO": "7"}, 1, "AUTHENTIC")
     assert (got["2"].type, got["2"].parameters, got["2"].inputs, got["2"].glyph) == ("SequenceBlock", {}, [], "FALLBACK")
+
+
+def test_audit_times_and_discrepancies(spark):
+    row = displays.audited(spark.range(2)).collect()
+    assert row[0].created_at == row[1].created_at and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z", row[0].created_at)
+    templates = spark.createDataFrame([("a", "PUMP", "EXTERNAL_UNRESOLVED", 3), ("a", "FAN", "EXTERNAL_UNRESOLVED", 1), ("a", "BOX", "EMBEDDED", 9)], "path string, name string, status string, instances int")
+    objects = spark.createDataFrame([("a", k, 0.01 * k, k) for k in range(60)] + [("b", 1, 0.9, 5)], "path string, id int, recall double, pixels int")
+    got = displays.discrepancies(templates, spark.createDataFrame([("a", "FAN")], "path string, name string"), objects).collect()
+    assert {(r.subject, r.instances, r.resolved) for r in got if r.kind == "TEMPLATE_OUTSIDE"} == {("PUMP", 3, False), ("FAN", 1, True)}
+    assert [(r.subject, r.percent) for r in sorted((r for r in got if r.kind == "LOW_RECALL"), key=lambda r: r.percent)] == [(str(k), k) for k in range(15)]

@@ -68,3 +68,19 @@ def test_any_bytes_are_covered_once():
             assert r[9] == at
             at += r[10]
         assert at == len(data)
+
+
+def test_template_library_reads_three_headers_and_the_first_root(spark):
+    body = lambda width: b"".join(bytes(width) + name + b"+\0" + rest for name, rest in ((b"Model", head(0, 0, 0) + listed(2)), (b"Point", struct.pack("<2i", 65536, 0))))
+    old, new = b"!!<gms>\n" + struct.pack("<I", 8) + b"pad", b"!!<gms>\n" + struct.pack("<I", 12) + bytes(37)
+    graphic = HEADER + body(4)
+    tail = [r[7:] for r in records.display_fields("x", graphic)]
+    for data in (graphic, old + body(2), new + body(4)):
+        assert [r[7:] for r in records.display_fields("x", records.normalised("x", data))] == tail
+    for bad in (b"", b"no", b"!!<gms>\n", new + b"nothing"):
+        with pytest.raises(ValueError):
+            records.normalised("x", bad)
+    files = [(1, "/b/Pump.m1", new + body(4)), (0, "/a/PUMP.M1", old + body(2)), (0, "/z/pump.m1", b"unread"), (0, "/a/bad.m1", b"junk"), (1, "/b/bad.m1", graphic), (0, "/a/readme.txt", graphic)]
+    got = records.template_library(spark.createDataFrame(files, "root int, path string, content binary"))
+    assert {(r.template, r["class"]) for r in got.collect()} == {("pump", "Model"), ("pump", "Point")}  # a name's first file counts, even if it can't be read
+    assert got.where("class = 'Model' and field = 'children.ref[0]'").first().target == 2
