@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plantlens.functions import evidence, numbers, tags
 from plantlens.plans import displays, loops, specs, topology
 from plantlens.registry import Registry, table
+from plantlens.sources import listings
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -124,3 +125,23 @@ def captions_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("sheet"), name.alias("id"), (c("l_partkey") % 500).alias("x"), (c("l_suppkey") % 90).alias("y"), "l_returnflag")
     texts = rows.where("l_returnflag <> 'R'").select("sheet", c("id").alias("text_id"), "x", "y")
     return topology.caption_fields(texts, rows.where("l_returnflag = 'R'").select("sheet", c("id").alias("caption"), "x", "y"))
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity > 25 AS more, l_tax > 0.07 AS dash, l_discount > 0.09 AS bare, round(l_quantity)::INTEGER AS q,
+        1 + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END + CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END AS k FROM lineitem),
+    p AS (SELECT *, 1 + coalesce(sum(k) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN dash THEN 1 ELSE 0 END + 1 AS n FROM l)
+    SELECT concat('f', l_orderkey) AS file, n::INTEGER AS n, concat('ABC', l_orderkey % 1000) AS sheet, CASE WHEN l_orderkey % 2 = 0 THEN 'Outputs' ELSE 'Inputs' END AS direction, concat('AI', l_linenumber, '-1A/', l_partkey) AS description,
+        CASE WHEN NOT bare THEN concat('SRC', l_suppkey) END AS source, concat('AB', lpad((q % 100)::VARCHAR, 2, '0'), '-01.07>30705L6A', CASE WHEN more THEN concat(',CD34-02.', lpad((l_linenumber)::VARCHAR, 2, '0')) ELSE '' END) AS destinations FROM p""")
+def cross_reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are listings with a section, an entry for each line, dashes between some, and destinations that go on below."""
+    c, text = F.col, lambda v: v.cast("string")
+    q = F.lpad(text(F.round("l_quantity").cast("int") % 100), 2, "0")
+    entry = F.concat(F.rpad(F.concat(F.lit("AI"), text(c("l_linenumber")), F.lit("-1A/"), text(c("l_partkey"))), 32, " "), F.rpad(F.when(c("l_discount") > 0.09, "").otherwise(F.concat(F.lit("SRC"), text(c("l_suppkey")))), 16, " "), F.lit("AB"), q, F.lit("-01.07 30705L6A"))
+    more = F.concat(F.repeat(F.lit(" "), F.lit(48)), F.lit("CD34-02."), F.lpad(text(c("l_linenumber")), 2, "0"))
+    lines = F.array_compact(F.array(F.when(c("l_tax") > 0.07, "---- ----"), entry, F.when(c("l_quantity") > 25, more)))
+    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", lines.alias("lines")))), lambda x: x["lines"])), "\r\n")
+    head = F.concat(F.lit("abc"), text(c("l_orderkey") % 1000), F.when(c("l_orderkey") % 2 == 0, ".CAD  Outputs").otherwise(".CAD  Inputs"))
+    files = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(body.alias("body")).select(F.concat(F.lit("f"), text(c("l_orderkey"))).alias("file"), F.concat(head, F.lit("\n"), "body").alias("text"))
+    rows = listings.parse_cross_reference(listings.lines_of(files, "file", "text"))
+    return rows.withColumn("destinations", F.array_join(F.transform("destinations", lambda d: F.concat_ws(">", d["reference"], d["sheet"])), ","))
