@@ -145,3 +145,42 @@ def cross_reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(body.alias("body")).select(F.concat(F.lit("f"), text(c("l_orderkey"))).alias("file"), F.concat(head, F.lit("\n"), "body").alias("text"))
     rows = listings.parse_cross_reference(listings.lines_of(files, "file", "text"))
     return rows.withColumn("destinations", F.array_join(F.transform("destinations", lambda d: F.concat_ws(">", d["reference"], d["sheet"])), ","))
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT l_orderkey AS sheet, l_partkey AS block FROM lineitem WHERE l_returnflag <> 'A'), s AS (SELECT l_orderkey AS sheet, l_partkey AS block, min(l_suppkey) AS name FROM lineitem WHERE l_quantity > 20 GROUP BY 1, 2 HAVING count(*) = 1),
+    j AS (SELECT coalesce(e.sheet, s.sheet) AS sheet, coalesce(e.block, s.block) AS block, name, s.block IS NULL AS l, e.block IS NULL AS r FROM e FULL JOIN s ON e.sheet = s.sheet AND e.block = s.block),
+    k AS (SELECT *, count(*) FILTER (WHERE l) OVER w AS nl, count(*) FILTER (WHERE r) OVER w AS nr FROM j WINDOW w AS (PARTITION BY sheet))
+    SELECT sheet, block, name, CASE WHEN NOT l AND NOT r THEN 'BLOCK_NUMBER' WHEN nl = 1 AND nr = 1 THEN 'ONLY_ONES_LEFT' WHEN l THEN 'NO_SYMBOL' ELSE 'NO_ENTRY' END AS pairing FROM k""")
+def spec_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are sheets: some of their lines are trailer entries, some drawn symbols, some both."""
+    line = table(spark, sf_dir, "lineitem").withColumns({"sheet": F.col("l_orderkey"), "block": F.col("l_partkey")})
+    symbols = line.where("l_quantity > 20").select("sheet", "block", F.col("l_suppkey").alias("name"))
+    return specs.pair_entries(line.where("l_returnflag <> 'A'").select("sheet", "block").distinct(), symbols).select("sheet", "block", "name", "pairing")
+
+
+@query("""
+    WITH c AS (SELECT o_orderkey AS id, concat('S00', lpad((o_custkey % 100)::VARCHAR, 2, '0'), lpad((o_orderkey % 100)::VARCHAR, 2, '0'), 'C') AS sheet, CASE o_orderstatus WHEN 'F' THEN 'OREF' ELSE 'IREF' END AS kind, concat('T ', o_orderkey % 3) AS tag,
+        concat('0', o_orderkey % 2, '.07') AS zone, o_orderkey % 11 = 0 AS blank, o_custkey * 3 % 100 AS pp, lpad((o_orderkey * 7 % 100)::VARCHAR, 2, '0') AS ss, concat('0', o_custkey % 2, '.07') AS z FROM orders),
+    k AS (SELECT *, CASE WHEN NOT blank AND pp < 90 THEN concat('S00', lpad(pp::VARCHAR, 2, '0'), ss) END AS target FROM c),
+    g AS (SELECT k.id, list_sort(list(DISTINCT o.id) FILTER (WHERE o.kind <> k.kind AND o.tag = k.tag AND o.zone = k.z)) AS ex, list_sort(list(DISTINCT o.id) FILTER (WHERE o.kind <> k.kind AND o.tag = k.tag)) AS tg, list_sort(list(DISTINCT o.id) FILTER (WHERE o.kind <> k.kind AND o.zone = k.z)) AS zn,
+        min(o.sheet) AS target_sheet FROM k LEFT JOIN c o ON left(o.sheet, 7) = k.target GROUP BY k.id),
+    f AS (SELECT k.*, target_sheet, coalesce(ex, []) AS ex, coalesce(tg, []) AS tg, coalesce(zn, []) AS zn FROM k JOIN g USING (id)),
+    t AS (SELECT *, CASE WHEN blank THEN CASE WHEN tag = 'T 1' THEN 'BOUNDARY_SIGNAL' ELSE 'UNRESOLVED' END WHEN pp >= 90 THEN 'RESOLVED_EXTERNAL' WHEN target_sheet IS NULL THEN 'UNRESOLVED'
+        WHEN len(ex) > 1 OR (len(ex) = 0 AND (len(tg) > 1 OR (len(tg) = 0 AND len(zn) > 0))) THEN 'AMBIGUOUS' WHEN len(ex) = 1 OR len(tg) = 1 THEN CASE WHEN left(sheet, 7) = target THEN 'RESOLVED_INTERNAL' ELSE 'RESOLVED_CROSS_SHEET' END ELSE 'UNRESOLVED' END AS status FROM f)
+    SELECT id, sheet, target_sheet, status, CASE WHEN status = 'BOUNDARY_SIGNAL' THEN 'DERIVED' WHEN status = 'RESOLVED_EXTERNAL' THEN CASE WHEN id % 5 = 0 THEN 'EXPLICIT' ELSE 'DERIVED' END WHEN starts_with(status, 'RESOLVED') THEN CASE WHEN len(ex) = 1 THEN 'EXPLICIT' ELSE 'DERIVED' END ELSE 'UNRESOLVED' END AS relation,
+        CASE WHEN status IN ('RESOLVED_INTERNAL', 'RESOLVED_CROSS_SHEET') THEN coalesce(ex[1], tg[1]) END AS partner, CASE WHEN status = 'AMBIGUOUS' THEN array_to_string(CASE WHEN len(ex) > 0 THEN ex WHEN len(tg) > 0 THEN tg ELSE zn END, ',') WHEN status IN ('RESOLVED_INTERNAL', 'RESOLVED_CROSS_SHEET') THEN coalesce(ex[1], tg[1])::VARCHAR ELSE '' END AS candidates FROM t""")
+def reference_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are connectors whose addresses name the sheets of others, of other systems or of none."""
+    c, key, customer = F.col, F.col("o_orderkey"), F.col("o_custkey")
+    two = lambda v: F.lpad((v % 100).cast("string"), 2, "0")
+    zone = lambda v: F.concat(F.lit("0"), (v % 2).cast("string"), F.lit(".07"))
+    address = F.when(key % 11 != 0, F.concat(two(customer * 3), two(key * 7), F.lit("-"), zone(customer))).otherwise("  ")
+    connectors = table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.concat(F.lit("S00"), two(customer), two(key), F.lit("C")).alias("sheet"), F.when(c("o_orderstatus") == "F", "OREF").otherwise("IREF").alias("kind"),
+        F.concat(F.when(key % 2 == 0, "t  ").otherwise(" T "), (key % 3).cast("string")).alias("tag"), address.alias("address"), zone(key).alias("zone"),
+    )
+    prefixes = table(spark, sf_dir, "customer").select((c("c_custkey") % 100).alias("p")).distinct().where("p < 90").select(two(c("p")).alias("prefix"), F.concat(F.lit("S00"), two(c("p"))).alias("sheet_prefix"))
+    registry = connectors.where("id % 3 = 1").select(F.lit("t 1").alias("tag")).distinct()
+    found = specs.resolve_references(connectors, prefixes, connectors.select("sheet").distinct(), registry, connectors.where("id % 5 = 0").select("id"))
+    return found.withColumn("candidates", F.array_join(c("candidates").cast("array<string>"), ","))
