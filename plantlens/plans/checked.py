@@ -187,7 +187,7 @@ def display_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         record("Point", word(c("l_linenumber") * 65536), word(F.round("l_quantity") * 65536)), odd, record("G_StrConst_30", text(F.concat(c("l_partkey").cast("string"), F.lit(" Ghost+")))),
         record("LinkRef", word(c("l_linenumber")), word(F.lit(0))), bad,
     )
-    lines = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("file"), F.struct("l_linenumber", "l_partkey", "l_suppkey", body.alias("body")).alias("b"))
+    lines = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("file"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", body.alias("body")).alias("b"))
     whole = F.concat(F.lit((b"m1gms4u\n" + bytes(12)).hex().upper()), F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["body"]), ""))
     return lines.groupBy("file").agg(F.unhex(whole).alias("content")).select(c("file").cast("string").alias("path"), "content")
 
@@ -200,7 +200,7 @@ def record_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, round(l_quantity) AS q, coalesce(sum(3 + CASE WHEN l_returnflag IN ('R', 'A') THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM lineitem)
+    WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, round(l_quantity) AS q, coalesce(sum(3 + CASE WHEN l_returnflag IN ('R', 'A') THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM lineitem)
     SELECT l_orderkey::VARCHAR AS path, (k + 1)::INTEGER AS id, 'y' AS field, concat(q::INTEGER, '.0') AS value, NULL::BIGINT AS target FROM p
     UNION ALL SELECT l_orderkey::VARCHAR, (k + 3 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::INTEGER, 'first', l_linenumber::VARCHAR, l_linenumber FROM p
     UNION ALL SELECT l_orderkey::VARCHAR, (k + 2 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::INTEGER, 'value', concat(l_partkey, ' Ghost+'), NULL FROM p""")

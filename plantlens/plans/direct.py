@@ -128,9 +128,9 @@ def captions_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity > 25 AS more, l_tax > 0.07 AS dash, l_discount > 0.09 AS bare, round(l_quantity)::INTEGER AS q,
+    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_quantity > 25 AS more, l_tax > 0.07 AS dash, l_discount > 0.09 AS bare, round(l_quantity)::INTEGER AS q,
         1 + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END + CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END AS k FROM lineitem),
-    p AS (SELECT *, 1 + coalesce(sum(k) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN dash THEN 1 ELSE 0 END + 1 AS n FROM l)
+    p AS (SELECT *, 1 + coalesce(sum(k) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN dash THEN 1 ELSE 0 END + 1 AS n FROM l)
     SELECT concat('f', l_orderkey) AS file, n::INTEGER AS n, concat('ABC', l_orderkey % 1000) AS sheet, CASE WHEN l_orderkey % 2 = 0 THEN 'Outputs' ELSE 'Inputs' END AS direction, concat('AI', l_linenumber, '-1A/', l_partkey) AS description,
         CASE WHEN NOT bare THEN concat('SRC', l_suppkey) END AS source, concat('AB', lpad((q % 100)::VARCHAR, 2, '0'), '-01.07>30705L6A', CASE WHEN more THEN concat(',CD34-02.', lpad((l_linenumber)::VARCHAR, 2, '0')) ELSE '' END) AS destinations FROM p""")
 def cross_reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ def cross_reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.concat(F.rpad(F.concat(F.lit("AI"), text(c("l_linenumber")), F.lit("-1A/"), text(c("l_partkey"))), 32, " "), F.rpad(F.when(c("l_discount") > 0.09, "").otherwise(F.concat(F.lit("SRC"), text(c("l_suppkey")))), 16, " "), F.lit("AB"), q, F.lit("-01.07 30705L6A"))
     more = F.concat(F.repeat(F.lit(" "), F.lit(48)), F.lit("CD34-02."), F.lpad(text(c("l_linenumber")), 2, "0"))
     lines = F.array_compact(F.array(F.when(c("l_tax") > 0.07, "---- ----"), entry, F.when(c("l_quantity") > 25, more)))
-    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", lines.alias("lines")))), lambda x: x["lines"])), "\r\n")
+    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", lines.alias("lines")))), lambda x: x["lines"])), "\r\n")
     head = F.concat(F.lit("abc"), text(c("l_orderkey") % 1000), F.when(c("l_orderkey") % 2 == 0, ".CAD  Outputs").otherwise(".CAD  Inputs"))
     files = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(body.alias("body")).select(F.concat(F.lit("f"), text(c("l_orderkey"))).alias("file"), F.concat(head, F.lit("\n"), "body").alias("text"))
     rows = listings.parse_cross_reference(listings.lines_of(files, "file", "text"))
@@ -184,3 +184,32 @@ def reference_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = connectors.where("id % 3 = 1").select(F.lit("t 1").alias("tag")).distinct()
     found = specs.resolve_references(connectors, prefixes, connectors.select("sheet").distinct(), registry, connectors.where("id % 5 = 0").select("id"))
     return found.withColumn("candidates", F.array_join(c("candidates").cast("array<string>"), ","))
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey AS sheet, concat_ws('.', l_linenumber, l_partkey, l_suppkey) AS id, l_partkey % 60 AS x, l_suppkey % 60 AS y, round(l_quantity)::BIGINT AS n, l_returnflag AS f, l_tax > 0.04 AS point, l_partkey * 3 % 60 AS bx, l_suppkey * 3 % 60 AS "by" FROM lineitem),
+    e AS (SELECT sheet, id AS wire, 'from' AS "end", x, y FROM l UNION ALL SELECT sheet, id, 'to', x + n, y FROM l),
+    c AS (SELECT e.sheet, wire, "end", 1 AS tier, sqrt(pow(e.x - l.x - 1, 2) + pow(e.y - l.y, 2)) AS d, 0::DOUBLE AS area, concat('J', id) AS ref, 'junction' AS kind, 'EXPLICIT' AS status FROM e JOIN l ON e.sheet = l.sheet AND f = 'A' WHERE sqrt(pow(e.x - l.x - 1, 2) + pow(e.y - l.y, 2)) <= 3
+        UNION ALL SELECT e.sheet, wire, "end", 2, sqrt(pow(e.x - l.x - n, 2) + pow(e.y - l.y - 2, 2)), 0, concat('C', id), 'connector', 'EXPLICIT' FROM e JOIN l ON e.sheet = l.sheet AND f = 'N' AND point WHERE sqrt(pow(e.x - l.x - n, 2) + pow(e.y - l.y - 2, 2)) <= 3
+        UNION ALL SELECT e.sheet, wire, "end", 3, 0, 108, concat('B', id), 'pin', 'EXPLICIT' FROM e JOIN l ON e.sheet = l.sheet WHERE e.x BETWEEN bx AND bx + 12 AND e.y BETWEEN "by" AND "by" + 9
+        UNION ALL SELECT e.sheet, wire, "end", 4, 0, 0, concat('C', id), 'connector', 'DERIVED' FROM e JOIN l ON e.sheet = l.sheet AND f = 'N' WHERE e.x BETWEEN l.x + n - 5 AND l.x + n + 5 AND e.y BETWEEN l.y - 3 AND l.y + 6
+        UNION ALL SELECT e.sheet, wire, "end", 5, sqrt(pow(greatest(l.x - e.x, 0, e.x - l.x - n), 2) + pow(e.y - l.y, 2)), 0, id, 'wire', 'DERIVED' FROM e JOIN l ON e.sheet = l.sheet AND wire <> id WHERE sqrt(pow(greatest(l.x - e.x, 0, e.x - l.x - n), 2) + pow(e.y - l.y, 2)) <= 1
+        UNION ALL SELECT e.sheet, wire, "end", 6, sqrt(pow(greatest(bx - e.x, 0, e.x - bx - 12), 2) + pow(greatest("by" - e.y, 0, e.y - "by" - 9), 2)), 0, concat('B', id), 'pin', 'DERIVED' FROM e JOIN l ON e.sheet = l.sheet
+            WHERE sqrt(pow(greatest(bx - e.x, 0, e.x - bx - 12), 2) + pow(greatest("by" - e.y, 0, e.y - "by" - 9), 2)) <= 15),
+    b AS (SELECT sheet, wire, "end", min(struct_pack(tier := tier, d := d, area := area, ref := ref, kind := kind, status := status)) AS c FROM c GROUP BY ALL)
+    SELECT e.sheet, e.wire, e."end", coalesce(c.kind, 'dangling') AS kind, c.ref AS ref, coalesce(c.status, 'UNRESOLVED') AS status FROM e LEFT JOIN b USING (sheet, wire, "end")""")
+def wire_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are sheets: each line is a wire and a block, some are junctions or connectors as well. Equal lines of an order are one."""
+    c = F.col
+    name = F.concat_ws(".", *[c(k).cast("string") for k in ("l_linenumber", "l_partkey", "l_suppkey")])
+    line = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("sheet"), name.alias("id"), (c("l_partkey") % 60).alias("x"), (c("l_suppkey") % 60).alias("y"), F.round("l_quantity").cast("long").alias("n"), c("l_returnflag").alias("f"), (c("l_tax") > 0.04).alias("point"),
+        (c("l_partkey") * 3 % 60).alias("bx"), (c("l_suppkey") * 3 % 60).alias("by"),
+    )
+    point = lambda x: F.struct(x.alias("x"), c("y").alias("y"))
+    wires = line.select("sheet", c("id").alias("wire"), F.array(point(c("x")), point(c("x") + c("n"))).alias("points"))
+    at = c("x") + c("n")
+    junctions = line.where("f = 'A'").select("sheet", F.concat(F.lit("J"), "id").alias("ref"), (c("x") + 1).alias("x"), "y")
+    connectors = line.where("f = 'N'").select("sheet", F.concat(F.lit("C"), "id").alias("ref"), F.when(c("point"), at).alias("px"), F.when(c("point"), c("y") + 2).alias("py"), (at - 5).alias("x1"), (c("y") - 3).alias("y1"), (at + 5).alias("x2"), (c("y") + 6).alias("y2"))
+    blocks = line.select("sheet", F.concat(F.lit("B"), "id").alias("ref"), c("bx").alias("x1"), c("by").alias("y1"), (c("bx") + 12).alias("x2"), (c("by") + 9).alias("y2"))
+    return topology.classify_ends(topology.wire_ends(wires), junctions, connectors, blocks, wires).select("sheet", "wire", "end", "kind", "ref", "status")
