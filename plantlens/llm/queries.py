@@ -109,4 +109,24 @@ ORACLE_SQL: dict[str, str] = {
                 (row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id))::INTEGER AS rank
             FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+        src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations),
+        h AS (SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS k FROM src, tab),
+        d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+        p AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM p),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+        clo(a, b, c, s, l) AS (VALUES (0, 0, 0, '', ''), (0, 2, 3, 'I', 'user:' || chr(10)), (0, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 1, 0, '', ''), (1, 2, 3, 'I', 'user:' || chr(10)), (1, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+            (2, 2, 0, '', ''), (2, 3, 3, 'I', 'assistant:' || chr(10)), (3, 3, 0, '', ''), (3, 2, 3, 'I', 'user:' || chr(10))),
+        mv(e, a, b, init) AS (VALUES ('D', 0, 0, ''), ('D', 1, 1, ''), ('D', 2, 2, ''), ('D', 3, 3, ''), ('K', 0, 1, 's'), ('K', 0, 2, 'u'), ('K', 1, 2, 'u'), ('K', 3, 2, 'u'), ('K', 2, 3, 'a'), ('R', 0, 2, ''), ('R', 1, 2, ''), ('R', 3, 2, ''), ('R', 2, 3, '')),
+        r AS (SELECT conv_id, 0::BIGINT AS i, b AS st, struct_pack(cost := c, audit := s, lines := l) AS m FROM (SELECT DISTINCT conv_id FROM f) AS u, clo WHERE a = 0
+            UNION ALL SELECT r.conv_id, any_value(f.i), clo.b, min(struct_pack(cost := r.m.cost + clo.c + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END, audit := concat(r.m.audit, e, clo.s),
+                lines := concat(r.m.lines, CASE e WHEN 'K' THEN concat(role, ':', text, chr(10)) WHEN 'R' THEN concat(CASE mv.b WHEN 2 THEN 'user' ELSE 'assistant' END, ':', text, chr(10)) ELSE '' END, clo.l)))
+            FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = r.i + 1 JOIN mv ON mv.a = r.st AND (e = 'D' OR fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR init = left(role, 1))) JOIN clo ON clo.a = mv.b GROUP BY r.conv_id, clo.b),
+        q AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+            count(*) FILTER (WHERE i > 1 AND concat(left(before, 1), left(role, 1)) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        g AS (SELECT q.*, (SELECT min(m) FROM r WHERE r.conv_id IS NOT DISTINCT FROM q.conv_id AND r.i = q.n AND r.st IN (0, 3)) AS m FROM q)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(m.cost, 0)::BIGINT AS cost, coalesce(m.audit, '') AS audit,
+            sha256(coalesce(left(m.lines, greatest(length(m.lines) - 1, 0)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id""",
 }

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,15 @@ def test_query_on_the_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = {r.conv_id: {k: v for k, v in r.asDict().items() if k != "conv_id"} for r in queries.op13_conversation_repair(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute(rows)
+
+
+def test_sql_equals_the_search():
+    rng = random.Random(12)
+    rows = [r for conv in range(60) for r in talk(rng, conv, rng.randint(1, 12))] + talk(rng, None, 5)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(queries.ORACLE_SQL["op13_conversation_repair"])
+    names = [d[0] for d in found.description]
+    got = {r[0]: dict(zip(names[1:], r[1:])) for r in found.fetchall()}
+    assert got == brute(rows)
