@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plantlens.functions import evidence, numbers, tags
 from plantlens.plans import displays, loops, specs, topology
 from plantlens.registry import Registry, table
-from plantlens.sources import listings
+from plantlens.sources import binary, listings
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -213,3 +213,25 @@ def wire_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     connectors = line.where("f = 'N'").select("sheet", F.concat(F.lit("C"), "id").alias("ref"), F.when(c("point"), at).alias("px"), F.when(c("point"), c("y") + 2).alias("py"), (at - 5).alias("x1"), (c("y") - 3).alias("y1"), (at + 5).alias("x2"), (c("y") + 6).alias("y2"))
     blocks = line.select("sheet", F.concat(F.lit("B"), "id").alias("ref"), c("bx").alias("x1"), c("by").alias("y1"), (c("bx") + 12).alias("x2"), (c("by") + 9).alias("y2"))
     return topology.classify_ends(topology.wire_ends(wires), junctions, connectors, blocks, wires).select("sheet", "wire", "end", "kind", "ref", "status")
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount = 0 THEN 'NaN'::DOUBLE WHEN l_tax > 0.07 THEN l_extendedprice * 1e6 WHEN l_tax > 0.05 THEN l_discount * 1e-4 ELSE l_extendedprice END AS real, l_partkey * l_suppkey % 40000 AS low, (l_linenumber % 2)::BIGINT AS high FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN low = 0 AND high = 0 THEN 'zero' WHEN f AND i THEN 'ambiguous' WHEN f THEN 'float' WHEN i THEN 'integer' ELSE 'ambiguous' END AS kind
+    FROM (SELECT *, NOT isnan(real) AND abs(real) >= 1e-4 AND abs(real) < 1e9 AS f, high = 0 AND low > 0 AND low <= 30000 AS i FROM s)""")
+def slot_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    real = F.when(c("l_discount") == 0, F.lit(float("nan"))).when(c("l_tax") > 0.07, c("l_extendedprice") * 1e6).when(c("l_tax") > 0.05, c("l_discount") * 1e-4).otherwise(c("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", binary.slot_kind(real, c("l_partkey") * c("l_suppkey") % 40000, (c("l_linenumber") % 2).cast("long")).alias("kind"))
+
+
+@query("""
+    SELECT concat('f', p_partkey) AS path, CASE p_size % 4 WHEN 0 THEN concat('MFP', p_size) WHEN 1 THEN 'BRC' WHEN 2 THEN 'IMMFP1' END AS controller, CASE WHEN p_partkey % 2 = 0 THEN 'AB' END AS prefix FROM part""")
+def module_controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are module files with a controller type, or none, and a prefix in some of them, among bytes that aren't text."""
+    c = F.col
+    kind = F.when(c("p_size") % 4 == 0, F.concat(F.lit("see MFP"), c("p_size").cast("string"), F.lit(" x"))).when(c("p_size") % 4 == 1, "BRC").when(c("p_size") % 4 == 2, "IMMFP1").otherwise("XMFP9")
+    hexed = lambda text: F.hex(text.cast("binary"))
+    content = F.unhex(F.concat(F.lit("0001"), hexed(F.lit("abc")), F.lit("00FF"), hexed(kind), F.lit("00"), F.when(c("p_partkey") % 2 == 0, hexed(F.lit("AB"))).otherwise(""), F.lit("0002"), hexed(F.lit("MFC7")), F.lit("00")))
+    content = F.when(c("p_size") % 4 == 3, F.unhex(F.concat(F.lit("0001"), hexed(kind), F.lit("00"), F.when(c("p_partkey") % 2 == 0, hexed(F.lit("AB"))).otherwise(""), F.lit("00")))).otherwise(content)
+    return listings.module_headers(table(spark, sf_dir, "part").select(F.concat(F.lit("f"), c("p_partkey").cast("string")).alias("path"), content.alias("content")))

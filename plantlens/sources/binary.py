@@ -33,7 +33,7 @@ _FIELDS = [f.split()[0] for f in re.sub(r"<[^>]*>+", "", RECORD).split(",")]
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, modificationTime, length, content) of the files under a folder whose names fit the pattern."""
+    """(path, modificationTime, length, content) of the files under a folder whose names fit the pattern; empty files have no row."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
 
 

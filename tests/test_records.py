@@ -2,8 +2,10 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
-from plantlens.sources import records
+from plantlens.functions import numbers
+from plantlens.sources import binary, files, records
 
 HEADER = b"m1gms4u\n" + bytes(12)
 
@@ -84,3 +86,15 @@ def test_template_library_reads_three_headers_and_the_first_root(spark):
     got = records.template_library(spark.createDataFrame(files, "root int, path string, content binary"))
     assert {(r.template, r["class"]) for r in got.collect()} == {("pump", "Model"), ("pump", "Point")}  # a name's first file counts, even if it can't be read
     assert got.where("class = 'Model' and field = 'children.ref[0]'").first().target == 2
+
+
+def test_files_of_a_folder_by_pattern(spark, tmp_path):
+    for name, data in (("a/x.m1", b"one"), ("b/y.M1", b"two"), ("z.m1", b"3"), ("empty.m1", b"")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = binary.read_files(spark, str(tmp_path), "*.m1").collect()
+    assert {(r.path.rsplit("/", 1)[1], bytes(r.content), r.length) for r in got} == {("x.m1", b"one", 3), ("z.m1", b"3", 1)}  # Spark leaves out empty files
+    parts = spark.createDataFrame([([(2, "c"), (0, "a"), (1, "b")],), ([],)], "p array<struct<place:int,text:string>>")
+    assert [r[0] for r in parts.select(files.ordered_text(F.col("p"))).collect()] == ["a b c", ""]
+    numbers_ = spark.createDataFrame([(x,) for x in (0.0, 1e-7, 1.5, 123456789.0, float("nan"), None)], "v double")
+    assert [r[0] for r in numbers_.select(numbers.format_g(F.col("v"))).collect()][:5] == ["0", "1e-007", "1.5", "1.23457e+008", "nan"]
