@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -85,19 +86,25 @@ def longest_path_layers(edges: DataFrame, cap: int | None = None) -> DataFrame:
     return ready if done is None else done
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, component) of every node that lies on a cycle; component is the least node of its strong component.
 
     Forward-backward colouring, both ways at once: every node takes the least node that leads to it and the least node that it
     leads to. Where these are one node, it is that node's component. Edges between nodes whose two colours differ can be on no
     cycle and go. The number of passes follows how deep components are nested behind one another, that of rounds in a pass
-    the length of paths.
+    the length of paths. If max_rounds is given and colours still change, or edges are left, in the last one, that is an error.
     """
     ensure_checkpoints(edges.sparkSession)
+    rounds = count(1)
+
+    def more() -> None:
+        if next(rounds) == max_rounds:
+            raise RuntimeError(f"components not settled after {max_rounds} rounds")
+
     loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     left, found = _trimmed(edges.where("a <> b").select("a", "b").distinct().checkpoint()), None
     while not left.isEmpty():
-        colours = _least_both_ways(left)
+        colours = _least_both_ways(left, more)
         alone = Window.partitionBy("first")
         held = colours.where("first = last").withColumn("many", F.count("*").over(alone)).where("many > 1").select("node", F.col("first").alias("component")).checkpoint()
         found = held if found is None else found.union(held)
@@ -115,8 +122,11 @@ def _trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return edges
 
 
-def _least_both_ways(edges: DataFrame, hops: int = 4) -> DataFrame:
-    """(node, first, last): the least node that leads to each node, and the least one that it leads to, itself included."""
+def _least_both_ways(edges: DataFrame, more: Callable[[], None], hops: int = 4) -> DataFrame:
+    """(node, first, last): the least node that leads to each node, and the least one that it leads to, itself included.
+
+    more is called before each round of `hops` steps.
+    """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     step = lambda df, a, b, down, up: df.select(F.col(a).alias("at"), F.col(b).alias("to"), F.lit(down).alias("down"), F.lit(up).alias("up"))
     steps = step(edges, "a", "b", True, False).union(step(edges, "b", "a", False, True)).union(step(nodes, "node", "node", True, True)).checkpoint()
@@ -126,15 +136,16 @@ def _least_both_ways(edges: DataFrame, hops: int = 4) -> DataFrame:
         if total == seen:
             return state
         seen = total
+        more()
         for _ in range(hops):
             moved = steps.join(state, F.col("at") == F.col("node")).groupBy(F.col("to").alias("node"))
             state = moved.agg(F.min(F.when(F.col("down"), F.col("first"))).alias("first"), F.min(F.when(F.col("up"), F.col("last"))).alias("last"))
         state = state.checkpoint()
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(node) of the nodes that lie on a cycle themselves; nodes between two cycles don't."""
-    return strong_components(edges).select("node")
+def cycle_nodes(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node) of the nodes that lie on a cycle themselves; nodes between two cycles don't. max_rounds as in strong_components."""
+    return strong_components(edges, max_rounds).select("node")
 
 
 def feedback_edges(edges: DataFrame) -> DataFrame:
