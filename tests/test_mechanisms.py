@@ -206,3 +206,11 @@ def test_audit_times_and_discrepancies(spark):
     got = displays.discrepancies(templates, spark.createDataFrame([("a", "FAN")], "path string, name string"), objects).collect()
     assert {(r.subject, r.instances, r.resolved) for r in got if r.kind == "TEMPLATE_OUTSIDE"} == {("PUMP", 3, False), ("FAN", 1, True)}
     assert [(r.subject, r.percent) for r in sorted((r for r in got if r.kind == "LOW_RECALL"), key=lambda r: r.percent)] == [(str(k), k) for k in range(15)]
+
+
+def test_long_rings_settle_in_few_rounds(spark):
+    """A ring of 90 nodes with a tail, and one hung behind it: rounds follow the digits of the length."""
+    mixed = lambda i: i * 37 % 90
+    ring = [(mixed(i), mixed((i + 1) % 90)) for i in range(90)] + [(5, 200), (200, 201), (201, 300), (300, 301), (301, 300)]
+    got = {r.node: r.component for r in graph.strong_components(edges_of(spark, ring), max_rounds=16).collect()}
+    assert got == {i: 0 for i in range(90)} | {300: 300, 301: 300}
