@@ -139,8 +139,13 @@ def listed_sheets(text: Column) -> Column:
 
 
 def output_reference(raw: Column) -> Column:
-    """Struct of tag, point and target_cad of an output reference's text; null where nothing is left of it."""
+    """Struct of tag, point and target_cad of an output reference's text; null where nothing is left of it.
+
+    Digits of the tag are no target, however many they are.
+    """
     text = F.trim(F.regexp_replace(raw, REFERENCE_HEAD, ""))
     first = lambda form: F.nullif(F.regexp_extract(text, form, 1), F.lit(""))
-    found = F.struct(F.coalesce(first(REFERENCE_TAG), first(REFERENCE_DEVICE)).alias("tag"), first(REFERENCE_POINT).alias("point"), first(REFERENCE_TARGET).alias("target_cad"))
+    rest = F.regexp_replace(text, REFERENCE_TAG, " ")
+    target = F.nullif(F.regexp_extract(rest, REFERENCE_TARGET, 1), F.lit(""))
+    found = F.struct(F.coalesce(first(REFERENCE_TAG), first(REFERENCE_DEVICE)).alias("tag"), first(REFERENCE_POINT).alias("point"), target.alias("target_cad"))
     return F.when(text != "", found)

@@ -70,3 +70,23 @@ def test_each_seeded_defect_is_found(spark, defect, rows):
     scene = {"specs": spark.createDataFrame([(1, "a"), (2, "b")], "ref int, text string")}
     found = {r.defect for r in reports.document_defects(scene, {"specs": spark.createDataFrame(rows, "ref int, text string")}).collect()}
     assert found == ({defect} if defect else set())
+
+
+def test_digits_of_a_tag_are_no_target(spark):
+    from plantlens.plans import details
+
+    df = spark.createDataFrame([("OREF DI7-1A/1200000 BA02-07.07 30000L6A",), ("OREF DI7-1A/12 BA02-07.07",)], "raw string")
+    got = [tuple(r.r) for r in df.select(details.output_reference(F.col("raw")).alias("r")).collect()]
+    assert got == [("DI7-1A/1200000", "BA02-07.07", "30000L6A"), ("DI7-1A/12", "BA02-07.07", None)]
+
+
+def test_places_meet_once(spark):
+    """Copies in one place don't meet one by one: 3,000 labels and blocks in two places settle at once, the least block wins."""
+    from plantlens.plans import loops, relational
+
+    labels = spark.range(3000).select(F.lit("s").alias("sheet"), F.col("id").alias("label_id"), (F.col("id") % 2 * 8.0 + 5).alias("x"), F.lit(12.0).alias("y"))
+    blocks = spark.range(3000).select(F.lit("s").alias("sheet"), F.col("id").alias("block"), (F.col("id") % 2 * 8.0).alias("bx"), F.lit(0.0).alias("by"), F.lit(10).alias("height"), F.col("id").alias("ord"))
+    got = loops.label_blocks(labels, blocks)
+    assert got.count() == 3000 and {r.block for r in got.select("block").distinct().collect()} == {1}
+    parts = spark.createDataFrame([(k, "T", 5, 9.0) for k in range(4)] + [(9, "T", 6, 9.0)], "p_partkey long, p_type string, p_size int, p_retailprice double")
+    assert {r.p_partkey: (r.label, r.score) for r in relational._nearest(parts, parts).collect()} == {0: (1, 0.0), 1: (0, 0.0), 2: (0, 0.0), 3: (0, 0.0), 9: (0, 0.1)}
