@@ -45,13 +45,15 @@ def counts_by_type(points: DataFrame) -> DataFrame:
 def label_blocks(labels: DataFrame, blocks: DataFrame) -> DataFrame:
     """The block that each label (sheet, label_id, x, y) stands over: nearest in a window, by dy + dx / 10, first on ties.
 
-    blocks: sheet, block, bx, by, height, ord. Labels and blocks of a sheet meet by cells of the x axis.
+    blocks: sheet, block, bx, by, height, ord. Labels and blocks of a sheet meet by cells of the x axis, each place once: of
+    the blocks in one place only the first can be nearest, and labels in one place have the same block.
     """
-    pairs = near(labels, blocks.withColumnRenamed("bx", "right_x"), ["sheet"], "x", 320)
+    spots = blocks.groupBy("sheet", F.col("bx").alias("right_x"), "by", "height").agg(F.min("ord").alias("ord"), F.min_by("block", F.struct("ord", "block")).alias("block"))
+    pairs = near(labels.select("sheet", "x", "y").distinct(), spots, ["sheet"], "x", 320)
     pairs = pairs.withColumns({"dx": F.col("x") - F.col("right_x"), "dy": F.col("y") - F.col("by") - F.col("height")})
     inside = pairs.where("dx between -20 and 320 and dy between -10 and 70")
-    best = inside.groupBy("sheet", "label_id").agg(F.min_by("block", F.struct(F.col("dy") + 0.1 * F.col("dx"), "ord")).alias("block"))
-    return best
+    best = inside.groupBy("sheet", "x", "y").agg(F.min(F.struct((F.col("dy") + 0.1 * F.col("dx")).alias("score"), "ord", "block")).alias("b"))
+    return labels.join(best, ["sheet", "x", "y"]).groupBy("sheet", "label_id").agg(F.min_by("b.block", "b").alias("block"))
 
 
 def loop_candidates(devices: DataFrame, edges: DataFrame, nodes: DataFrame, labels: DataFrame, max_hops: int = 5) -> DataFrame:
