@@ -162,8 +162,10 @@ def analog_ranges(points: DataFrame, blocks: DataFrame, specs: DataFrame, wires:
     rows = points.where(F.col("io_type").isin(*RANGES)).withColumns({"fc": kind(0), "per": kind(1), "slave": number("slave"), "channel": F.expr("try_cast(channel AS int)")})
     rows = rows.withColumn("chan_rank", F.floor((F.col("channel") - 1) / F.col("per")).cast("int"))
 
-    drawn = wires.groupBy("point").agg(F.count("*").alias("n_wires"), F.min(F.struct("block", "pin")).alias("w"))
-    by_wire = rows.join(drawn, "point").join(ranked.select("module", F.col("fc").alias("wired_fc"), F.col("block").alias("at"), "rank"), (rows["module"] == ranked["module"]) & (F.col("w.block") == F.col("at")), "left").drop(ranked["module"])
+    # sizes are estimated from compressed columns; nothing that grows with the blocks may be gathered for a broadcast
+    ranked = ranked.hint("merge")
+    drawn = wires.groupBy("point").agg(F.count("*").alias("n_wires"), F.min(F.struct("block", "pin")).alias("w")).hint("merge")
+    by_wire = rows.join(drawn, "point").join(ranked.select("module", F.col("fc").alias("wired_fc"), F.col("block").alias("at"), "rank").hint("merge"), (rows["module"] == ranked["module"]) & (F.col("w.block") == F.col("at")), "left").drop(ranked["module"])
     pin = F.when(F.col("io_type") == "AI", F.expr("try_cast(nullif(regexp_extract(w.pin, '^R([0-9]+)$', 1), '') AS int)"))
     pin = F.when(pin.between(1, F.col("per")), pin)
     placed = F.col("channel") - F.col("rank") * F.col("per")
@@ -171,14 +173,15 @@ def analog_ranges(points: DataFrame, blocks: DataFrame, specs: DataFrame, wires:
     agree = (F.col("chan_rank") == F.col("rank")) & F.coalesce(pin == placed, F.lit(True))
     position = F.when(F.col("n_wires") > 1, None).when(both, F.when(agree, placed)).otherwise(pin)
     wired = by_wire.select("point", "module", "fc", "io_type", F.col("at").alias("block"), position.alias("position"), F.when(both, "EXTRACTED").otherwise("DERIVED").alias("zero_status"))
-    loose = rows.join(drawn.select("point"), "point", "left_anti")
+    loose = rows.join(drawn.select("point").hint("merge"), "point", "left_anti")
     by_rank = loose.join(ranked.withColumnRenamed("rank", "chan_rank"), ["module", "slave", "fc", "chan_rank"], "left")
     unwired = by_rank.select("point", "module", "fc", "io_type", "block", F.when(F.col("block").isNotNull(), F.col("channel") - F.col("chan_rank") * F.col("per")).alias("position"), F.lit("DERIVED").alias("zero_status"))
 
     place = wired.union(unwired).withColumn("zero_spec", kind(2) + kind(3) * F.col("position")).withColumn("span_spec", F.col("zero_spec") + 1)
     value = specs.groupBy("module", "block", "number").agg(F.when(F.count_distinct("value") == 1, F.min("value")).alias("value"))
     for name in ("zero", "span"):
-        place = place.join(value.select("module", "block", F.col("number").alias(f"{name}_spec"), F.col("value").alias(name)), ["module", "block", f"{name}_spec"], "left")
+        of_name = value.select("module", "block", F.col("number").alias(f"{name}_spec"), F.col("value").alias(name)).hint("merge")
+        place = place.join(of_name, ["module", "block", f"{name}_spec"], "left")
     known = F.col("zero").isNotNull() & F.col("span").isNotNull()
     high = F.when(known, add_decimal_text("zero", "span"))
     return place.select("point", "block", "position", F.when(known, F.col("zero")).alias("low"), F.when(known, F.col("zero_status")).otherwise("UNRESOLVED").alias("low_status"), high.alias("high")).withColumn("high_status", F.when(F.col("high").isNotNull(), "DERIVED").otherwise("UNRESOLVED"))

@@ -90,3 +90,10 @@ def test_places_meet_once(spark):
     assert got.count() == 3000 and {r.block for r in got.select("block").distinct().collect()} == {1}
     parts = spark.createDataFrame([(k, "T", 5, 9.0) for k in range(4)] + [(9, "T", 6, 9.0)], "p_partkey long, p_type string, p_size int, p_retailprice double")
     assert {r.p_partkey: (r.label, r.score) for r in relational._nearest(parts, parts).collect()} == {0: (1, 0.0), 1: (0, 0.0), 2: (0, 0.0), 3: (0, 0.0), 9: (0, 0.1)}
+
+
+def test_ranges_are_never_broadcast(spark):
+    from plantlens.plans import direct
+
+    plan = direct.range_lookup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
