@@ -60,10 +60,16 @@ def decode_payload(types: list[str], payload: bytes) -> list[float | int] | None
     return list(struct.unpack(layout, payload)) if struct.calcsize(layout) == len(payload) else None
 
 
+def length_of(dx: Column, dy: Column) -> Column:
+    """Length of a vector. Equal sums of squares have equal lengths, which hypot doesn't promise."""
+    dx, dy = dx.cast("double"), dy.cast("double")
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def box_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance of a point from a box, 0 inside."""
     zero = F.lit(0.0)
-    return F.hypot(F.greatest(x1 - x, zero, x - x2), F.greatest(y1 - y, zero, y - y2))
+    return length_of(F.greatest(x1 - x, zero, x - x2), F.greatest(y1 - y, zero, y - y2))
 
 
 def in_box(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -71,12 +77,19 @@ def in_box(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column)
 
 
 def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Struct of the distance from a segment, and whether the nearest point lies strictly inside it."""
+    """Struct of the distance from a segment, and whether the nearest point lies strictly inside it.
+
+    Along an axis the nearest point is a bound or the point's own place, without the rounding of a quotient: points on such a
+    segment have distance 0 exactly.
+    """
     dx, dy = x2 - x1, y2 - y1
     length = dx * dx + dy * dy
     t = F.when(length > 0, ((x - x1) * dx + (y - y1) * dy) / length).otherwise(0.0)
     near = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return F.struct(F.hypot(x - (x1 + near * dx), y - (y1 + near * dy)).alias("distance"), ((t > 0) & (t < 1)).alias("interior"))
+    held = lambda v, a, b: F.greatest(F.least(v, F.greatest(a, b)), F.least(a, b))
+    near_x = F.when(dx == 0, x1).when(dy == 0, held(x, x1, x2)).otherwise(x1 + near * dx)
+    near_y = F.when(dy == 0, y1).when(dx == 0, held(y, y1, y2)).otherwise(y1 + near * dy)
+    return F.struct(length_of(x - near_x, y - near_y).alias("distance"), ((t > 0) & (t < 1)).alias("interior"))
 
 
 def zone(value: Column, origin: Column, pitch: Column) -> Column:

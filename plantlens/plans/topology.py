@@ -55,7 +55,7 @@ def classify_ends(ends: DataFrame, junctions: DataFrame, connectors: DataFrame,
         spots = things.where(F.col(x).isNotNull()).select("sheet", "ref", F.col(x).alias("x1"), F.col(x).alias("x2"), F.col(y).alias("y1"))
         return _beside(ends, spots, EXACT)
 
-    to_spot = F.hypot(F.col("x") - F.col("x1"), F.col("y") - F.col("y1"))
+    to_spot = numbers.length_of(F.col("x") - F.col("x1"), F.col("y") - F.col("y1"))
     to_box = numbers.box_distance(*box)
     tee = _beside(ends, segments(wires).withColumnRenamed("wire", "ref"), TEE).where("wire <> ref").withColumn("d", numbers.segment_distance(*box)["distance"])
     near_blocks, in_connectors = _beside(ends, blocks, NEAR), _beside(ends, connectors, 0)
