@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plantlens.operators import ordering
+from plantlens.operators import graph, ordering
 from plantlens.plans import scene, terminals
 from plantlens.registry import Registry, table
 
@@ -40,14 +40,14 @@ def drawn_symbols(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     row = c("l_suppkey") % 4
     x = F.when(c("z") % 10 == 9, 50).when(c("l_linenumber") % 2 == 1, 0).otherwise(100)
     y = F.when(c("z") % 10 == 7, -10 * row * row).when(c("z") % 10 == 8, -20).otherwise(F.when((c("z") % 10).isin(3, 4), 20).otherwise(0) - row * (10 + 5 * (c("z") % 3)))
-    spots = line.join(blocks.select("block", "z"), c("l_partkey") == c("block")).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "block", x.alias("x"), y.alias("y"))
+    spots = line.join(blocks.select("block", "z").hint("merge"), c("l_partkey") == c("block")).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "block", x.alias("x"), y.alias("y"))
     pins = spots.groupBy("block", "x", "y").agg(F.bool_or(c("l_quantity") > 45).alias("drawn"), F.bool_or(c("l_returnflag") == "R").alias("wired"))
     pins = pins.withColumn("pin", F.when(c("drawn"), F.concat(F.when(c("x") == 0, "L").otherwise("R"), text(c("y"))))).drop("drawn")
     count = lambda side, many, label: blocks.where(many > 0).select("block", F.lit(side).alias("side"), F.explode(F.sequence(F.lit(0), many - 1)).alias("n")).withColumn("label", label)
     inputs = count("input", (c("z") % 5).cast("int"), F.concat(F.lit("S"), text(c("n") + 1)))
     labels = inputs.union(count("output", (c("z") % 4).cast("int"), F.when(c("n") == 0, "N").otherwise(F.concat(F.lit("N+"), text(c("n"))))))
     driver = spots.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("block").alias("driver"), c("x").alias("driver_x"), c("y").alias("driver_y"))
-    wired = spots.where("l_linenumber % 2 = 1").join(driver, ["l_orderkey", "l_linenumber"]).withColumn("ord", c("l_orderkey") * 10 + c("l_linenumber"))
+    wired = spots.where("l_linenumber % 2 = 1").join(driver.hint("merge"), ["l_orderkey", "l_linenumber"]).withColumn("ord", c("l_orderkey") * 10 + c("l_linenumber"))
     label = F.concat(F.lit("S"), text(1 + (c("l_suppkey") + F.when(c("l_quantity") > 49, 1).otherwise(0)) % 4))
     specs = wired.select("block", label.alias("label"), (c("driver") + F.round("l_quantity").cast("long") % 3).alias("value")).distinct()
     offsets = blocks.select("block", F.explode(F.when(c("block") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("offset"))
@@ -120,7 +120,8 @@ def terminal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slot_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = drawn_symbols(spark, sf_dir)
     claims = terminals.wired_claims(t["links"], t["specs"], t["offsets"], t["blocks"], t["labels"])
-    plans = terminals.slot_plans(t["blocks"], terminals.sided_pins(t["pins"], t["blocks"]), t["labels"], terminals.proven_places(claims, t["blocks"]))
+    sided, proven = graph.stored(terminals.sided_pins(t["pins"], t["blocks"])), graph.stored(terminals.proven_places(claims, t["blocks"]))
+    plans = terminals.slot_plans(t["blocks"], sided, t["labels"], proven)
     return plans.drop("lowest", "highest")
 
 

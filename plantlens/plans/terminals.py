@@ -10,6 +10,8 @@ kind has taken is closed to all later ones. Every kind is a join of its own that
 * PITCH_SLOT (INFERRED): labels lie on a grid that all rows witnessed on instances of the symbol fit;
 * GLYPH_PITCH (INFERRED): nothing is wired; rows at the module's pitch from the top of the symbol.
 
+Joins are merged, none is broadcast: tables of blocks and labels compress so well that they look small enough to be collected.
+
 Places are relative to a block's insertion point, y upwards. Sides are `input` (left) and `output` (right).
 
 blocks (block, name, key, address, left, right, low, high, rotated, multiple): key is name and size; the box is relative;
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.operators import ordering
+from plantlens.operators import graph, ordering
 from plantlens.plans.reports import common_pitch
 
 #: Parts of a box's width that are its sides, the least pitch, the slack of a box, and the distance of the top row
@@ -37,7 +39,7 @@ def sided_pins(pins: DataFrame, blocks: DataFrame) -> DataFrame:
     """pins with key, name and side of their block; pins in its middle have no side and are left out."""
     part = (F.col("x") - F.col("left")) / F.greatest(F.lit(1), F.col("right") - F.col("left"))
     side = F.when(part <= LEFT, "input").when(part >= RIGHT, "output")
-    return pins.join(blocks.select("block", "name", "key", "left", "right"), "block").withColumn("side", side).drop("left", "right").where("side is not null")
+    return pins.join(blocks.select("block", "name", "key", "left", "right").hint("merge"), "block").withColumn("side", side).drop("left", "right").where("side is not null")
 
 
 def wired_claims(links: DataFrame, specs: DataFrame, offsets: DataFrame, blocks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -51,20 +53,20 @@ def wired_claims(links: DataFrame, specs: DataFrame, offsets: DataFrame, blocks:
     upright = blocks.where(~F.col("rotated"))
     printed = labels.select("block", "side", "label").distinct()
     inputs = printed.where("side = 'input'").drop("side")
-    asked = links.join(upright.select("block"), "block", "left_semi").join(blocks.select(F.col("block").alias("driver"), "address", F.col("rotated").alias("driver_rotated")), "driver")
+    asked = links.join(upright.select("block").hint("merge"), "block", "left_semi").join(blocks.select(F.col("block").alias("driver"), "address", F.col("rotated").alias("driver_rotated")).hint("merge"), "driver")
     outputs = offsets.select(F.col("block").alias("driver"), "offset").distinct()
-    hits = asked.join(specs.join(inputs, ["block", "label"], "left_semi"), "block").withColumn("offset", F.col("value") - F.col("address")).join(outputs, ["driver", "offset"], "left_semi")
+    hits = asked.join(specs.join(inputs.hint("merge"), ["block", "label"], "left_semi").hint("merge"), "block").withColumn("offset", F.col("value") - F.col("address")).join(outputs.hint("merge"), ["driver", "offset"], "left_semi")
     link = ["ord", "block", "x", "y", "driver", "driver_x", "driver_y"]
     single = hits.groupBy(*link).agg(F.count("*").alias("hits"), *[F.first(c).alias(c) for c in ("label", "offset", "driver_rotated")]).where("hits = 1")
     sinks = single.select("block", F.lit("input").alias("side"), "label", "x", "y", "ord")
     named = F.when(F.col("offset") == 0, "N").otherwise(F.concat(F.lit("N+"), F.col("offset").cast("string")))
     drivers = single.where(~F.col("driver_rotated")).select(F.col("driver").alias("block"), F.lit("output").alias("side"), named.alias("label"), F.col("driver_x").alias("x"), F.col("driver_y").alias("y"), "ord")
-    return sinks.union(drivers.join(printed, ["block", "side", "label"], "left_semi"))
+    return sinks.union(drivers.join(printed.hint("merge"), ["block", "side", "label"], "left_semi"))
 
 
 def proven_places(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     """(key, label, places, place_x, place_y): at how many places instances of a symbol prove a label; the least one."""
-    spots = claims.join(blocks.select("block", "key"), "block").select("key", "label", "x", "y").distinct()
+    spots = claims.join(blocks.select("block", "key").hint("merge"), "block").select("key", "label", "x", "y").distinct()
     return spots.groupBy("key", "label").agg(F.count("*").alias("places"), F.min(F.struct("x", "y")).alias("p")).select("key", "label", "places", F.col("p.x").alias("place_x"), F.col("p.y").alias("place_y"))
 
 
@@ -93,11 +95,11 @@ def slot_plans(blocks: DataFrame, sided: DataFrame, labels: DataFrame, proven: D
     sides = blocks.where(~c("rotated")).withColumn("side", F.explode(F.array(F.lit("input"), F.lit("output"))))
     counts = labels.groupBy("block", "side").agg(F.count("*").alias("n"))
     edges = sided.groupBy("block", "side").agg(F.when(c("side") == "input", F.min("x")).otherwise(F.max("x")).alias("edge"))
-    own = sided.join(edges, ["block", "side"]).where("x = edge").groupBy("block", "side", "edge").agg(rows_of("y").alias("rows"))
+    own = sided.join(edges.hint("merge"), ["block", "side"]).where("x = edge").groupBy("block", "side", "edge").agg(rows_of("y").alias("rows"))
     symbol = sided.groupBy("name", "side", c("x").alias("edge")).agg(rows_of("y").alias("all_rows"))
-    first = proven.where("places = 1").join(blocks.select("block", "key"), "key").join(labels, ["block", "label"])
+    first = proven.where("places = 1").join(blocks.select("block", "key").hint("merge"), "key").join(labels.hint("merge"), ["block", "label"])
     first = first.groupBy("block", "side").agg(F.min(F.struct("n", c("place_y").alias("y"))).alias("known"))
-    df = sides.join(counts, ["block", "side"], "left").join(own, ["block", "side"], "left").join(symbol, ["name", "side", "edge"], "left").join(first, ["block", "side"], "left")
+    df = sides.join(counts.hint("merge"), ["block", "side"], "left").join(own.hint("merge"), ["block", "side"], "left").join(symbol.hint("merge"), ["name", "side", "edge"], "left").join(first.hint("merge"), ["block", "side"], "left")
     df = df.join(F.broadcast(module_pitches(sided)), "side", "left")  # two rows at most
 
     is_input, module, more = c("side") == "input", c("module_pitch"), F.coalesce("n", F.lit(0)) - 1
@@ -155,17 +157,18 @@ def label_terminals(blocks: DataFrame, pins: DataFrame, labels: DataFrame, links
     largest ord counts.
     """
     c = F.col
-    sided = sided_pins(pins, blocks)
-    claims = wired_claims(links, specs, offsets, blocks, labels)
-    proven = proven_places(claims, blocks)
+    # steps that later ones read several times are stored, which keeps the plan, and the driver with it, small
+    sided = graph.stored(sided_pins(pins, blocks))
+    claims = graph.stored(wired_claims(links, specs, offsets, blocks, labels))
+    proven = graph.stored(proven_places(claims, blocks))
     explicit = claims.groupBy("block", "side", "label").agg(F.max(F.struct("ord", "x", "y")).alias("e"))
     drawn = sided.where("pin is not null").withColumn("n", F.row_number().over(Window.partitionBy("block", "side").orderBy(F.desc("y"), "x")) - 1)
-    counts = drawn.groupBy("block", "side").agg(F.count("*").alias("drawn")).join(labels.groupBy("block", "side").agg(F.count("*").alias("printed")), ["block", "side"]).where("drawn = printed")
-    exact = drawn.join(counts, ["block", "side"], "left_semi").select("block", "side", "n", F.struct("x", "y").alias("d"))
-    plans = slot_plans(blocks, sided, labels, proven)
+    counts = drawn.groupBy("block", "side").agg(F.count("*").alias("drawn")).join(labels.groupBy("block", "side").agg(F.count("*").alias("printed")).hint("merge"), ["block", "side"]).where("drawn = printed")
+    exact = drawn.join(counts.hint("merge"), ["block", "side"], "left_semi").select("block", "side", "n", F.struct("x", "y").alias("d"))
+    plans = graph.stored(slot_plans(blocks, sided, labels, proven))
     upright = blocks.where(~c("rotated")).select("block", "key")
 
-    asked = labels.join(upright, "block").join(explicit, ["block", "side", "label"], "left").join(proven, ["key", "label"], "left").join(exact, ["block", "side", "n"], "left").join(plans, ["block", "side"], "left")
+    asked = labels.join(upright.hint("merge"), "block").join(explicit.hint("merge"), ["block", "side", "label"], "left").join(proven.hint("merge"), ["key", "label"], "left").join(exact.hint("merge"), ["block", "side", "n"], "left").join(plans.hint("merge"), ["block", "side"], "left")
     row = c("anchor") - c("n") * c("pitch")
     on_grid = c("anchor").isNotNull() & (c("lowest").isNull() | row.between(c("lowest"), c("highest")))
     kinds = [
@@ -188,12 +191,13 @@ def label_terminals(blocks: DataFrame, pins: DataFrame, labels: DataFrame, links
         pick([F.lit(None)] * 2 + [F.lit("SEVERAL_PLACES")] + [F.lit(None)] * 2, F.coalesce("refusal", F.lit("BEYOND_WITNESSED_ROWS"))).alias("reason"),
     )
     spots = sided.select("block", "side", c("x").cast("double").alias("x"), c("y").cast("double").alias("y"), "pin", "wired", F.lit(True).alias("held"))
-    placed = answered.join(spots, ["block", "side", "x", "y"], "left")
+    answered = graph.stored(answered)
+    placed = answered.join(spots.hint("merge"), ["block", "side", "x", "y"], "left")
     position = F.when(c("x").isNull(), "UNRESOLVED").when(c("held").isNull(), "INFERRED").when(c("wired"), "EXPLICIT").otherwise("DERIVED")
     out = ["block", "side", "n", "label", "pin", "x", "y", "wired", "association", "method", "position_status", "reason"]
     found = placed.withColumns({"method": c("how"), "position_status": position, "wired": F.coalesce("wired", F.lit(False))}).select(*out)
-    free = spots.where("pin is not null").join(answered.where("x is not null").select("block", "side", "x", "y").distinct(), ["block", "side", "x", "y"], "left_anti")
-    free = free.join(blocks.select("block", "rotated"), "block")
+    free = spots.where("pin is not null").join(answered.where("x is not null").select("block", "side", "x", "y").distinct().hint("merge"), ["block", "side", "x", "y"], "left_anti")
+    free = free.join(blocks.select("block", "rotated").hint("merge"), "block")
     return found.unionByName(free.select(
         "block", "side", F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("label"), "pin", "x", "y", "wired", F.lit("UNRESOLVED").alias("association"), F.lit("NONE").alias("method"),
         F.when(c("wired"), "EXPLICIT").otherwise("DERIVED").alias("position_status"), F.when(c("rotated"), "ROTATED").otherwise("UNCLAIMED").alias("reason"),
