@@ -205,7 +205,7 @@ def record_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT l_orderkey::VARCHAR, (k + 3 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::INTEGER, 'first', l_linenumber::VARCHAR, l_linenumber FROM p
     UNION ALL SELECT l_orderkey::VARCHAR, (k + 2 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::INTEGER, 'value', concat(l_partkey, ' Ghost+'), NULL FROM p""")
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.decode_records(display_files(spark, sf_dir)).where("field in ('y', 'first', 'value')").select("path", "id", "field", "value", "target")
+    return records.decode_records(display_files(spark, sf_dir), ("path", "id", "field", "value", "target"), ("y", "first", "value"))
 
 
 @query("""
