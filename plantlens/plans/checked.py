@@ -196,7 +196,7 @@ def display_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {_RECORDS} SELECT file::VARCHAR AS path, 3 * n + odd + bad AS records, (n * 19 + n * (19 + 8) + digits + n * (13 + 8) + odd * 11 + bad * 19)::BIGINT AS typed_bytes, odd * 2 + bad AS unresolved_bytes, 0::BIGINT AS missing_bytes, bad AS errors FROM f""")
 def record_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = display_files(spark, sf_dir)
-    return records.field_coverage(records.decode_records(files), files.select("path", F.octet_length("content").alias("length")))
+    return records.field_coverage(records.decode_records(files, ("path", "error", "n", "type", "bytes")), files.select("path", F.octet_length("content").alias("length")))
 
 
 @query("""
