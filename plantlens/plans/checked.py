@@ -225,7 +225,7 @@ def library_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = lines.groupBy("l_orderkey", "head", "model").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["p"]), "").alias("points"))
     copies = whole.select("l_orderkey", "head", "model", F.explode(F.array(F.struct(F.lit(0).alias("root"), c("points")), F.struct(F.lit(1).alias("root"), F.lit("").alias("points")))).alias("r"))
     path = F.concat(F.when(c("r.root") == 0, "/first/T").otherwise("/second/t"), c("l_orderkey").cast("string"), F.when(c("r.root") == 0, ".m1").otherwise(".M1"))
-    fields = records.template_library(copies.select("r.root", path.alias("path"), F.unhex(F.concat("head", "model", "r.points")).alias("content")))
+    fields = records.template_library(copies.select("r.root", path.alias("path"), F.unhex(F.concat("head", "model", "r.points")).alias("content")), ("path", "class", "field", "value"), ("y",))
     return fields.where("class = 'Point' and field = 'y'").groupBy("template").agg(F.count("*").alias("points"), F.sum(c("value").cast("double")).alias("total"))
 
 
