@@ -60,7 +60,8 @@ def parse_cross_reference(lines: DataFrame, key: str = "file") -> DataFrame:
     blanks or more continue its destinations. Dashes, column headers and blank lines are no rows.
     """
     line = F.col("line")
-    header = F.regexp_extract(line, SECTION, 1) != ""
+    # a pattern that begins with any text is tried from every place, so only lines that can be headers are
+    header = line.contains(".CAD") & (F.regexp_extract(line, SECTION, 1) != "")
     noise = header | line.rlike(r"^\s*(-[-\s]*)?\z") | line.rlike(r"(?i)^\s*description\s+source\b")
     continued = line.rlike(r"^\s{20,}\S")
     marked = lines.withColumns({"__sheet": F.when(header, F.upper(F.regexp_extract(line, SECTION, 1))), "__way": F.when(header, F.regexp_extract(line, SECTION, 2))})
