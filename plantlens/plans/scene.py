@@ -18,6 +18,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantlens.operators import graph
+
+#: Sheets over part_rows rows up to which their table is broadcast; rows of a task, which folds them twice and shouldn't spill them.
+BROADCAST_SHEETS, TASK_ROWS = 1 << 16, 1 << 19
 BLOCK_RELATIONS = ("blocks", "records", "terminals", "specs", "outputs")
 SHEET_RELATIONS = ("wires", "connections", "references", "channels", "unknown")
 
@@ -32,12 +36,16 @@ def _stacked(relations: dict[str, DataFrame], part_rows: int) -> DataFrame:
         held = F.struct(*[F.col(c) for c in df.columns if c not in ("file", "block")])
         place = F.xxhash64(own) if kind in BLOCK_RELATIONS else F.xxhash64("id")
         rows.append(df.select("file", own.cast("long").alias("block"), place.alias("place"), held.alias(kind)))
-    counts = reduce(DataFrame.union, [r.select("file") for r in rows]).groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > part_rows)
-    large = counts.select("file", F.ceil(F.col("n") / part_rows).alias("parts"))
+    counts = graph.stored(reduce(DataFrame.union, [r.select("file") for r in rows]).groupBy("file").agg(F.count("*").alias("n")))
+    total, found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > part_rows)).first()
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    # few sheets are that large, so their table is small, and Spark broadcasts it below its own bound
-    part = F.coalesce(F.pmod("place", "parts"), F.lit(0)).cast("int")
-    return stacked.join(large, "file", "left").withColumn("part", part).drop("place", "parts").repartition("file", "part")
+    part = F.lit(0)
+    if found:  # a join whose size Spark doesn't know would move all rows once more
+        large = counts.where(F.col("n") > part_rows).select("file", F.ceil(F.col("n") / part_rows).alias("parts"))
+        stacked = stacked.join(F.broadcast(large) if found <= BROADCAST_SHEETS else large, "file", "left")
+        part = F.coalesce(F.pmod("place", "parts"), F.lit(0)).cast("int")
+    tasks = -(-total // TASK_ROWS)
+    return stacked.withColumn("part", part).drop("place", "parts").repartition(*([tasks] if tasks > 1 else []), "file", "part")
 
 
 def _sorted(kind: str) -> Column:
