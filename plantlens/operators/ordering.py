@@ -68,21 +68,23 @@ def pair_neighbours(rows: DataFrame, keys: list[str], at: str, likeness: str, le
     likeness is that of a row with the next one, `at` counts 0, 1, 2, ... within a key. A row is a candidate if its likeness
     is above `least` and above the next row's, and begins a pair if it is a candidate and isn't the second of one itself. After
     a row that is none the choice starts anew, so a row's state is its distance from the last such row, counted from both
-    sides of the borders of chunks: first within chunks, then over chunks. So a long key is many tasks.
+    sides of the borders of chunks: first within chunks, then over chunks. So a long key is many tasks. A chunk also gets the
+    first row of the next one, so that rows are moved and sorted once and only chunks meet them.
     """
     part = Window.partitionBy(*keys, "__chunk").orderBy(at)
-    chunked = rows.withColumn("__chunk", F.floor(F.col(at) / chunk))
+    home = F.floor(F.col(at) / chunk)
+    chunked = rows.withColumn("__chunk", F.explode(F.when(F.col(at) % chunk == 0, F.array(home, home - 1)).otherwise(F.array(home))))
     own = F.coalesce(F.col(likeness), F.lit(-1.0))  # a row without a likeness is less like the next one than any other
-    heads = chunked.groupBy(*keys, "__chunk").agg(F.min_by(own, at).alias("__first"))
-    heads = heads.select(*keys, (F.col("__chunk") - 1).alias("__chunk"), "__first")
-    after = F.coalesce(F.lead(own).over(part), F.col("__first"), F.lit(-1.0))
-    marked = chunked.join(heads, [*keys, "__chunk"], "left").withColumn("__next", after)
+    after = F.coalesce(F.lead(own).over(part), F.lit(-1.0))
+    marked = chunked.withColumn("__next", after)
     marked = marked.withColumn("__can", F.coalesce((F.col(likeness) > least) & (F.col(likeness) > F.col("__next")), F.lit(False)))
-    last = marked.groupBy(*keys, "__chunk").agg(F.max(F.when(~F.col("__can"), F.col(at))).alias("__last"))
+    free = F.max(F.when(~F.col("__can"), F.col(at))).over(part.rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("__free", free).where(F.col("__chunk") == home)
+    last = marked.groupBy(*keys, "__chunk").agg(F.max("__free").alias("__last"))
     before = F.max("__last").over(Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
     carried = marked.join(last.withColumn("__before", before).drop("__last"), [*keys, "__chunk"])
-    free = F.coalesce(F.max(F.when(~F.col("__can"), F.col(at))).over(part), F.col("__before"), F.lit(-1))
-    return carried.withColumn("pair", F.when(F.col("__can") & ((F.col(at) - free) % 2 == 1), F.col(at) + 1)).drop("__chunk", "__first", "__next", "__can", "__before")
+    state = F.col(at) - F.coalesce("__free", "__before", F.lit(-1))
+    return carried.withColumn("pair", F.when(F.col("__can") & (state % 2 == 1), F.col(at) + 1)).drop("__chunk", "__next", "__can", "__free", "__before")
 
 
 def zip_ordinals(left: DataFrame, right: DataFrame, keys: list[str], left_order: Columns, right_order: Columns) -> DataFrame:
