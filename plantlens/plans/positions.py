@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.operators import joins
@@ -14,44 +16,34 @@ FORMS = {"s_label": r"^S\d+$", "sub_block_number": r"^\d{1,5}$"}
 OTHER_FORM = r"^[A-Z/]{1,4}$"
 
 
-def _determinant(m: list[list[Column]]) -> Column:
-    (a, b, c), (d, e, f), (g, h, i) = m
-    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-
-
 def sheet_fits(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """(sheet, anchors, ax, bx, cx, ay, by, cy, residual, usable): X = ax x + bx y + cx, Y = ay x + by y + cy, by least squares.
 
     texts (sheet, text, x, y), runs (sheet, text, x, y). Anchors are texts that stand once on the sheet and once on its plot. One
-    row of sums for each sheet, from which the normal equations are solved in the row. Fewer than three anchors, anchors on
-    one line or a residual above 2 make a fit unusable.
+    row of moments about the means for each sheet, from which the normal equations are solved in the row. Fewer than three anchors,
+    anchors on one line or a residual above 2 make a fit unusable. Anchors without a place count, but don't take part in it. Texts
+    and runs are counted together by text, so that they meet without a join.
     """
     c = F.col
-    single = lambda df, x, y: df.groupBy("sheet", F.trim("text").alias("text")).agg(F.count("*").alias("n"), F.min("x").cast("double").alias(x), F.min("y").cast("double").alias(y)).where("n = 1").drop("n")
-    pairs = single(texts, "x", "y").join(single(runs, "px", "py"), ["sheet", "text"])
-    # places are taken from the means, which keeps the sums small
-    means = pairs.groupBy("sheet").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    near = pairs.join(means, "sheet").withColumns({"u": c("x") - c("mx"), "v": c("y") - c("my")})
-    names = {"n": F.lit(1.0), "u": c("u"), "v": c("v"), "uu": c("u") * c("u"), "uv": c("u") * c("v"), "vv": c("v") * c("v")}
-    names |= {f"{p}{k}": c(f"p{p}") * (c(k) if k != "1" else 1) for p in ("x", "y") for k in ("u", "v", "1")}
-    sums = near.groupBy("sheet", "mx", "my").agg(*[F.sum(e).alias(f"s_{k}") for k, e in names.items()])
-    s = lambda k: c(f"s_{k}")
-    normal = [[s("uu"), s("uv"), s("u")], [s("uv"), s("vv"), s("v")], [s("u"), s("v"), s("n")]]
-    whole = _determinant(normal)
-    fits = sums.withColumn("det", whole).where((c("s_n") >= ANCHORS) & (F.abs("det") > 1e-9))
-
-    def solved(p: str, column: int) -> Column:
-        right = [s(f"{p}u"), s(f"{p}v"), s(f"{p}1")]
-        return _determinant([[right[r] if k == column else normal[r][k] for k in range(3)] for r in range(3)]) / c("det")
-
-    slopes = {f"{k}{p}": solved(p, n) for p in ("x", "y") for n, k in enumerate("abc")}
-    fits = fits.select("sheet", "mx", "my", *[e.alias(k) for k, e in slopes.items()])
-    shift = {f"c{p}": c(f"c{p}") - c(f"a{p}") * c("mx") - c(f"b{p}") * c("my") for p in ("x", "y")}
-    fits = fits.withColumns(shift).drop("mx", "my")
+    side = lambda df, n: df.select("sheet", F.trim("text").alias("text"), F.lit(n).alias("run"), c("x").cast("double").alias("x"), c("y").cast("double").alias("y"))
+    both = side(texts, 0).unionByName(side(runs, 1)).dropna(subset=["sheet", "text"])
+    of = lambda n, k: F.min(F.when(c("run") == n, c(k)))
+    met = both.groupBy("sheet", "text").agg(F.count_if(c("run") == 0).alias("n"), F.count_if(c("run") == 1).alias("m"), of(0, "x").alias("x"), of(0, "y").alias("y"), of(1, "x").alias("px"), of(1, "y").alias("py")).where("n = 1 and m = 1")
+    places = ("x", "y", "px", "py")
+    placed = reduce(lambda a, b: a & b, [c(k).isNotNull() for k in places])
+    pairs = met.select("sheet", *[F.when(placed, c(k)).alias(k) for k in places])
+    spread = {"uu": F.var_pop("x"), "uv": F.covar_pop("x", "y"), "vv": F.var_pop("y")} | {f"{p}{k}": F.covar_pop(f"p{p}", v) for p in ("x", "y") for k, v in (("u", "x"), ("v", "y"))}
+    sums = pairs.groupBy("sheet").agg(F.count("*").alias("anchors"), F.count("x").cast("double").alias("n"), *[F.avg(k).alias(f"m_{k}") for k in places], *[e.alias(k) for k, e in spread.items()])
+    sums = sums.withColumns({k: c(k) * c("n") for k in spread})
+    # places are taken from the means, so the sums of both coordinates are 0 and two equations are left
+    det = c("uu") * c("vv") - c("uv") * c("uv")
+    solid = (c("n") >= ANCHORS) & (F.abs(c("n") * det) > 1e-9)
+    fits = sums.withColumns({f"{k}{p}": F.when(solid, e / det) for p in ("x", "y") for k, e in (("a", c(f"{p}u") * c("vv") - c(f"{p}v") * c("uv")), ("b", c(f"{p}v") * c("uu") - c(f"{p}u") * c("uv")))})
+    fits = fits.withColumns({f"c{p}": c(f"m_p{p}") - c(f"a{p}") * c("m_x") - c(f"b{p}") * c("m_y") for p in ("x", "y")})
+    fits = fits.select("sheet", "anchors", *[f"{k}{p}" for p in ("x", "y") for k in "abc"])
     off = F.hypot(*[c(f"a{p}") * c("x") + c(f"b{p}") * c("y") + c(f"c{p}") - c(f"p{p}") for p in ("x", "y")])
-    residual = pairs.join(fits, "sheet").groupBy("sheet").agg(F.max(off).alias("residual"))
-    counts = pairs.groupBy("sheet").agg(F.count("*").alias("anchors"))
-    return counts.join(fits, "sheet", "left").join(residual, "sheet", "left").withColumn("usable", F.coalesce(c("residual") <= RESIDUAL, F.lit(False)))
+    residual = pairs.join(fits.where("ax is not null"), "sheet").groupBy("sheet").agg(F.max(off).alias("residual"))
+    return fits.join(residual, "sheet", "left").withColumn("usable", F.coalesce(c("residual") <= RESIDUAL, F.lit(False)))
 
 
 def position_verdicts(annotations: DataFrame, tokens: DataFrame, fits: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
