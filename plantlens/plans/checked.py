@@ -87,7 +87,7 @@ def plot_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, _, notes, tokens = _plotted(spark, sf_dir)
     runs = texts.withColumns({"px": 0.5 * F.col("x") - 0.25 * F.col("y") + 10 + F.col("sheet"), "py": 0.25 * F.col("x") + 0.5 * F.col("y") - 5}).select("sheet", "text", F.col("px").alias("x"), F.col("py").alias("y"))
     # distances of whole texts at round places are far from the tolerance, so that the fit's last bits don't matter
-    return positions.position_verdicts(notes, tokens, positions.sheet_fits(texts, runs)).groupBy("sheet", "verdict").agg(F.count("*").alias("n"))
+    return positions.position_verdicts(notes, tokens, positions.sheet_fits(texts, runs), distances=False).groupBy("sheet", "verdict").agg(F.count("*").alias("n"))
 
 
 _ROWS = """

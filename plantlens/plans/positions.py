@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.operators import joins
+from plantlens.operators import graph, joins
 
 #: Tolerance in points, anchors that a fit needs, the largest residual that it may leave, and the form of text
 #: that may stand in for another of the same kind.
@@ -46,28 +46,42 @@ def sheet_fits(texts: DataFrame, runs: DataFrame) -> DataFrame:
     return fits.join(residual, "sheet", "left").withColumn("usable", F.coalesce(c("residual") <= RESIDUAL, F.lit(False)))
 
 
-def position_verdicts(annotations: DataFrame, tokens: DataFrame, fits: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def position_verdicts(annotations: DataFrame, tokens: DataFrame, fits: DataFrame, tolerance: float = TOLERANCE, distances: bool = True) -> DataFrame:
     """(sheet, id, verdict, found, distance) of annotations (sheet, id, kind, text, x, y) on sheets whose fit is usable.
 
     tokens (sheet, text, x1, y1, x2, y2): words of a plot, from start to end. s_labels end at their place, captions may start or
     end there, others start there. CONFIRMED: the same text is within the tolerance; WRONG_TEXT: another text of the same form
     is, and is given as found; MISPLACED: the same text stands elsewhere; NOT_IN_PLOT: nowhere. distance: to the nearest same
-    text. Places meet by cells, same texts by text.
+    text, left out without `distances`. Places meet by cells. That a text stands elsewhere is known from a table of texts; only
+    the distance of such a one takes all places of its text.
     """
     c = F.col
-    mapped = annotations.join(fits.where("usable").select("sheet", *[f"{k}{p}" for k in "abc" for p in "xy"]), "sheet")
+    usable = graph.stored(fits.where("usable").select("sheet", *[f"{k}{p}" for k in "abc" for p in "xy"]))
     at = lambda p: c(f"a{p}") * c("x") + c(f"b{p}") * c("y") + c(f"c{p}")
-    placed = mapped.select("sheet", "id", "kind", "text", at("x").alias("X"), at("y").alias("Y"))
+    placed = annotations.join(usable, "sheet").select("sheet", "id", "kind", "text", at("x").alias("X"), at("y").alias("Y"))
     ends = F.array(F.struct(F.lit("start").alias("end"), c("x1").alias("right_X"), c("y1").alias("ty")), F.struct(F.lit("end").alias("end"), c("x2").alias("right_X"), c("y2").alias("ty")))
     spots = tokens.select("sheet", c("text").alias("token"), F.explode(ends).alias("e")).select("sheet", "token", "e.*")
-    wanted = F.when(c("kind") == "s_label", c("end") == "end").when(c("kind") == "caption", F.lit(True)).otherwise(c("end") == "start")
+    by_kind = lambda label, caption, other: F.when(c("kind") == "s_label", label).when(c("kind") == "caption", caption).otherwise(other)
+    start, end = F.lit("start"), F.lit("end")
+    wanted = placed.withColumn("end", F.explode(by_kind(F.array(end), F.array(start, end), F.array(start))))
     distance = F.hypot(c("X") - c("right_X"), c("Y") - c("ty"))
-    same = placed.join(spots.withColumnRenamed("token", "text"), ["sheet", "text"]).where(wanted).groupBy("sheet", "id").agg(F.min(distance).alias("distance"))
     form = F.lit(OTHER_FORM)
     for kind, f in FORMS.items():
         form = F.when(c("kind") == kind, f).otherwise(form)
-    close = joins.near(placed, spots, ["sheet"], "X", tolerance).where(wanted & (distance <= tolerance) & F.regexp_like("token", form))
-    other = close.groupBy("sheet", "id").agg(F.min_by("token", F.struct(distance, "token")).alias("other"))
-    verdict = F.when(c("distance") <= tolerance, "CONFIRMED").when(c("other").isNotNull(), "WRONG_TEXT").when(c("distance").isNotNull(), "MISPLACED").otherwise("NOT_IN_PLOT")
-    found = placed.select("sheet", "id").join(same, ["sheet", "id"], "left").join(other, ["sheet", "id"], "left").withColumn("verdict", verdict)
-    return found.select("sheet", "id", "verdict", F.when(c("verdict") == "WRONG_TEXT", c("other")).alias("found"), "distance")
+    known = tokens.groupBy("sheet", "text").agg(*[F.bool_or(c(x).isNotNull() & c(y).isNotNull()).alias(n) for n, x, y in (("starts", "x1", "y1"), ("ends", "x2", "y2"))])
+    there = F.coalesce(c("id").isNotNull() & c("X").isNotNull() & c("Y").isNotNull() & by_kind(c("ends"), c("starts") | c("ends"), c("starts")), F.lit(False))
+    own = placed.join(known, ["sheet", "text"], "left").select("sheet", "id", F.lit(1).alias("row"), there.alias("there"))
+    close = joins.near(wanted, spots, ["sheet", "end"], "X", tolerance, wide=4).where((distance <= tolerance) & c("id").isNotNull())
+    close = close.select("sheet", "id", F.when(c("text") == c("token"), distance).alias("same"), F.regexp_like("token", form).alias("formed"), distance.alias("d"), "token")
+    met = own.unionByName(close, allowMissingColumns=True).groupBy("sheet", "id").agg(
+        F.sum("row").alias("rows"), F.bool_or("there").alias("there"), F.min("same").alias("distance"), F.coalesce(F.bool_or("formed"), F.lit(False)).alias("formed"),
+        F.min_by(F.when(c("formed"), c("token")), F.when(c("formed"), F.struct("d", "token"))).alias("other"),
+    )
+    verdict = F.when(c("distance").isNotNull(), "CONFIRMED").when(c("formed"), "WRONG_TEXT").when(c("there"), "MISPLACED").otherwise("NOT_IN_PLOT")
+    found = met.withColumn("verdict", verdict).withColumn("row", F.explode(F.sequence(F.lit(1), c("rows").cast("int"))))
+    found = found.select("sheet", "id", "verdict", F.when(c("verdict") == "WRONG_TEXT", c("other")).alias("found"), "distance", "there")
+    if not distances:
+        return found.drop("distance", "there")
+    away = wanted.join(met.where("distance is null and there").select("sheet", "id"), ["sheet", "id"], "left_semi")
+    far = away.join(spots.withColumnRenamed("token", "text"), ["sheet", "text", "end"]).groupBy("sheet", "id").agg(F.min(distance).alias("far"))
+    return found.join(far, ["sheet", "id"], "left").select("sheet", "id", "verdict", "found", F.coalesce("distance", "far").alias("distance"))
