@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions import colours, symbols
+from plantlens.operators import graph
 from plantlens.plans import adapter, constraints, displays, positions
 from plantlens.registry import Registry, table
 from plantlens.sources import records
@@ -100,6 +101,8 @@ def _extraction(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     c = F.col
     whole = Window.partitionBy("l_orderkey")
     line = table(spark, sf_dir, "lineitem").withColumns({"number": F.row_number().over(whole.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "fc": F.count("*").over(whole), "block": c("l_orderkey"), "q": F.round("l_quantity").cast("int")})
+    # every rule reads lines or blocks, each with other columns, so without tables of their own they are numbered and folded a dozen times
+    line = graph.stored(line.select("block", "number", "fc", "q", "l_quantity", "l_tax", "l_discount", "l_returnflag", "l_partkey"))
     two = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
     payload = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", two(c("q")).alias("h")))), lambda x: x["h"]), "")
     orders = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("block"), "o_orderpriority")
@@ -113,7 +116,7 @@ def _extraction(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.lower(two(c("q"))).alias("raw_hex"), value.cast("double").alias("value"), F.lit("EXTRACTED").alias("status"), (2 * (c("number") - 1)).alias("byte_offset"),
         c("l_partkey").alias("target_block"), F.lit(None).cast("long").alias("target_fc"), F.when(c("l_quantity") > 40, "RESOLVED_BLOCK").alias("target_status"),
     )
-    return {"blocks": blocks, "specs": specs, "manual": manual}
+    return {"blocks": graph.stored(blocks), "specs": specs, "manual": graph.stored(manual)}
 
 
 @query(f"""

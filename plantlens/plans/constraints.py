@@ -49,19 +49,17 @@ def manual_layout(manual: DataFrame) -> DataFrame:
     return sized.withColumns({"at": F.sum("width").over(before) - F.col("width"), "whole": F.sum("width").over(whole)})
 
 
-def decoded_again(blocks: DataFrame, manual: DataFrame) -> DataFrame:
-    """(sheet, block, number, again_hex, again): every value of every payload that its code's layout closes on, from its own bytes."""
-    layout = manual_layout(manual).select("fc", "number", "type", "at", "width", "whole")
-    held = blocks.where("fc is not null").join(layout, "fc").where(F.octet_length("payload") == F.col("whole"))
-    data = F.substring("payload", (F.col("at") + 1).cast("int"), F.col("width").cast("int"))
-    return held.withColumn("data", data).select("sheet", "block", "number", F.lower(F.hex("data")).alias("again_hex"), F.when(F.col("type") == "R", real(F.col("data"))).otherwise(unsigned(F.col("data"))).cast("double").alias("again"))
-
-
-def invented_values(specs: DataFrame, blocks: DataFrame, manual: DataFrame) -> DataFrame:
-    """(ref, reason) of values that don't come from their block's bytes: joined by address and number with what decodes again there."""
+def _matched(specs: DataFrame, blocks: DataFrame, manual: DataFrame) -> DataFrame:
+    """specs of blocks with a code, each with `again_hex` and `again` from its block's bytes where the code's layout closes on them, `reason`
+    (why its value doesn't come from them) and `differs` (from the manual). A row meets its block once, and the manual's row for its
+    code and number; both rules read that.
+    """
     c, empty = F.col, F.col("raw_text").isNull()
-    known = manual.select("fc").distinct().withColumn("in_manual", F.lit(True))
-    found = specs.join(blocks.where("fc is not null").select("sheet", "block", "fc"), ["sheet", "block"]).join(known, "fc", "left").join(decoded_again(blocks, manual), ["sheet", "block", "number"], "left")
+    layout = manual_layout(manual).select("fc", "number", *[c(f).alias(f"manual_{f}") for f in MANUAL_FIELDS if f in manual.columns], c("type").alias("held_type"), "at", "width", "whole", F.lit(True).alias("known"))
+    codes = manual.select("fc").distinct().withColumn("in_manual", F.lit(True))
+    found = specs.join(blocks.where("fc is not null").select("sheet", "block", "fc", "payload"), ["sheet", "block"]).join(codes, "fc", "left").join(layout, ["fc", "number"], "left")
+    data = F.when(F.octet_length("payload") == c("whole"), F.substring("payload", (c("at") + 1).cast("int"), c("width").cast("int")))
+    found = found.withColumn("data", data).withColumns({"again_hex": F.lower(F.hex("data")), "again": F.when(c("data").isNotNull(), F.when(c("held_type") == "R", real(c("data"))).otherwise(unsigned(c("data"))).cast("double"))})
     reason = (
         F.when(c("in_manual").isNull(), "NO_SCHEMA")
         .when(empty & (c("value").isNotNull() | c("raw_hex").isNotNull()), "VALUE_WITHOUT_TEXT")
@@ -69,12 +67,19 @@ def invented_values(specs: DataFrame, blocks: DataFrame, manual: DataFrame) -> D
         .when(~empty & c("again_hex").isNull(), "NOT_IN_PAYLOAD")
         .when(~empty & (~F.lower("raw_hex").eqNullSafe(c("again_hex")) | ~c("value").eqNullSafe(c("again"))), "DIFFERS_FROM_PAYLOAD")
     )
-    return found.withColumn("reason", reason).where("reason is not null").select(_ref("sheet", "block", "number"), "reason")
+    fields = [f for f in MANUAL_FIELDS if f in specs.columns and f in manual.columns]
+    differs = reduce(lambda a, b: a | b, [~c(f).eqNullSafe(c(f"manual_{f}")) for f in fields], c("known").isNull())
+    return found.withColumns({"reason": reason, "differs": differs})
+
+
+def invented_values(specs: DataFrame, blocks: DataFrame, manual: DataFrame) -> DataFrame:
+    """(ref, reason) of values that don't come from their block's bytes: joined by address and number with what decodes again there."""
+    return _matched(specs, blocks, manual).where("reason is not null").select(_ref("sheet", "block", "number"), "reason")
 
 
 def failures(tables: dict[str, DataFrame]) -> DataFrame:
     """(rule, ref) of all rules whose tables are given."""
-    c, out = F.col, {}
+    c, out, both = F.col, {}, None
     has = lambda *names: all(n in tables for n in names)
     t = tables
     if has("blocks", "trailers"):
@@ -93,11 +98,9 @@ def failures(tables: dict[str, DataFrame]) -> DataFrame:
         if has("reported"):
             out["unknown_codes_reported"] = coded.join(known, "fc", "left_anti").join(t["reported"], "fc", "left_anti").select(_ref("sheet", "block"))
     if has("specs", "blocks", "manual"):
-        out["no_invented_values"] = invented_values(t["specs"], t["blocks"], t["manual"]).select("ref")
         of_block = t["blocks"].where("fc is not null").select("sheet", "block", "fc")
-        theirs = t["manual"].select("fc", "number", *[c(f).alias(f"manual_{f}") for f in MANUAL_FIELDS], F.lit(True).alias("known"))
-        differs = reduce(lambda a, b: a | b, [~c(f).eqNullSafe(c(f"manual_{f}")) for f in MANUAL_FIELDS])
-        out["manual_match"] = t["specs"].join(of_block, ["sheet", "block"]).join(theirs, ["fc", "number"], "left").where(c("known").isNull() | differs).select(_ref("sheet", "block", "number"))
+        rules = F.filter(F.array(F.when(c("reason").isNotNull(), "no_invented_values"), F.when(c("differs"), "manual_match")), lambda x: x.isNotNull())
+        both = _matched(t["specs"], t["blocks"], t["manual"]).where("reason is not null or differs").select(F.explode(rules).alias("rule"), _ref("sheet", "block", "number"))
         counts = t["specs"].groupBy("sheet", "block").agg(F.count("*").alias("n"))
         wanted = t["manual"].groupBy("fc").agg(F.count("*").alias("wanted"))
         out["spec_count"] = of_block.join(wanted, "fc").join(counts, ["sheet", "block"], "left").where("coalesce(n, 0) <> wanted").select(_ref("sheet", "block"))
@@ -109,4 +112,5 @@ def failures(tables: dict[str, DataFrame]) -> DataFrame:
         out["connections_traceable"] = t["connections"].where("sources = 0 or (status <> 'UNRESOLVED' and (source_block is null or target_block is null))").select(_ref("id"))
     if has("runs"):
         out["determinism"] = t["runs"].agg(F.count_distinct("digest").alias("n")).where("n > 1").select(F.lit("digests differ").alias("ref"))
-    return reduce(DataFrame.union, [df.select(F.lit(rule).alias("rule"), "ref") for rule, df in out.items()])
+    found = [df.select(F.lit(rule).alias("rule"), "ref") for rule, df in out.items()]
+    return reduce(DataFrame.union, found if both is None else [*found, both])
