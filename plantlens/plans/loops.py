@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from plantlens.functions import tags
 from plantlens.functions.evidence import status_of
 from plantlens.functions.numbers import add_decimal_text
+from plantlens.operators import joins
 from plantlens.operators.graph import bfs_hops
-from plantlens.operators.joins import near
 from plantlens.operators.ordering import unique_best
 
 #: The weights of loop-tag choice, times ten, so that ties are exact.
@@ -45,14 +45,25 @@ def counts_by_type(points: DataFrame) -> DataFrame:
 def label_blocks(labels: DataFrame, blocks: DataFrame) -> DataFrame:
     """The block that each label (sheet, label_id, x, y) stands over: nearest in a window, by dy + dx / 10, first on ties.
 
-    blocks: sheet, block, bx, by, height, ord. Labels and blocks of a sheet meet by cells of the x axis, each place once: of
-    the blocks in one place only the first can be nearest, and labels in one place have the same block.
+    blocks: sheet, block, bx, by, height, ord. Places count once: of the blocks in one place only the first can be nearest, and
+    labels in one place have the same block. Blocks of one bx and height are a column, in which the highest one that a label may
+    have is found by the order of heights, once for all labels of a y whose x share a cell.
     """
-    spots = blocks.groupBy("sheet", F.col("bx").alias("right_x"), "by", "height").agg(F.min("ord").alias("ord"), F.min_by("block", F.struct("ord", "block")).alias("block"))
-    pairs = near(labels.select("sheet", "x", "y").distinct(), spots, ["sheet"], "x", 320)
-    pairs = pairs.withColumns({"dx": F.col("x") - F.col("right_x"), "dy": F.col("y") - F.col("by") - F.col("height")})
-    inside = pairs.where("dx between -20 and 320 and dy between -10 and 70")
-    best = inside.groupBy("sheet", "x", "y").agg(F.min(F.struct((F.col("dy") + 0.1 * F.col("dx")).alias("score"), "ord", "block")).alias("b"))
+    c, size = F.col, 320
+    cell = F.floor(c("x") / size).cast("long")
+    spots = blocks.groupBy("sheet", c("bx").alias("right_x"), "by", "height").agg(F.min("ord").alias("ord"), F.min_by("block", F.struct("ord", "block")).alias("block"))
+    spots = spots.select("sheet", "right_x", "height", c("by").cast("double").alias("at"), F.struct("by", "ord", "block").alias("spot"))
+    places = labels.select("sheet", "x", "y", cell.alias("cell")).distinct()
+    columns = spots.select("sheet", "right_x", "height").distinct().withColumn("cell", F.explode(joins.cells(c("right_x") - 20, c("right_x") + 320, size)))
+    met = places.select("sheet", "cell", "y").distinct().join(columns, ["sheet", "cell"]).withColumn("at", (c("y") - c("height") + 10).cast("double"))
+    # the limits of the window are taken from dy itself, which rounding may set off a little from the order of heights
+    beside = joins.neighbours(met, spots, ["sheet", "right_x", "height"], "at", "spot", lambda a, b: F.abs(a["by"] - b["by"]) > joins.SLACK)
+    offer = lambda s: F.struct("right_x", (c("y") - s["by"] - c("height")).alias("dy"), s["ord"].alias("ord"), s["block"].alias("block"))
+    close = F.filter(F.transform(F.concat(F.coalesce("low", F.array()), F.coalesce("high", F.array())), offer), lambda o: o["dy"].between(-10, 70))
+    offers = beside.select("sheet", "cell", "y", F.explode(F.array_distinct(close)).alias("o")).groupBy("sheet", "cell", "y").agg(F.collect_list("o").alias("offers"))
+    within = F.filter("offers", lambda o: (c("x") - o["right_x"]).between(-20, 320))
+    scored = F.transform(within, lambda o: F.struct((o["dy"] + 0.1 * (c("x") - o["right_x"])).alias("score"), o["ord"].alias("ord"), o["block"].alias("block")))
+    best = places.join(offers, ["sheet", "cell", "y"]).select("sheet", "x", "y", F.array_min(scored).alias("b")).where("b is not null")
     return labels.join(best, ["sheet", "x", "y"]).groupBy("sheet", "label_id").agg(F.min_by("b.block", "b").alias("block"))
 
 
