@@ -1,11 +1,13 @@
 """Wiring of sheets: wire ends by tiers of evidence, nets as components, drivers and sinks, learned pins, placed texts.
 
-Relations are keyed by sheet. Spatial conditions are joined by cells of the x axis within the sheet, so that no two
+Relations are keyed by sheet. Spatial conditions meet by cells of the x axis within the sheet, so that no two
 relations of a sheet meet row by row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from plantlens.operators import graph, joins
 
 #: Tolerances in drawing units.
 EXACT, TEE, NEAR = 3, 1, 15
+#: Roles of the rows that classify_ends lays over one another, in the order of their tiers; a block that is only near is the last tier.
+END, JUNCTION, POINT, BLOCK, CONNECTOR, WIRE, NEAR_BLOCK = range(7)
+TIERS = (("junction", "EXPLICIT"), ("connector", "EXPLICIT"), ("pin", "EXPLICIT"), ("connector", "DERIVED"), ("wire", "DERIVED"), ("pin", "DERIVED"))
+#: Rows of a task, which sorts them and shouldn't spill them.
+TASK_ROWS = 1 << 20
 #: Junction kinds that connect; crossings never do.
 CONNECTING = ("connected", "branch", "wire-join")
 
@@ -43,32 +50,51 @@ def classify_ends(ends: DataFrame, junctions: DataFrame, connectors: DataFrame,
     junctions: sheet, ref, x, y; connectors: sheet, ref, px, py (null if it has no connection point), x1..y2; blocks:
     sheet, ref, x1..y2. Tiers: junction within 3, connection point within 3, smallest box around, connector's box,
     another wire within 1, nearest box within 15, else dangling. Smaller distance, area, then reference win.
+
+    All relations are rows of one table that is moved once, by sheet. A sheet passes through one task, and each of its cells gives
+    the list of things that its ends are compared with.
     """
-    key = ["sheet", "wire", "end"]
-    box = [F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")]
-    area, zero = ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("double"), F.lit(0.0)
-
-    def tier(rows: DataFrame, n: int, kind: str, status: str, test: Column, distance: Column, size: Column) -> DataFrame:
-        return rows.where(test).select(*key, F.struct(F.lit(n).alias("tier"), distance.cast("double").alias("distance"), size.alias("area"), F.col("ref").cast("string").alias("ref"), F.lit(kind).alias("kind"), F.lit(status).alias("status")).alias("c"))
-
-    def at_point(things: DataFrame, x: str, y: str) -> DataFrame:
-        spots = things.where(F.col(x).isNotNull()).select("sheet", "ref", F.col(x).alias("x1"), F.col(x).alias("x2"), F.col(y).alias("y1"))
-        return _beside(ends, spots, EXACT)
-
-    to_spot = numbers.length_of(F.col("x") - F.col("x1"), F.col("y") - F.col("y1"))
-    to_box = numbers.box_distance(*box)
-    tee = _beside(ends, segments(wires).withColumnRenamed("wire", "ref"), TEE).where("wire <> ref").withColumn("d", numbers.segment_distance(*box)["distance"])
-    near_blocks, in_connectors = _beside(ends, blocks, NEAR), _beside(ends, connectors, 0)
-    found = (
-        tier(at_point(junctions, "x", "y"), 1, "junction", "EXPLICIT", to_spot <= EXACT, to_spot, zero)
-        .union(tier(at_point(connectors, "px", "py"), 2, "connector", "EXPLICIT", to_spot <= EXACT, to_spot, zero))
-        .union(tier(near_blocks, 3, "pin", "EXPLICIT", numbers.in_box(*box), zero, area))
-        .union(tier(in_connectors, 4, "connector", "DERIVED", numbers.in_box(*box), zero, zero))
-        .union(tier(tee, 5, "wire", "DERIVED", F.col("d") <= TEE, F.col("d"), zero))
-        .union(tier(near_blocks, 6, "pin", "DERIVED", to_box <= NEAR, to_box, zero))
-    )
-    best = found.groupBy(*key).agg(F.min("c").alias("c"))
-    return ends.join(best, key, "left").select(*ends.columns, F.coalesce("c.kind", F.lit("dangling")).alias("kind"), F.col("c.ref").alias("ref"), F.coalesce("c.status", F.lit("UNRESOLVED")).alias("status"), F.coalesce("c.distance", zero).alias("distance"))
+    c = F.col
+    rest = [k for k in ends.columns if k not in ("sheet", "wire", "end", "x", "y")]
+    placed = lambda df, role, ref, x1, y1, x2, y2: df.select("sheet", F.lit(role).alias("role"), c(ref).cast("string").alias("name"), *[v.alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), (x1, y1, x2, y2))])
+    spots = lambda df, role, x, y: placed(df, role, "ref", c(x), c(y), c(x), c(y))
+    boxes = lambda df, role, ref: placed(df, role, ref, *[c(k) for k in ("x1", "y1", "x2", "y2")])
+    things = [spots(junctions, JUNCTION, "x", "y"), spots(connectors, POINT, "px", "py"), boxes(blocks, BLOCK, "ref"), boxes(connectors, CONNECTOR, "ref"), boxes(segments(wires), WIRE, "wire")]
+    asked = ends.select("sheet", F.lit(END).alias("role"), c("wire").cast("string").alias("name"), c("x").alias("x1"), c("y").alias("y1"), "end", *([F.struct(*rest).alias("rest")] if rest else []))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*[t.where("sheet is not null and x1 is not null and x2 is not null") for t in things], asked])
+    tasks = -(-stacked.count() // TASK_ROWS)
+    stacked = stacked.repartition(*([tasks] if tasks > 1 else []), "sheet")
+
+    reach = lambda role: F.when(role <= POINT, EXACT).when(role == BLOCK, NEAR).when(role == WIRE, TEE).otherwise(0)
+    size, is_end = 64.0, c("role") == END
+    # the ranges that hold the ends which may stand on a thing are worked out once for each thing
+    ranges = {f"{n}_{k}": of(f"{k}1", f"{k}2") + sign * reach(c("role")) for k in ("x", "y") for n, of, sign in (("low", F.least, -1), ("high", F.greatest, 1))}
+    own_cell = F.array(F.floor(c("x1") / size).cast("long"))
+    celled = stacked.withColumns(ranges).withColumn("cell", F.explode(F.when(is_end, own_cell).otherwise(joins.cells(c("low_x"), c("high_x"), size))))
+    thing = F.when(~is_end, F.struct("role", "name", "x1", "y1", "x2", "y2", *ranges))
+    met = celled.withColumn("things", F.collect_list(thing).over(Window.partitionBy("sheet", "cell"))).where(is_end)
+    beside = F.filter("things", lambda t: (c("x1") >= t["low_x"]) & (c("x1") <= t["high_x"]) & (c("y1") >= t["low_y"]) & (c("y1") <= t["high_y"]) & ((t["role"] != WIRE) | (t["name"] != c("name"))))
+
+    def offer(t: Column) -> Column:
+        at = [c("x1"), c("y1"), *[t[k] for k in ("x1", "y1", "x2", "y2")]]
+        to_spot = numbers.length_of(c("x1") - t["x1"], c("y1") - t["y1"])
+        distance = F.when(t["role"] <= POINT, to_spot).when(t["role"] == WIRE, numbers.segment_distance(*at)["distance"]).otherwise(numbers.box_distance(*at))
+        return F.struct(t["role"].alias("role"), distance.alias("distance"), ((t["x2"] - t["x1"]) * (t["y2"] - t["y1"])).cast("double").alias("area"), t["name"].alias("ref"))
+
+    def candidate(o: Column) -> Column:
+        around = (o["role"] == BLOCK) & (o["distance"] == 0)
+        return F.struct(F.when((o["role"] == BLOCK) & ~around, NEAR_BLOCK).otherwise(o["role"]).alias("tier"), o["distance"].alias("distance"), F.when(around, o["area"]).otherwise(0.0).alias("area"), o["ref"].alias("ref"))
+
+    offers = F.filter(F.transform(beside, offer), lambda o: o["distance"] <= reach(o["role"]))
+    best = met.withColumn("c", F.array_min(F.transform(offers, candidate))).drop("things")
+    # an end in several places has the best of all of them
+    best = best.withColumn("c", F.min("c").over(Window.partitionBy("sheet", "name", "end")))
+    known = c("sheet").isNotNull() & c("name").isNotNull() & c("end").isNotNull() & c("c").isNotNull()
+    tier = F.when(known, c("c.tier"))
+    kind, status = (F.coalesce(F.get(F.array(*[F.lit(t[k]) for t in TIERS]), tier - 1), F.lit(none)) for k, none in ((0, "dangling"), (1, "UNRESOLVED")))
+    types = dict(ends.dtypes)
+    own = {"sheet": c("sheet"), "wire": c("name").cast(types["wire"]), "end": c("end"), "x": c("x1").cast(types["x"]), "y": c("y1").cast(types["y"])}
+    return best.select(*[own.get(k, c(f"rest.{k}") if k in rest else None).alias(k) for k in ends.columns], kind.alias("kind"), F.when(known, c("c.ref")).alias("ref"), status.alias("status"), F.when(known, c("c.distance")).otherwise(0.0).alias("distance"))
 
 
 def nets(ends: DataFrame, junctions: DataFrame) -> DataFrame:
