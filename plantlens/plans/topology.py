@@ -20,7 +20,7 @@ EXACT, TEE, NEAR = 3, 1, 15
 END, JUNCTION, POINT, BLOCK, CONNECTOR, WIRE, NEAR_BLOCK = range(7)
 TIERS = (("junction", "EXPLICIT"), ("connector", "EXPLICIT"), ("pin", "EXPLICIT"), ("connector", "DERIVED"), ("wire", "DERIVED"), ("pin", "DERIVED"))
 #: Rows of a task, which sorts them and shouldn't spill them.
-TASK_ROWS = 1 << 20
+TASK_ROWS = 1 << 19
 #: Junction kinds that connect; crossings never do.
 CONNECTING = ("connected", "branch", "wire-join")
 
